@@ -17,6 +17,7 @@ from papyra.plans.fixtures_sql import with_ctes
 from papyra.operators import registry as reg
 from papyra.operators import serving as srv
 from papyra.operators import extraction as ext
+from papyra.operators import documents as doc
 
 SF0001 = "/root/testdata/sf0.001"
 RUN_TIME = "2025-01-01 12:00:00"  # the fixed "now" of the registered status-update queries
@@ -138,6 +139,87 @@ def q_parse_summary(spark, sf):
     return ext.parse_summary(fx.summary(spark, sf))
 
 
+# ------------------------------------------------------------------------------------------------ documents
+
+def _routed(spark, sf):
+    return doc.route_by_extension(fx.batch(spark, sf))
+
+
+def _parsed(spark, sf):
+    return doc.parse_documents(_routed(spark, sf), fx.fixture_parser)
+
+
+def q_batch_topn_files(spark, sf):
+    return doc.batch_topn_files(fx.batch(spark, sf), 100).select(
+        "path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def q_spread_by_hash(spark, sf):
+    return doc.spread_by_hash(fx.batch(spark, sf), 10).select(
+        "path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def q_route_by_extension(spark, sf):
+    return _routed(spark, sf).select("path", "route")
+
+
+def q_parse_documents(spark, sf):
+    p = F.col("parsed")
+    return _parsed(spark, sf).select(
+        "path", F.try_variant_get(p, "$.metadata.version", "string").alias("version"),
+        F.size(doc.items_of(p)).cast("long").alias("n_items"), doc.error_of(p).alias("error_status"))
+
+
+def q_raw_text_documents(spark, sf):
+    return doc.raw_text_documents(_routed(spark, sf)).select("path", "text", "error_status")
+
+
+def q_parse_errors(spark, sf):
+    return doc.parse_errors(_parsed(spark, sf)).select("path", "error_status")
+
+
+def q_explode_elements(spark, sf):
+    return doc.explode_elements(_parsed(spark, sf))
+
+
+def q_concat_elements(spark, sf):
+    return doc.concat_elements(doc.explode_elements(_parsed(spark, sf)))
+
+
+def q_concat_text(spark, sf):
+    return doc.concat_text(_parsed(spark, sf))
+
+
+def q_attach_raw(spark, sf):
+    parsed = _parsed(spark, sf)
+    j = doc.attach_raw(doc.concat_elements(doc.explode_elements(parsed)), parsed)
+    return j.select("path", "text", F.try_variant_get("raw_parsed", "$.metadata.version", "string").alias("version"))
+
+
+def _outcomes(spark, sf):
+    routed = _routed(spark, sf)
+    parsed = doc.parse_documents(routed, fx.fixture_parser)
+    return doc.union_outcomes(doc.parsed_outcomes(parsed), doc.raw_text_documents(routed), doc.parse_errors(parsed))
+
+
+def q_union_outcomes(spark, sf):
+    o = _outcomes(spark, sf)
+    return o.select("path", doc.outcome_label(o).alias("outcome"), "text", "error_status")
+
+
+def q_coverage_report(spark, sf):
+    return doc.coverage_report(fx.batch(spark, sf), _outcomes(spark, sf))
+
+
+def q_parse_html(spark, sf):
+    pages = fx.table(spark, sf, "pages").select(
+        F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("path"),
+        F.encode("html", "UTF-8").alias("content"))
+    p = doc.html_parser(pages)
+    return p.select("path", F.size(doc.items_of(F.col("parsed"))).cast("long").alias("n_blocks"),
+                    doc.reassembled_text(F.col("parsed")).alias("text"))
+
+
 # ------------------------------------------------------------------------------------------------ entry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -168,6 +250,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extract_fields": q_extract_fields,
         "field_rules": q_field_rules,
         "parse_summary": q_parse_summary,
+        "batch_topn_files": q_batch_topn_files,
+        "spread_by_hash": q_spread_by_hash,
+        "route_by_extension": q_route_by_extension,
+        "parse_documents": q_parse_documents,
+        "raw_text_documents": q_raw_text_documents,
+        "parse_errors": q_parse_errors,
+        "explode_elements": q_explode_elements,
+        "concat_elements": q_concat_elements,
+        "concat_text": q_concat_text,
+        "attach_raw": q_attach_raw,
+        "union_outcomes": q_union_outcomes,
+        "coverage_report": q_coverage_report,
+        "parse_html": q_parse_html,
     }
 
 
@@ -265,4 +360,49 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT 'bad_date', count(*) FILTER (WHERE o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0) FROM truth
   UNION ALL SELECT 'empty_string', count(*) FILTER (WHERE o_orderkey % 6 = 0 AND o_orderkey % 11 <> 0) FROM truth)""",
         "parse_summary": _oracle_parse_summary(),
+        **_document_oracles(),
+    }
+
+
+def _document_oracles() -> dict[str, str]:
+    f = with_ctes("files")
+    pdf = "doc_id % 3 <> 1"
+    lines = "string_split(text, chr(10))"
+    joined = f"array_to_string({lines}, chr(10) || chr(10))"
+    version = "CASE WHEN doc_id % 4 = 0 THEN '1.0' ELSE '2.0' END"
+    blocks = ("list_transform(regexp_extract_all(html, '(<(h1|p)>.*?</(h1|p)>)', 1), "
+              "lambda b: array_to_string(regexp_extract_all(b, '>([^<]*)<', 1), ''))")
+    outcome = (f"CASE WHEN NOT ({pdf}) THEN 'raw' WHEN doc_id % 13 = 0 THEN 'error' "
+               f"WHEN doc_id % 17 = 0 THEN 'vanished' ELSE 'ok' END")
+    return {
+        "batch_topn_files": f + "SELECT file_path AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM files "
+                                "ORDER BY file_path LIMIT 100",
+        "spread_by_hash": f + "SELECT file_path AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM files",
+        "route_by_extension": f + f"SELECT file_path AS path, CASE WHEN {pdf} THEN 'parse' ELSE 'raw' END AS route "
+                                  "FROM files",
+        "parse_documents": f + f"""SELECT file_path AS path, {version} AS version,
+  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(len({lines}) AS BIGINT) END AS n_items,
+  CASE WHEN doc_id % 13 = 0 THEN 'PARSE_FAILED' END AS error_status FROM files WHERE {pdf}""",
+        "raw_text_documents": f + f"SELECT file_path AS path, text, CAST(NULL AS VARCHAR) AS error_status "
+                                  f"FROM files WHERE NOT ({pdf})",
+        "parse_errors": f + f"SELECT file_path AS path, 'PARSE_FAILED' AS error_status FROM files "
+                            f"WHERE {pdf} AND doc_id % 13 = 0",
+        "explode_elements": f + f"""SELECT path, CAST(i - 1 AS INTEGER) AS idx,
+  CASE WHEN doc_id % 17 = 0 THEN NULL ELSE arr[i] END AS content
+FROM (SELECT file_path AS path, doc_id, arr, unnest(generate_series(1, len(arr))) AS i
+      FROM (SELECT file_path, doc_id, {lines} AS arr FROM files WHERE {pdf} AND doc_id % 13 <> 0))""",
+        "concat_elements": f + f"SELECT file_path AS path, {joined} AS text FROM files "
+                               f"WHERE {pdf} AND doc_id % 13 <> 0 AND doc_id % 17 <> 0",
+        "concat_text": f + f"SELECT file_path AS path, {joined} AS text FROM files "
+                           f"WHERE {pdf} AND doc_id % 13 <> 0 AND doc_id % 17 <> 0",
+        "attach_raw": f + f"SELECT file_path AS path, {joined} AS text, {version} AS version FROM files "
+                          f"WHERE {pdf} AND doc_id % 13 <> 0 AND doc_id % 17 <> 0",
+        "union_outcomes": f + f"""SELECT file_path AS path, {outcome} AS outcome,
+  CASE WHEN NOT ({pdf}) THEN text WHEN doc_id % 13 = 0 THEN NULL ELSE {joined} END AS text,
+  CASE WHEN {pdf} AND doc_id % 13 = 0 THEN 'PARSE_FAILED' END AS error_status
+FROM files WHERE {outcome} <> 'vanished'""",
+        "coverage_report": f + f"SELECT {outcome} AS outcome, count(*) AS n_files FROM files GROUP BY 1",
+        "parse_html": f"""SELECT 'page_' || CAST(page_id AS VARCHAR) AS path, CAST(len(bl) AS BIGINT) AS n_blocks,
+  CASE WHEN len(bl) > 0 THEN array_to_string(bl, chr(10) || chr(10)) END AS text
+FROM (SELECT page_id, {blocks} AS bl FROM pages)""",
     }
