@@ -18,6 +18,8 @@ from papyra.operators import registry as reg
 from papyra.operators import serving as srv
 from papyra.operators import extraction as ext
 from papyra.operators import documents as doc
+from papyra.operators import chat
+from papyra.operators import events as ev
 
 SF0001 = "/root/testdata/sf0.001"
 RUN_TIME = "2025-01-01 12:00:00"  # the fixed "now" of the registered status-update queries
@@ -220,6 +222,87 @@ def q_parse_html(spark, sf):
                     doc.reassembled_text(F.col("parsed")).alias("text"))
 
 
+# ------------------------------------------------------------------------------------------------ chat
+
+def _conversations(spark, sf):
+    return fx.table(spark, sf, "conversations")
+
+
+def q_chat_context(spark, sf):
+    return chat.chat_context(fx.summary(spark, sf))
+
+
+def q_chat_prompt(spark, sf):
+    ctx = chat.chat_context(fx.summary(spark, sf))
+    qs = _conversations(spark, sf).filter(F.col("role") == "user")
+    return chat.chat_prompt(qs, ctx).select("conv_id", "turn", "system_content", "user_content")
+
+
+def q_extract_answer(spark, sf):
+    return chat.extract_answer(fx.responses(spark, sf)).select("conv_id", "turn", "answer")
+
+
+def q_append_turn(spark, sf):
+    c = _conversations(spark, sf)
+    last = c.groupBy("conv_id").agg(
+        F.max(F.when(F.col("role") == "user", F.struct("turn", "text"))).alias("q"),
+        F.max(F.when(F.col("role") == "assistant", F.struct("turn", "text"))).alias("a"))
+    ex = last.filter(F.col("q").isNotNull() & F.col("a").isNotNull()).select(
+        "conv_id", F.col("q.text").alias("question"), F.col("a.text").alias("answer"))
+    return chat.append_turn(c, ex)
+
+
+def q_turn_pairs(spark, sf):
+    return chat.turn_pairs(_conversations(spark, sf))
+
+
+def q_history_view(spark, sf):
+    return chat.history_view(_conversations(spark, sf))
+
+
+def q_skip_blank_input(spark, sf):
+    return chat.skip_blank_input(_conversations(spark, sf))
+
+
+# ------------------------------------------------------------------------------------------------ events
+
+def _events(spark, sf):
+    return fx.table(spark, sf, "events")
+
+
+def q_collapse_runs(spark, sf):
+    return ev.collapse_runs(_events(spark, sf))
+
+
+def q_elapsed_label(spark, sf):
+    return ev.elapsed_label(_events(spark, sf)).select("event_id", "user_id", "elapsed")
+
+
+def q_latest_kv(spark, sf):
+    return ev.latest_kv(_events(spark, sf), ["user_id", "event_type"])
+
+
+def q_latest_items(spark, sf):
+    return ev.latest_items(fx.items(spark, sf), fx.deleted_items(spark, sf))
+
+
+def q_item_text(spark, sf):
+    return ev.item_text(fx.items(spark, sf)).select("item_id", "seq", "display_text")
+
+
+def q_speaker_label(spark, sf):
+    return ev.speaker_label(fx.items(spark, sf)).select("item_id", "seq", "speaker")
+
+
+def q_exclude_interrupted(spark, sf):
+    return ev.exclude_interrupted(fx.tracks(spark, sf)).select("track_id", "event_id")
+
+
+def q_track_offsets(spark, sf):
+    kept = ev.exclude_interrupted(fx.tracks(spark, sf))
+    return ev.track_offsets(kept).select("track_id", "event_id", "length", "offset")
+
+
 # ------------------------------------------------------------------------------------------------ entry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -263,6 +346,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "union_outcomes": q_union_outcomes,
         "coverage_report": q_coverage_report,
         "parse_html": q_parse_html,
+        "chat_context": q_chat_context,
+        "chat_prompt": q_chat_prompt,
+        "extract_answer": q_extract_answer,
+        "append_turn": q_append_turn,
+        "turn_pairs": q_turn_pairs,
+        "history_view": q_history_view,
+        "skip_blank_input": q_skip_blank_input,
+        "collapse_runs": q_collapse_runs,
+        "elapsed_label": q_elapsed_label,
+        "latest_kv": q_latest_kv,
+        "latest_items": q_latest_items,
+        "item_text": q_item_text,
+        "speaker_label": q_speaker_label,
+        "exclude_interrupted": q_exclude_interrupted,
+        "track_offsets": q_track_offsets,
     }
 
 
@@ -361,6 +459,76 @@ def oracle_sql() -> dict[str, str]:
   UNION ALL SELECT 'empty_string', count(*) FILTER (WHERE o_orderkey % 6 = 0 AND o_orderkey % 11 <> 0) FROM truth)""",
         "parse_summary": _oracle_parse_summary(),
         **_document_oracles(),
+        **_chat_event_oracles(),
+    }
+
+
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _chat_event_oracles() -> dict[str, str]:
+    ctx = ("SELECT CASE WHEN count(*) = 0 THEN " + _sql_str(chat.NO_CONTRACTS_MESSAGE) +
+           " ELSE left(coalesce(string_agg(\"summarize\", chr(10) || chr(10) ORDER BY path), ''), 2000) END "
+           "AS context, count(*) AS n_contracts FROM summary")
+    items = """items AS (SELECT conv_id AS item_id, turn AS seq, CASE WHEN role <> 'system' THEN role END AS role,
+  CASE WHEN role = 'system' THEN 'function_call_output' ELSE 'message' END AS type,
+  CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE text END AS transcript, text, turn % 3 = 1 AS has_audio
+  FROM conversations)"""
+    tracks = """tracks AS (SELECT user_id AS track_id, event_id, ts,
+  CAST(json_extract_string(props, '$.k') AS BIGINT) AS length, event_type = 'error' AS is_interrupt FROM events),
+cuts AS (SELECT track_id, first(ts ORDER BY ts, event_id) AS cts, first(event_id ORDER BY ts, event_id) AS cid
+  FROM tracks WHERE is_interrupt GROUP BY track_id),
+kept AS (SELECT t.* FROM tracks t LEFT JOIN cuts c USING (track_id)
+  WHERE NOT t.is_interrupt AND (c.cts IS NULL OR t.ts < c.cts OR (t.ts = c.cts AND t.event_id < c.cid)))"""
+    nb = "CASE WHEN {c} IS NULL OR {c} = '' THEN NULL ELSE {c} END"
+    return {
+        "chat_context": with_ctes("summary") + ctx,
+        "chat_prompt": with_ctes("summary", extra="ctx AS (" + ctx + ")") +
+        "SELECT conv_id, turn, " + _sql_str(chat.SYSTEM_PROMPT_HEAD) + " || (SELECT context FROM ctx) || " +
+        _sql_str(chat.SYSTEM_PROMPT_TAIL) + " AS system_content, text AS user_content "
+        "FROM conversations WHERE role = 'user'",
+        "extract_answer": "SELECT conv_id, turn, text AS answer FROM conversations WHERE role = 'assistant'",
+        "append_turn": """WITH last AS (SELECT conv_id, max(turn) AS t,
+    arg_max(text, turn) FILTER (WHERE role = 'user') AS q,
+    arg_max(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, t + 1, 'user', q FROM last WHERE q IS NOT NULL AND a IS NOT NULL
+UNION ALL SELECT conv_id, t + 2, 'assistant', a FROM last WHERE q IS NOT NULL AND a IS NOT NULL""",
+        "turn_pairs": """SELECT conv_id, turn, text AS question, nt AS answer FROM (
+  SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS nt FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'""",
+        "history_view": "SELECT conv_id, turn, text, CASE WHEN role = 'user' THEN 'user' ELSE 'bot' END AS speaker "
+                        "FROM conversations",
+        "skip_blank_input": "SELECT conv_id, turn, role, text FROM conversations "
+                            "WHERE text IS NOT NULL AND trim(text) <> ''",
+        "collapse_runs": """WITH a AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type THEN 1 ELSE 0 END AS st
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM a)
+SELECT user_id, CAST(run_no AS BIGINT) AS run_no, first(event_type ORDER BY ts, event_id) AS event_type,
+  min(ts) AS run_start, first(event_id ORDER BY ts, event_id) AS first_event_id, count(*) AS run_length,
+  count(*) - 1 AS repeat_count FROM b GROUP BY user_id, run_no""",
+        "elapsed_label": """SELECT event_id, user_id,
+  lpad(CAST((d // 60000000) % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((d // 1000000) % 60 AS VARCHAR), 2, '0')
+  || '.' || lpad(CAST((d // 10000) % 100 AS VARCHAR), 2, '0') AS elapsed
+FROM (SELECT event_id, user_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS d FROM events)""",
+        "latest_kv": "SELECT user_id, event_type, first(value ORDER BY ts DESC, event_id DESC) AS value "
+                     "FROM events GROUP BY user_id, event_type",
+        "latest_items": "WITH " + items + """ SELECT item_id, seq, role, type, transcript, text, has_audio FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn FROM items)
+  WHERE rn = 1 AND item_id % 10 <> 0""",
+        "item_text": "WITH " + items + f""" SELECT item_id, seq, CASE
+  WHEN type = 'function_call_output' THEN text
+  WHEN role = 'user' THEN coalesce({nb.format(c='transcript')}, CASE WHEN has_audio THEN '(awaiting transcript)' END,
+                                   {nb.format(c='text')}, '(item sent)')
+  WHEN role = 'assistant' THEN coalesce({nb.format(c='transcript')}, {nb.format(c='text')}, '(truncated)')
+  END AS display_text FROM items""",
+        "speaker_label": "WITH " + items + """ SELECT item_id, seq,
+  replace(coalesce(CASE WHEN trim(role) = '' THEN NULL ELSE role END, type), '_', ' ') AS speaker FROM items""",
+        "exclude_interrupted": "WITH " + tracks + " SELECT track_id, event_id FROM kept",
+        "track_offsets": "WITH " + tracks + """ SELECT track_id, event_id, length,
+  CAST(sum(length) OVER (PARTITION BY track_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS "offset"
+  FROM kept""",
     }
 
 

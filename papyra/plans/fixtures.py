@@ -217,7 +217,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     t = F.col("turn") % 3
     return c.select(
-        F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"), "role",
+        F.col("conv_id").alias("item_id"), F.col("turn").alias("seq"),
+        F.when(F.col("role") != "system", F.col("role")).alias("role"),
         F.when(F.col("role") == "system", F.lit("function_call_output")).otherwise(F.lit("message")).alias("type"),
         F.when(t == 0, F.lit(None).cast("string")).when(t == 1, F.lit("")).otherwise(F.col("text")).alias("transcript"),
         F.col("text").alias("text"),
