@@ -20,6 +20,7 @@ from papyra.operators import extraction as ext
 from papyra.operators import documents as doc
 from papyra.operators import chat
 from papyra.operators import events as ev
+from papyra.operators import signals as sig
 
 SF0001 = "/root/testdata/sf0.001"
 RUN_TIME = "2025-01-01 12:00:00"  # the fixed "now" of the registered status-update queries
@@ -303,6 +304,101 @@ def q_track_offsets(spark, sf):
     return ev.track_offsets(kept).select("track_id", "event_id", "length", "offset")
 
 
+# ------------------------------------------------------------------------------------------------ signals
+
+RATE = float(fx.SAMPLE_RATE)
+
+
+def _r6(c):
+    return F.round(c, 6)
+
+
+def _long(spark, sf):
+    return sig.explode_samples(fx.signals(spark, sf), ["vec_id", "channel", "signal_id"])
+
+
+def q_downsample_mean(spark, sf):
+    d = sig.downsample(_long(spark, sf), ["vec_id"], 24)
+    return d.select("vec_id", "bucket", _r6(F.col("value")).alias("value"))
+
+
+def q_downsample_peak(spark, sf):
+    d = sig.downsample(_long(spark, sf), ["vec_id"], 24, peaks=True)
+    return d.select("vec_id", "bucket", _r6(F.col("value")).alias("value"))
+
+
+def q_upsample_linear(spark, sf):
+    s = fx.signals(spark, sf)
+    return s.select("vec_id", F.posexplode(sig.upsample(s, 100)).alias("idx", "value")).select(
+        "vec_id", "idx", _r6(F.col("value")).alias("value"))
+
+
+def _bands(spark, sf, kind):
+    b = sig.band_peak(fx.spectra(spark, sf), ["vec_id"], RATE, kind)
+    return b.select("vec_id", "band", "label", "frequency", _r6(F.col("value")).alias("value"),
+                    _r6(F.col("level")).alias("level"))
+
+
+def q_band_peak_music(spark, sf):
+    return _bands(spark, sf, "music")
+
+
+def q_band_peak_voice(spark, sf):
+    return _bands(spark, sf, "voice")
+
+
+def q_linear_bins(spark, sf):
+    b = sig.linear_bins(fx.spectra(spark, sf), ["vec_id"], RATE)
+    return b.select("vec_id", "idx", "frequency", "label", _r6(F.col("value")).alias("value"),
+                    _r6(F.col("level")).alias("level"))
+
+
+def q_minmax_clamp(spark, sf):
+    b = sig.linear_bins(fx.spectra(spark, sf), ["vec_id"], RATE)
+    return b.select("vec_id", "idx", _r6(F.col("level")).alias("level"))
+
+
+def _pcm(spark, sf):
+    lng = _long(spark, sf)
+    return lng.select("vec_id", "signal_id", "channel", "idx", sig.pcm16_quantise(F.col("value")).alias("pcm"))
+
+
+def q_pcm16(spark, sf):
+    p = _pcm(spark, sf)
+    return p.select("vec_id", "idx", "pcm", sig.pcm16_dequantise(F.col("pcm")).alias("dequantised"))
+
+
+def q_mix_channels(spark, sf):
+    m = sig.mix_channels(_long(spark, sf))
+    return m.select("signal_id", "idx", _r6(F.col("value")).alias("value"))
+
+
+def q_interleave_channels(spark, sf):
+    return sig.interleave_channels(_long(spark, sf))
+
+
+def _chunks(spark, sf):
+    s = fx.signals(spark, sf)
+    return s.select("channel", F.col("signal_id").alias("seq"), "samples")
+
+
+def q_concat_chunks(spark, sf):
+    return sig.concat_chunks(_chunks(spark, sf), width=16)
+
+
+def q_rechunk(spark, sf):
+    return sig.rechunk(sig.concat_chunks(_chunks(spark, sf), width=16))
+
+
+def q_trim_leading_zeros(spark, sf):
+    p = _pcm(spark, sf).select("signal_id", "channel", "idx", F.col("pcm").alias("value"))
+    return sig.trim_leading_zeros(p)
+
+
+def q_duration_seconds(spark, sf):
+    return sig.duration_seconds(_long(spark, sf), RATE)
+
+
 # ------------------------------------------------------------------------------------------------ entry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -361,6 +457,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speaker_label": q_speaker_label,
         "exclude_interrupted": q_exclude_interrupted,
         "track_offsets": q_track_offsets,
+        "downsample_mean": q_downsample_mean,
+        "downsample_peak": q_downsample_peak,
+        "upsample_linear": q_upsample_linear,
+        "band_peak_music": q_band_peak_music,
+        "band_peak_voice": q_band_peak_voice,
+        "linear_bins": q_linear_bins,
+        "minmax_clamp": q_minmax_clamp,
+        "pcm16": q_pcm16,
+        "mix_channels": q_mix_channels,
+        "interleave_channels": q_interleave_channels,
+        "concat_chunks": q_concat_chunks,
+        "rechunk": q_rechunk,
+        "trim_leading_zeros": q_trim_leading_zeros,
+        "duration_seconds": q_duration_seconds,
     }
 
 
@@ -460,6 +570,70 @@ def oracle_sql() -> dict[str, str]:
         "parse_summary": _oracle_parse_summary(),
         **_document_oracles(),
         **_chat_event_oracles(),
+        **_signal_oracles(),
+    }
+
+
+def _signal_oracles() -> dict[str, str]:
+    d = "CAST({} AS DOUBLE)".format
+    lng = f"""WITH sig AS (SELECT vec_id, CAST(vec_id % 2 AS INTEGER) AS channel, vec_id // 2 AS signal_id,
+    embedding AS samples FROM embeddings),
+lng AS (SELECT vec_id, channel, signal_id, len(samples) AS n, CAST(i - 1 AS INTEGER) AS idx,
+    CAST(samples[i] AS DOUBLE) AS value FROM (SELECT *, unnest(generate_series(1, len(samples))) AS i FROM sig)),
+pcm AS (SELECT vec_id, signal_id, channel, idx, CAST(trunc(CASE WHEN s < 0 THEN s * {d(32768)} ELSE s * {d(32767)} END)
+    AS INTEGER) AS pcm FROM (SELECT *, greatest({d(-1)}, least({d(1)}, value)) AS s FROM lng)),
+spec AS (SELECT vec_id, len(embedding) AS n, i - 1 AS idx,
+    (i - 1) * (({d(1)} / len(embedding)) * {d(12000)}) AS f,
+    {d(-100)} + {d(70)} * abs(CAST(embedding[i] AS DOUBLE)) AS v
+    FROM (SELECT *, unnest(generate_series(1, len(embedding))) AS i FROM embeddings)),
+oct AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{n}', {d(repr(f))})" for k, (n, f) in
+                                          enumerate(zip(sig.OCTAVE8_LABELS, sig.OCTAVE8_FREQUENCIES)))}) t(k, name, f)),
+notes AS (SELECT name || CAST(o AS VARCHAR) AS label, f / pow(2, 8 - o) AS frequency
+    FROM oct, (SELECT unnest(generate_series(1, 8)) AS o)),
+chunks AS (SELECT channel, signal_id AS seq, samples, len(samples) AS ln FROM sig WHERE channel < 9),
+stream AS (SELECT channel, st + i - 1 AS pos, CAST(samples[i] AS DOUBLE) AS value FROM (
+    SELECT *, sum(ln) OVER (PARTITION BY channel ORDER BY seq ROWS UNBOUNDED PRECEDING) - ln AS st,
+    unnest(generate_series(1, len(samples))) AS i FROM chunks))
+"""
+
+    def bands(voice: bool) -> str:
+        cond = "WHERE frequency > 32.0 AND frequency < 2000.0" if voice else ""
+        return f""", bands AS (SELECT CAST(row_number() OVER (ORDER BY frequency) - 1 AS INTEGER) AS band, label, frequency,
+    lead(frequency) OVER (ORDER BY frequency) AS nf FROM notes {cond}),
+hit AS (SELECT s.vec_id, b.band, max(s.v) AS mv FROM spec s JOIN bands b
+    ON s.f > b.frequency AND (b.nf IS NULL OR NOT s.f > b.nf) GROUP BY s.vec_id, b.band)
+SELECT e.vec_id, b.band, b.label, b.frequency, round(greatest({d(-100)}, coalesce(h.mv, {d(-100)})), 6) AS value,
+  round(greatest({d(0)}, least((greatest({d(-100)}, coalesce(h.mv, {d(-100)})) - {d(-100)}) / {d(70)}, {d(1)})), 6) AS level
+FROM embeddings e CROSS JOIN bands b LEFT JOIN hit h ON h.vec_id = e.vec_id AND h.band = b.band"""
+
+    level = f"round(greatest({d(0)}, least((v - {d(-100)}) / {d(70)}, {d(1)})), 6)"
+    return {
+        "downsample_mean": lng + f"SELECT vec_id, CAST(floor(idx * ({d(24)} / n)) AS INTEGER) AS bucket, "
+                                 "round(avg(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
+        "downsample_peak": lng + f"SELECT vec_id, CAST(floor(idx * ({d(24)} / n)) AS INTEGER) AS bucket, "
+                                 "round(max(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
+        "upsample_linear": f"""SELECT vec_id, CAST(i AS INTEGER) AS idx, round(CASE WHEN hi >= n THEN CAST(arr[n] AS DOUBLE)
+  ELSE CAST(arr[lo + 1] AS DOUBLE) * (1 - t) + CAST(arr[hi + 1] AS DOUBLE) * t END, 6) AS value
+FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo, CAST(ceil(x) AS BIGINT) AS hi, x - floor(x) AS t FROM (
+  SELECT vec_id, len(embedding) AS n, embedding AS arr, i, i * (len(embedding) - 1) / {d(99)} AS x
+  FROM (SELECT *, unnest(generate_series(0, 99)) AS i FROM embeddings) WHERE len(embedding) > 0))""",
+        "band_peak_music": lng + bands(False),
+        "band_peak_voice": lng + bands(True),
+        "linear_bins": lng + f"SELECT vec_id, CAST(idx AS INTEGER) AS idx, f AS frequency, printf('%.2f Hz', f) AS label, "
+                             f"round(v, 6) AS value, {level} AS level FROM spec",
+        "minmax_clamp": lng + f"SELECT vec_id, CAST(idx AS INTEGER) AS idx, {level} AS level FROM spec",
+        "pcm16": lng + "SELECT vec_id, idx, pcm, pcm / 32768.0 AS dequantised FROM pcm",
+        "mix_channels": lng + "SELECT signal_id, idx, round(avg(value), 6) AS value FROM lng GROUP BY ALL",
+        "interleave_channels": lng + """SELECT signal_id, idx * nch + channel AS pos, value FROM lng
+  JOIN (SELECT signal_id, count(DISTINCT channel) AS nch FROM lng GROUP BY ALL) USING (signal_id)""",
+        "concat_chunks": lng + "SELECT channel, CAST(pos AS BIGINT) AS pos, value FROM stream",
+        "rechunk": lng + """SELECT channel, CAST(pos // 128 AS BIGINT) AS frame, CAST(pos % 128 AS INTEGER) AS slot, value
+  FROM stream JOIN (SELECT channel, count(*) AS tot FROM stream GROUP BY ALL) USING (channel)
+  WHERE pos < (tot // 128) * 128""",
+        "trim_leading_zeros": lng + """SELECT signal_id, channel, idx, pcm AS value FROM pcm
+  JOIN (SELECT signal_id, min(idx) AS st FROM pcm WHERE pcm <> 0 GROUP BY ALL) USING (signal_id) WHERE idx >= st""",
+        "duration_seconds": lng + f"""SELECT signal_id, count(DISTINCT channel) AS n_channels, count(*) * 2 AS n_bytes,
+  count(*) * 2 / (count(DISTINCT channel) * {d(24000)} * 2) AS duration_s FROM lng GROUP BY ALL""",
     }
 
 
