@@ -399,6 +399,56 @@ def q_duration_seconds(spark, sf):
     return sig.duration_seconds(_long(spark, sf), RATE)
 
 
+# ------------------------------------------------------------------------------------------------ sources, model, streams
+
+def q_file_inventory(spark, sf):
+    """A1 + A2 over the data directory itself: name, type, size and MD5 of every table file."""
+    from papyra.sources.files import file_inventory
+    return file_inventory(spark, sf).select("file_name", "type", "size", "file_hash")
+
+
+def q_named_table_scan(spark, sf):
+    """A5 + A8 + A9: a table registered by name and queried through IDENTIFIER and value markers."""
+    import uuid
+    from papyra.sources.tables import sql_with_names, table_scan, temp_view
+    name = f"documents_{uuid.uuid4().hex[:8]}"
+    temp_view(table_scan(spark, f"{sf}/documents.parquet"), name)
+    return sql_with_names(spark, "SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars FROM IDENTIFIER(:t) "
+                                 "WHERE n_chars >= :lo GROUP BY lang", t=name, lo=0)
+
+
+def q_build_prompt(spark, sf):
+    return fx.summary(spark, sf).select("path", ext.build_prompt("summarize", "extract").alias("prompt"))
+
+
+def q_infer_text(spark, sf):
+    from papyra.functions.model import md5_model, infer_text
+    p = fx.summary(spark, sf).select("path", ext.build_prompt("summarize", "extract").alias("prompt"))
+    return infer_text(p, "prompt", md5_model).select("path", "response", "model_error")
+
+
+def q_summarize_documents(spark, sf):
+    from papyra.functions.model import md5_model
+    d = fx.table(spark, sf, "documents").select("doc_id", "text")
+    return ext.summarize_documents(d, "text", md5_model).select("doc_id", "summarize")
+
+
+def q_change_feed(spark, sf):
+    from papyra.streaming.changes import change_feed
+    before = fx.track(spark, sf)
+    after = q_mark_processed(spark, sf)
+    return change_feed(before, after, "file_path", ["processed", "processed_time", "file_hash"])
+
+
+def q_stream_latest_kv(spark, sf):
+    from papyra.session import scratch_path
+    from papyra.streaming.changes import stream_latest_kv
+    schema = fx.table(spark, sf, "events").schema
+    return stream_latest_kv(spark, sf, schema, ["user_id", "event_type"], "value", ["ts", "event_id"],
+                            scratch_path(spark, "latest-kv"), scratch_path(spark, "latest-kv-ckpt"),
+                            file_glob="events.parquet")
+
+
 # ------------------------------------------------------------------------------------------------ entry
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -471,6 +521,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rechunk": q_rechunk,
         "trim_leading_zeros": q_trim_leading_zeros,
         "duration_seconds": q_duration_seconds,
+        "file_inventory": q_file_inventory,
+        "named_table_scan": q_named_table_scan,
+        "build_prompt": q_build_prompt,
+        "infer_text": q_infer_text,
+        "summarize_documents": q_summarize_documents,
+        "change_feed": q_change_feed,
+        "stream_latest_kv": q_stream_latest_kv,
     }
 
 
@@ -571,6 +628,35 @@ def oracle_sql() -> dict[str, str]:
         **_document_oracles(),
         **_chat_event_oracles(),
         **_signal_oracles(),
+        **_misc_oracles(),
+    }
+
+
+def _misc_oracles() -> dict[str, str]:
+    head = _sql_str(ext.EXTRACTION_INSTRUCTIONS)
+    shead = _sql_str(ext.SUMMARY_INSTRUCTIONS)
+    return {
+        "named_table_scan": "SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents "
+                            "WHERE n_chars >= 0 GROUP BY lang",
+        "build_prompt": with_ctes("summary") + f'SELECT path, {head} || "summarize" AS prompt FROM summary',
+        "infer_text": with_ctes("summary") + f'SELECT path, md5({head} || "summarize") AS response, '
+                                             "CAST(NULL AS VARCHAR) AS model_error FROM summary",
+        "summarize_documents": f"SELECT doc_id, md5({shead} || text) AS \"summarize\" FROM documents",
+        "change_feed": with_ctes("registry") + f"""
+, after AS (SELECT file_path, CASE WHEN processed = 'N' AND type = 'pdf' THEN 'S' ELSE processed END AS processed,
+    CASE WHEN processed = 'N' AND type = 'pdf' THEN TIMESTAMP '{RUN_TIME}' ELSE processed_time END AS processed_time,
+    file_hash FROM registry),
+j AS (SELECT coalesce(b.file_path, a.file_path) AS file_path, b.file_path IS NOT NULL AS hb, a.file_path IS NOT NULL AS ha,
+    b.processed AS bp, b.processed_time AS b_t, b.file_hash AS bh, a.processed AS ap, a.processed_time AS a_t, a.file_hash AS ah
+    FROM track b FULL OUTER JOIN after a ON b.file_path = a.file_path)
+SELECT file_path, 'insert' AS change_type, ap AS processed, a_t AS processed_time, ah AS file_hash FROM j WHERE NOT hb
+UNION ALL SELECT file_path, 'delete', bp, b_t, bh FROM j WHERE NOT ha
+UNION ALL SELECT file_path, 'update_preimage', bp, b_t, bh FROM j WHERE hb AND ha
+    AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)
+UNION ALL SELECT file_path, 'update_postimage', ap, a_t, ah FROM j WHERE hb AND ha
+    AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)""",
+        "stream_latest_kv": "SELECT user_id, event_type, first(value ORDER BY ts DESC, event_id DESC) AS value "
+                            "FROM events GROUP BY user_id, event_type",
     }
 
 
