@@ -688,17 +688,17 @@ stream AS (SELECT channel, st + i - 1 AS pos, CAST(samples[i] AS DOUBLE) AS valu
     lead(frequency) OVER (ORDER BY frequency) AS nf FROM notes {cond}),
 hit AS (SELECT s.vec_id, b.band, max(s.v) AS mv FROM spec s JOIN bands b
     ON s.f > b.frequency AND (b.nf IS NULL OR NOT s.f > b.nf) GROUP BY s.vec_id, b.band)
-SELECT e.vec_id, b.band, b.label, b.frequency, round(greatest({d(-100)}, coalesce(h.mv, {d(-100)})), 6) AS value,
-  round(greatest({d(0)}, least((greatest({d(-100)}, coalesce(h.mv, {d(-100)})) - {d(-100)}) / {d(70)}, {d(1)})), 6) AS level
+SELECT e.vec_id, b.band, b.label, b.frequency, CAST(0 AS DOUBLE) + round(greatest({d(-100)}, coalesce(h.mv, {d(-100)})), 6) AS value,
+  CAST(0 AS DOUBLE) + round(greatest({d(0)}, least((greatest({d(-100)}, coalesce(h.mv, {d(-100)})) - {d(-100)}) / {d(70)}, {d(1)})), 6) AS level
 FROM embeddings e CROSS JOIN bands b LEFT JOIN hit h ON h.vec_id = e.vec_id AND h.band = b.band"""
 
-    level = f"round(greatest({d(0)}, least((v - {d(-100)}) / {d(70)}, {d(1)})), 6)"
+    level = f"CAST(0 AS DOUBLE) + round(greatest({d(0)}, least((v - {d(-100)}) / {d(70)}, {d(1)})), 6)"
     return {
         "downsample_mean": lng + f"SELECT vec_id, CAST(floor(idx * ({d(24)} / n)) AS INTEGER) AS bucket, "
-                                 "round(avg(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
+                                 "CAST(0 AS DOUBLE) + round(avg(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
         "downsample_peak": lng + f"SELECT vec_id, CAST(floor(idx * ({d(24)} / n)) AS INTEGER) AS bucket, "
-                                 "round(max(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
-        "upsample_linear": f"""SELECT vec_id, CAST(i AS INTEGER) AS idx, round(CASE WHEN hi >= n THEN CAST(arr[n] AS DOUBLE)
+                                 "CAST(0 AS DOUBLE) + round(max(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
+        "upsample_linear": f"""SELECT vec_id, CAST(i AS INTEGER) AS idx, CAST(0 AS DOUBLE) + round(CASE WHEN hi >= n THEN CAST(arr[n] AS DOUBLE)
   ELSE CAST(arr[lo + 1] AS DOUBLE) * (1 - t) + CAST(arr[hi + 1] AS DOUBLE) * t END, 6) AS value
 FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo, CAST(ceil(x) AS BIGINT) AS hi, x - floor(x) AS t FROM (
   SELECT vec_id, len(embedding) AS n, embedding AS arr, i, i * (len(embedding) - 1) / {d(99)} AS x
@@ -706,10 +706,10 @@ FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo, CAST(ceil(x) AS BIGINT) AS hi, x
         "band_peak_music": lng + bands(False),
         "band_peak_voice": lng + bands(True),
         "linear_bins": lng + f"SELECT vec_id, CAST(idx AS INTEGER) AS idx, f AS frequency, printf('%.2f Hz', f) AS label, "
-                             f"round(v, 6) AS value, {level} AS level FROM spec",
+                             f"CAST(0 AS DOUBLE) + round(v, 6) AS value, {level} AS level FROM spec",
         "minmax_clamp": lng + f"SELECT vec_id, CAST(idx AS INTEGER) AS idx, {level} AS level FROM spec",
         "pcm16": lng + "SELECT vec_id, idx, pcm, pcm / 32768.0 AS dequantised FROM pcm",
-        "mix_channels": lng + "SELECT signal_id, idx, round(avg(value), 6) AS value FROM lng GROUP BY ALL",
+        "mix_channels": lng + "SELECT signal_id, idx, CAST(0 AS DOUBLE) + round(avg(value), 6) AS value FROM lng GROUP BY ALL",
         "interleave_channels": lng + """SELECT signal_id, idx * nch + channel AS pos, value FROM lng
   JOIN (SELECT signal_id, count(DISTINCT channel) AS nch FROM lng GROUP BY ALL) USING (signal_id)""",
         "concat_chunks": lng + "SELECT channel, CAST(pos AS BIGINT) AS pos, value FROM stream",
