@@ -123,13 +123,19 @@ def parse_summary(df: DataFrame, text_col: str = "summarize", key: str = "path")
     last title line above it.
     """
     lines = F.split(F.col(text_col), "\n")
-    sec = lambda i: F.try_element_at(
-        F.filter(F.slice(F.col("_heads"), 1, i), lambda x: x.isNotNull()), F.lit(-1))
+    # Positions (1-based) of the title lines; line i belongs to the last title at or above it.
+    heads = F.transform(F.col("_lines"), lambda l: F.when(l.rlike(_HEAD_RE), F.trim(F.regexp_extract(l, _HEAD_RE, 1))))
+    head_pos = F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.col("_lines")), F.lit(1))),
+                        lambda i: F.element_at(F.col("_heads"), i).isNotNull())
+    sec = lambda i: F.when(
+        F.size(F.filter(F.col("_hp"), lambda p: p <= i)) > 0,
+        F.element_at(F.col("_heads"), F.element_at(F.col("_hp"), F.size(F.filter(F.col("_hp"), lambda p: p <= i)))))
     rows = F.transform(F.sequence(F.lit(1), F.size(F.col("_lines"))), lambda i: F.struct(
         i.alias("line_no"), F.element_at(F.col("_lines"), i).alias("line"), sec(i).alias("section")))
     x = (df.select(F.col(key), lines.alias("_lines"))
-         .withColumn("_heads", F.transform("_lines", lambda l: F.when(
-             l.rlike(_HEAD_RE), F.trim(F.regexp_extract(l, _HEAD_RE, 1)))))
+         .filter(F.size(F.col("_lines")) > 0)
+         .withColumn("_heads", heads)
+         .withColumn("_hp", head_pos)
          .select(key, F.inline(rows)))
     line = F.col("line")
     is_head = line.rlike(_HEAD_RE)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import file_extension
+from papyra.functions.partitioning import ensure_parallel
 from papyra.schemas import PENDING, PROCESSED
 
 # Fixed values of the fixture recipes.
@@ -34,7 +35,7 @@ def _ext(doc_id: Column) -> Column:
 
 def files(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
     """File inventory rows, one per document."""
-    d = table(spark, sf_dir, "documents")
+    d = ensure_parallel(table(spark, sf_dir, "documents"))
     doc_id = F.col("doc_id")
     name = F.concat(F.lit("doc_"), doc_id.cast("string"), _ext(doc_id))
     cols = [
@@ -108,7 +109,7 @@ def fixture_parser(df: DataFrame) -> DataFrame:
 
 def contract_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known-truth contract records rendered from orders (and the ordering customer)."""
-    o = table(spark, sf_dir, "orders")
+    o = ensure_parallel(table(spark, sf_dir, "orders"))
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     signed = F.to_date(F.col("o_orderdate"))
@@ -235,7 +236,7 @@ def deleted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding vectors as sample arrays: ``channel = vec_id % 2``, ``signal_id = vec_id div 2``."""
-    e = table(spark, sf_dir, "embeddings")
+    e = ensure_parallel(table(spark, sf_dir, "embeddings"))
     return e.select(
         "vec_id",
         (F.col("vec_id") % 2).cast("int").alias("channel"),
