@@ -58,6 +58,12 @@ def q_mark_processed(spark, sf):
     return reg.mark_processed(r, finished, now=F.lit(RUN_TIME).cast("timestamp"))
 
 
+def q_arrival_semi(spark, sf):
+    b = fx.batch(spark, sf)
+    return reg.arrival_semi(b, _registry(spark, sf)).select(
+        "path", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
 def q_latest_upload(spark, sf):
     # Two listings of the same names: the later one (re-uploads an hour later) wins.
     inv = fx.files(spark, sf).drop("doc_id")
@@ -134,6 +140,14 @@ def q_extract_fields(spark, sf):
     return _iso_dates(e.select("path", "extract_status", "info.*"))
 
 
+def q_write_extract(spark, sf):
+    """Extraction of the answers whose contract is not yet in the extract table (even keys are)."""
+    answers = fx.model_response(spark, sf)
+    existing = _extract_table(spark, sf).join(
+        answers.filter(F.col("o_orderkey") % 2 == 0).select("path"), "path", "left_semi")
+    return _iso_dates(ext.write_extract(answers.select("path", "summarize", "response"), existing))
+
+
 def q_field_rules(spark, sf):
     return ext.field_rules(fx.model_response(spark, sf))
 
@@ -463,6 +477,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "pending_count": q_pending_count,
         "mark_processed": q_mark_processed,
         "latest_upload": q_latest_upload,
+        "arrival_semi": q_arrival_semi,
+        "write_extract": q_write_extract,
         "files_listing": q_files_listing,
         "listing_projection": q_listing_projection,
         "status_label": q_status_label,
@@ -590,6 +606,10 @@ def oracle_sql() -> dict[str, str]:
         "latest_upload": with_ctes("files") + """SELECT file_name, type, size + 1 AS size, file_path,
   upload_time + INTERVAL 1 HOUR AS upload_time, processed_time, file_hash FROM files""",
         "files_listing": reg_ctes + _LISTING_SELECT,
+        "arrival_semi": reg_ctes + """SELECT file_path AS path, CAST(strlen(text) AS BIGINT) AS n_bytes FROM files
+  WHERE file_path IN (SELECT file_path FROM registry WHERE processed = 'N')""",
+        "write_extract": details + 'SELECT path, "summarize", ' + ex_fields +
+        " FROM extracted JOIN summary USING (o_orderkey, path) WHERE o_orderkey % 2 = 1",
         "listing_projection": reg_ctes + _LISTING_SELECT,
         "status_label": reg_ctes + """SELECT file_name,
   CASE WHEN processed = 'S' THEN '✅' ELSE '❌' END AS processed,

@@ -33,9 +33,11 @@ def append_sink(df: DataFrame, target: str, schema: T.StructType | None = None)
         df = df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
     if "/" in target:
         df.write.mode("append").parquet(target)
+    elif df.sparkSession.catalog.tableExists(target):
+        cols = df.sparkSession.table(target).columns
+        df.select(*cols).write.insertInto(target)  # columns reordered by name first
     else:
-        df.write.mode("append").saveAsTable(target) if not df.sparkSession.catalog.tableExists(target) \
-            else df.write.insertInto(target)
+        df.write.mode("append").saveAsTable(target)
 
 
 def ensure_table(spark: SparkSession, name: str, schema: T.StructType, location: str | None = None,

@@ -24,8 +24,11 @@ def _inventory(batch: DataFrame) -> DataFrame:
         F.lit(None).cast("timestamp").alias("processed_time"), content_hash("content").alias("file_hash"))
 
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
 def _stream(spark: SparkSession, landing: str, max_files: int | None, glob: str | None) -> DataFrame:
-    r = spark.readStream.format("binaryFile")
+    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if glob:
