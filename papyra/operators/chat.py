@@ -92,12 +92,6 @@ def append_turn(history: DataFrame, exchanges: DataFrame) -> DataFrame:
     return history.select("conv_id", "turn", "role", "text").unionByName(new)
 
 
-def history_arrays(history: DataFrame) -> DataFrame:
-    """G4 view: each conversation's messages in turn order, as ``array<struct<turn, role, text>>``."""
-    return history.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
-
-
 def turn_pairs(chat: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Each user message with the assistant reply that directly follows it."""
     n = neighbour(chat, "conv_id", F.col("turn"), ["turn"], ["role", "text"], "next", width)

@@ -157,9 +157,10 @@ def concat_chunks(chunks: DataFrame, channel: str = "channel", seq: str = "seq",
 def rechunk(stream: DataFrame, channel: str = "channel", frame: int = FRAME_SAMPLES) -> DataFrame:
     """Fixed frames of ``frame`` samples over each channel's continuous signal; a partial last frame
     is not emitted.  Output ``(channel, frame, slot, value)``."""
+    # At most MAX_CHANNELS rows (S9 keeps channels 0..8): a proven bound, so broadcast it.
     total = stream.groupBy(channel).agg(F.count(F.lit(1)).alias("_n"))
     full = F.floor(F.col("_n") / frame) * frame
-    return (stream.join(total, channel).filter(F.col("pos") < full)
+    return (stream.join(F.broadcast(total), channel).filter(F.col("pos") < full)
             .select(channel, F.floor(F.col("pos") / frame).cast("long").alias("frame"),
                     (F.col("pos") % frame).cast("int").alias("slot"), "value"))
 
