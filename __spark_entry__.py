@@ -138,6 +138,11 @@ def q_paginate(spark, sf):
                         order=["file_name"])
 
 
+def q_page_label(spark, sf):
+    total = _registry(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return srv.page_label(total, page=3, rows_per_page=8)
+
+
 def q_display_default(spark, sf):
     return srv.display_default_view(srv.contract_details(_extract_table(spark, sf)))
 
@@ -507,6 +512,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "path_parts": q_path_parts,
         "first_summary": q_first_summary,
         "paginate": q_paginate,
+        "page_label": q_page_label,
         "display_default": q_display_default,
         "expiring_contracts": q_expiring_contracts,
         "contract_metrics": q_contract_metrics,
@@ -642,6 +648,8 @@ def oracle_sql() -> dict[str, str]:
   split_part(file_path, '/', -1) AS pdf FROM files""",
         "first_summary": details + """SELECT coalesce((SELECT "summarize" FROM summary
   WHERE contains(path, 'contrato_12') ORDER BY path LIMIT 1), '') AS "summarize" """,
+        "page_label": reg_ctes + "SELECT printf('%d-%d of %d', least(25, n), least(32, n), n) AS label "
+                                 "FROM (SELECT count(*) AS n FROM registry)",
         "paginate": reg_ctes + "SELECT * FROM (" + _LISTING_SELECT + ") ORDER BY file_name LIMIT 8 OFFSET 24",
         "display_default": details + "SELECT " + ", ".join(
             f"CASE WHEN {c} IS NULL OR {c} = '' THEN '-' ELSE {c} END AS {c}" for c in srv.DISPLAY_COLUMNS)

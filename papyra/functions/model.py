@@ -48,7 +48,7 @@ def prompt_key(prompt: Column) -> Column:
 
 
 def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str = "response",
-               cache: DataFrame | None = None) -> DataFrame:
+               cache: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
     """One model answer per row, each distinct prompt sent once.
 
     Prompts are keyed by SHA-256; distinct keys are computed with a partial aggregate (a prompt repeated by
@@ -65,7 +65,8 @@ def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str =
     if cache is not None:
         answered = answered.unionByName(
             cache.select(F.col("prompt_key").alias("_pk"), "response", F.lit(None).cast("string").alias("model_error")))
-    out = keyed.join(answered, "_pk", "left").drop("_pk")
+    out = keyed.join(answered, "_pk", "left")
+    out = out.withColumnRenamed("_pk", "prompt_key") if keep_key else out.drop("_pk")
     if out_col != "response":
         out = out.withColumnRenamed("response", out_col)
     return out

@@ -34,6 +34,7 @@ class PipelineConfig:
     limit: int | None = None               # C1: first N pending files per run (None: all)
     summary_model: TextModel | None = None  # E3; None leaves summaries NULL
     extract_model: TextModel | None = None  # E5; None skips extraction
+    model_cache: bool = True                # E2: keep answers by prompt key and never ask twice
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -54,6 +55,7 @@ class Pipeline:
         self.registry = SnapshotTable(spark, f"{cfg.base}/registry")
         self.parsed_path = f"{cfg.base}/parsed"
         self.extract_path = f"{cfg.base}/extract"
+        self.cache_path = f"{cfg.base}/model_cache"
 
     # -- B1
     def register(self, inventory: DataFrame) -> DataFrame:
@@ -92,8 +94,22 @@ class Pipeline:
             done = self.extracted()
             todo = parsed.join(done.select("path"), "path", "left_anti").filter(F.col("summarize").isNotNull())
             prompts = todo.select("path", "summarize", ext.build_prompt("summarize", "extract").alias("_prompt"))
-            answered = infer_text(prompts, "_prompt", cfg.extract_model)
-            rows = ext.expand_struct(ext.extract_fields(answered))
+            cache = None
+            if cfg.model_cache and _exists(self.spark, self.cache_path):
+                cache = self.spark.read.parquet(self.cache_path)
+            answered = infer_text(prompts, "_prompt", cfg.extract_model, cache=cache, keep_key=True)
+            if cfg.model_cache:
+                # The answers are written to the cache first and read back, so the model runs once.
+                fresh = (answered.filter(F.col("model_error").isNull() & F.col("response").isNotNull())
+                         .select("prompt_key", "response").dropDuplicates(["prompt_key"]))
+                if cache is not None:
+                    fresh = fresh.join(cache.select("prompt_key"), "prompt_key", "left_anti")
+                fresh.write.mode("append").parquet(self.cache_path)
+                cached = self.spark.read.parquet(self.cache_path)
+                answered = prompts.withColumn("prompt_key", F.sha2(F.col("_prompt"), 256)).join(
+                    cached, "prompt_key", "left").withColumn("model_error", F.lit(None).cast("string"))
+            # Rows whose model call failed stay out of the extract table and are retried on the next run.
+            rows = ext.expand_struct(ext.extract_fields(answered.filter(F.col("response").isNotNull())))
             rows.select(*CONTRACT_EXTRACT.fieldNames()).write.mode("append").parquet(self.extract_path)
 
         finished = self.spark.read.parquet(self.parsed_path).select("path")

@@ -52,3 +52,30 @@ def test_pipeline_is_idempotent(spark, scratch):
     assert reg_rows and all(r.processed == "S" for r in reg_rows)
     ex = p.extracted().collect()
     assert ex and all(r.tipo_contrato == "Locação" and r.valor_total == 10.0 for r in ex)
+
+
+def test_model_sees_each_distinct_prompt_once(spark, scratch):
+    import uuid
+    landing = os.path.join(scratch, "landing")
+    calls = os.path.join(scratch, "calls")
+    os.makedirs(landing)
+    os.makedirs(calls)
+    for i in range(4):  # four copies of one document
+        with open(os.path.join(landing, f"c{i}.pdf"), "w") as f:
+            f.write("mesmo texto\nsegunda linha")
+
+    def model(prompts):
+        for p in prompts:
+            with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+                f.write(p)
+        return ['{"tipo_contrato": "Locação"}' for _ in prompts]
+
+    cfg = PipelineConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
+                         extract_model=model)
+    p = Pipeline(spark, cfg)
+    files = spark.read.format("binaryFile").load(landing).select("path", "content")
+    from papyra.sources.files import file_inventory
+    p.register(file_inventory(spark, landing))
+    p.process(files)
+    assert p.extracted().count() == 4
+    assert len(os.listdir(calls)) == 1
