@@ -490,11 +490,24 @@ def q_stream_latest_kv(spark, sf):
 
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: contract details served from the extract table built from sf0.001."""
-    return q_contract_details(spark, SF0001)
+    return _utc(q_contract_details)(spark, SF0001)
+
+
+def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Timestamps are read and formatted in UTC (the tables hold UTC wall times)."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return {k: _utc(v) for k, v in _QUERIES.items()}
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "register_new_files": q_register_new_files,
         "pending_files": q_pending_files,
         "pending_count": q_pending_count,
