@@ -35,8 +35,18 @@ def binary_scan(spark: SparkSession, path: str, max_bytes: int | None = None,
     return df
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+
+
 def _parent_dir(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*$", "")
+    """Parent folder without scheme, with one leading slash (``file:///a/b/f`` -> ``/a/b``)."""
+    return F.regexp_replace(F.regexp_replace(path, r"/[^/]*$", ""), _SCHEME, "/")
+
+
+def _norm_dir(d: str) -> str:
+    import re
+    d = re.sub(_SCHEME, "/", d.rstrip("/"))
+    return d if d.startswith("/") else "/" + d
 
 
 def file_inventory(spark: SparkSession, directory: str, upload_time: str = "now",
@@ -49,8 +59,7 @@ def file_inventory(spark: SparkSession, directory: str, upload_time: str = "now"
     raw = binary_scan(spark, directory, recursive=True)
     if not recursive:
         # Keep only files whose parent is the listed directory (subdirectories are not descended).
-        d = directory.rstrip("/")
-        raw = raw.filter(F.endswith(_parent_dir(F.col("path")), F.lit(d.split(":", 1)[-1])))
+        raw = raw.filter(_parent_dir(F.col("path")) == F.lit(_norm_dir(directory)))
     stamp = F.current_timestamp() if upload_time == "now" else F.col("modificationTime")
     name = base_name(F.col("path"))
     return raw.select(

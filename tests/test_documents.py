@@ -25,6 +25,11 @@ def raw_dir(scratch):
     os.makedirs(os.path.join(scratch, "sub.d"))
     with open(os.path.join(scratch, "sub.d", "inner.pdf"), "wb") as f:
         f.write(b"nested")
+    # a nested folder whose path ends like the listed one must not leak into the listing
+    same = os.path.join(scratch, "sub.d", os.path.basename(scratch))
+    os.makedirs(same)
+    with open(os.path.join(same, "deep.pdf"), "wb") as f:
+        f.write(b"deep")
     return scratch, files
 
 
@@ -62,7 +67,7 @@ def test_outcomes_cover_every_file(spark, raw_dir):
     batch = binary_scan(spark, d, recursive=True).select("path", "content")
     out = doc.process_batch(batch, doc.text_parser)
     rep = {r.outcome: r.n_files for r in doc.coverage_report(batch, out).collect()}
-    assert sum(rep.values()) == len([n for n in files if not n.startswith(".")]) + 1
+    assert sum(rep.values()) == len([n for n in files if not n.startswith(".")]) + 2
 
 
 def _parsed(spark, rows):
