@@ -221,9 +221,17 @@ def coverage_report(batch: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def process_batch(batch: DataFrame, parser: Parser, extensions: list[str] | None = None,
                   partitions: int | None = None,
-                  summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """C2-C11 in one plan: spread, route, parse, reassemble, and union the three outcomes."""
+                  summary: Callable[[DataFrame], DataFrame] | None = None,
+                  stage_path: str | None = None) -> DataFrame:
+    """Spread, route, parse, reassemble, and union the three outcomes.
+
+    The parse result feeds two branches (successes and errors).  With ``stage_path`` (a folder in the
+    shared storage) it is written there once and read back, so an expensive parser runs exactly once per
+    file; without it Spark may evaluate the parser once per branch (fine for the native parsers)."""
     b = spread_by_hash(batch, partitions) if partitions else batch
     routed = route_by_extension(b, extensions)
     parsed = parse_documents(routed, parser)
+    if stage_path is not None:
+        parsed.write.mode("overwrite").parquet(stage_path)
+        parsed = parsed.sparkSession.read.parquet(stage_path)
     return union_outcomes(parsed_outcomes(parsed, summary), raw_text_documents(routed), parse_errors(parsed))

@@ -12,6 +12,7 @@ and to extraction, so the parser and the model run exactly once per file.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,8 +87,9 @@ class Pipeline:
         if cfg.summary_model is not None:
             summary = lambda ok: ext.summarize_documents(
                 ok.withColumn("_src", F.col("raw_parsed").cast("string")), "_src", cfg.summary_model).drop("_src")
-        outcomes = doc.process_batch(pending, cfg.parser, cfg.extensions, cfg.partitions, summary)
-        outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser + model
+        stage = f"{cfg.base}/_staging/parse-{uuid.uuid4().hex}"
+        outcomes = doc.process_batch(pending, cfg.parser, cfg.extensions, cfg.partitions, summary, stage)
+        outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser and model
 
         if cfg.extract_model is not None:
             parsed = self.spark.read.parquet(self.parsed_path)

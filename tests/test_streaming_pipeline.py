@@ -79,3 +79,33 @@ def test_model_sees_each_distinct_prompt_once(spark, scratch):
     p.process(files)
     assert p.extracted().count() == 4
     assert len(os.listdir(calls)) == 1
+
+
+def test_parser_runs_once_per_file(spark, scratch):
+    import uuid
+    from papyra.operators.documents import pandas_parser
+    landing = os.path.join(scratch, "landing")
+    calls = os.path.join(scratch, "calls")
+    os.makedirs(landing)
+    os.makedirs(calls)
+    for i in range(5):
+        with open(os.path.join(landing, f"f{i}.pdf"), "w") as f:
+            f.write(f"linha {i}\noutra")
+    with open(os.path.join(landing, "nota.txt"), "w") as f:
+        f.write("texto simples")
+
+    def parse(b: bytes) -> dict:
+        with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+            f.write("x")
+        return {"metadata": {"version": "2.0"},
+                "document": {"elements": [{"content": x} for x in b.decode().split("\n")]}}
+
+    p = Pipeline(spark, PipelineConfig(base=os.path.join(scratch, "tables"), parser=pandas_parser(parse),
+                                       summary_model=lambda ps: ["resumo" for _ in ps]))
+    from papyra.sources.files import file_inventory
+    p.register(file_inventory(spark, landing))
+    p.process(spark.read.format("binaryFile").load(landing).select("path", "content"))
+    assert len(os.listdir(calls)) == 5  # text/raw/error branches and the summary reuse one parse
+    rows = {os.path.basename(r.path): r for r in p.parsed().collect()}
+    assert rows["f3.pdf"].text == "linha 3\n\noutra" and rows["f3.pdf"].summarize == "resumo"
+    assert rows["nota.txt"].text == "texto simples" and rows["nota.txt"].raw_parsed is None
