@@ -36,7 +36,7 @@ _STORED: dict[tuple[str, str], str] = {}
 
 
 def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table the pipeline writes (registry, contract_extract), written once per process into the shared
+    """A table the ingestion run writes (registry, contract_extract), written once per process into the shared
     scratch folder and read back, as the serving layer reads the stored tables."""
     from papyra.session import scratch_path
     key = (sf, name)
@@ -48,7 +48,7 @@ def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFra
 
 
 def _extract_table(spark: SparkSession, sf: str) -> DataFrame:
-    """contract_extract as the pipeline writes it, from the model answers fixture."""
+    """contract_extract as the ingestion run writes it, from the model answers fixture."""
     return _stored(spark, sf, "contract_extract", lambda: ext.expand_struct(
         ext.extract_fields(fx.model_response(spark, sf)), keep=["path", "summarize"]))
 
@@ -91,7 +91,7 @@ def q_latest_upload(spark, sf):
 # ------------------------------------------------------------------------------------------------ serving
 
 def _registry(spark, sf):
-    """contract_track after admitting the incoming listing (stored, as the pipeline keeps it)."""
+    """contract_track after admitting the incoming listing (stored, as the ingestion run keeps it)."""
     return _stored(spark, sf, "contract_track",
                    lambda: reg.apply_registration(fx.incoming(spark, sf), fx.track(spark, sf)))
 

@@ -6,7 +6,7 @@ collects data to the driver.  Sub-packages:
 * ``sources``    file and table scans, sinks, table management
 * ``operators``  registry, documents, extraction, serving, chat, events, signals
 * ``functions``  column-expression helpers and the pluggable text-model / parser interfaces
-* ``plans``      derived fixtures and the end-to-end batch pipeline
+* ``plans``      derived fixtures and the end-to-end batch ingestion run
 * ``streaming``  Structured Streaming ingestion and change capture
 """
 

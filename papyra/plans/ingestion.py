@@ -27,7 +27,7 @@ from papyra.sources.tables import SnapshotTable
 
 
 @dataclass
-class PipelineConfig:
+class IngestConfig:
     base: str
     parser: doc.Parser = doc.text_parser
     extensions: list[str] = field(default_factory=lambda: list(doc.PARSE_EXTENSIONS))
@@ -50,8 +50,8 @@ def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-class Pipeline:
-    def __init__(self, spark: SparkSession, cfg: PipelineConfig):
+class IngestRun:
+    def __init__(self, spark: SparkSession, cfg: IngestConfig):
         self.spark, self.cfg = spark, cfg
         self.registry = SnapshotTable(spark, f"{cfg.base}/registry")
         self.parsed_path = f"{cfg.base}/parsed"

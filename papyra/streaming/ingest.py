@@ -1,7 +1,7 @@
 """Incremental ingestion as Structured Streaming.
 
 A ``binaryFile`` stream over the landing directory drives the same set-based steps as the batch
-pipeline in ``foreachBatch``.  ``availableNow`` drains what has arrived and stops (the file-arrival
+ingestion run in ``foreachBatch``.  ``availableNow`` drains what has arrived and stops (the file-arrival
 trigger); ``maxFilesPerTrigger`` throttles micro-batch size.  ``foreachBatch`` is at-least-once: a replayed
 micro-batch finds its files already registered / parsed (anti joins), so it adds nothing.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import base_name, file_extension
-from papyra.plans.pipeline import Pipeline
+from papyra.plans.ingestion import IngestRun
 from papyra.sources.files import content_hash
 
 
@@ -36,25 +36,25 @@ def _stream(spark: SparkSession, landing: str, max_files: int | None, glob: str
     return r.load(landing)
 
 
-def stream_register(spark: SparkSession, pipeline: Pipeline, landing: str, checkpoint: str,
+def stream_register(spark: SparkSession, run: IngestRun, landing: str, checkpoint: str,
                     max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
     """Register newly landed files (B1 per micro-batch) until the directory is drained."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        pipeline.register(_inventory(batch))
+        run.register(_inventory(batch))
 
     q = (_stream(spark, landing, max_files_per_trigger, glob).writeStream.foreachBatch(step)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def stream_extract(spark: SparkSession, pipeline: Pipeline, landing: str, checkpoint: str,
+def stream_extract(spark: SparkSession, run: IngestRun, landing: str, checkpoint: str,
                    max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
     """Register, parse, summarise, extract and mark each micro-batch's files."""
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            pipeline.register(_inventory(batch))
-            pipeline.process(batch.select("path", "content"))
+            run.register(_inventory(batch))
+            run.process(batch.select("path", "content"))
         finally:
             batch.unpersist()
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF0001
 from papyra.operators import registry as reg
-from papyra.plans.pipeline import Pipeline, PipelineConfig
+from papyra.plans.ingestion import IngestRun, IngestConfig
 from papyra.schemas import CONTRACT_TRACK, FILE_INVENTORY
 from papyra.streaming.ingest import stream_extract, stream_register
 
@@ -22,7 +22,7 @@ def test_two_stream_runs_equal_one_batch(spark, scratch):
     landing = os.path.join(scratch, "landing")
     os.makedirs(landing)
     n1 = _write_docs(spark, landing, list(range(0, 20)))
-    p = Pipeline(spark, PipelineConfig(base=os.path.join(scratch, "tables")))
+    p = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "tables")))
     ck = os.path.join(scratch, "ckpt")
     stream_register(spark, p, landing, ck, max_files_per_trigger=7)
     n2 = _write_docs(spark, landing, list(range(20, 40)))
@@ -35,14 +35,14 @@ def test_two_stream_runs_equal_one_batch(spark, scratch):
     assert got.count() <= n1 + n2
 
 
-def test_pipeline_is_idempotent(spark, scratch):
+def test_ingestion_is_idempotent(spark, scratch):
     landing = os.path.join(scratch, "landing")
     os.makedirs(landing)
     _write_docs(spark, landing, list(range(0, 30)))
     model = lambda prompts: ['{"tipo_contrato": "Locação", "valor_total": "10"}' for _ in prompts]
-    cfg = PipelineConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
                          extract_model=model)
-    p = Pipeline(spark, cfg)
+    p = IngestRun(spark, cfg)
     stream_extract(spark, p, landing, os.path.join(scratch, "ckpt"))
     parsed1, extract1 = p.parsed().count(), p.extracted().count()
     files = spark.read.format("binaryFile").load(landing).select("path", "content")
@@ -70,9 +70,9 @@ def test_model_sees_each_distinct_prompt_once(spark, scratch):
                 f.write(p)
         return ['{"tipo_contrato": "Locação"}' for _ in prompts]
 
-    cfg = PipelineConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
                          extract_model=model)
-    p = Pipeline(spark, cfg)
+    p = IngestRun(spark, cfg)
     files = spark.read.format("binaryFile").load(landing).select("path", "content")
     from papyra.sources.files import file_inventory
     p.register(file_inventory(spark, landing))
@@ -100,7 +100,7 @@ def test_parser_runs_once_per_file(spark, scratch):
         return {"metadata": {"version": "2.0"},
                 "document": {"elements": [{"content": x} for x in b.decode().split("\n")]}}
 
-    p = Pipeline(spark, PipelineConfig(base=os.path.join(scratch, "tables"), parser=pandas_parser(parse),
+    p = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "tables"), parser=pandas_parser(parse),
                                        summary_model=lambda ps: ["resumo" for _ in ps]))
     from papyra.sources.files import file_inventory
     p.register(file_inventory(spark, landing))
