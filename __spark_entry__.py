@@ -207,7 +207,9 @@ def q_parse_documents(spark, sf):
     p = F.col("parsed")
     return _parsed(spark, sf).select(
         "path", F.try_variant_get(p, "$.metadata.version", "string").alias("version"),
-        F.size(doc.items_of(p)).cast("long").alias("n_items"), doc.error_of(p).alias("error_status"))
+        # a failed parse has no document: 0 items
+        F.coalesce(F.size(doc.items_of(p)), F.lit(0)).cast("long").alias("n_items"),
+        doc.error_of(p).alias("error_status"))
 
 
 def q_raw_text_documents(spark, sf):
@@ -695,7 +697,7 @@ def _misc_oracles() -> dict[str, str]:
     head = _sql_str(ext.EXTRACTION_INSTRUCTIONS)
     shead = _sql_str(ext.SUMMARY_INSTRUCTIONS)
     return {
-        "named_table_scan": "SELECT lang, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents "
+        "named_table_scan": "SELECT lang, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents "
                             "WHERE n_chars >= 0 GROUP BY lang",
         "build_prompt": with_ctes("summary") + f'SELECT path, {head} || "summarize" AS prompt FROM summary',
         "infer_text": with_ctes("summary") + f'SELECT path, md5({head} || "summarize") AS response, '
@@ -868,7 +870,7 @@ def _document_oracles() -> dict[str, str]:
         "route_by_extension": f + f"SELECT file_path AS path, CASE WHEN {pdf} THEN 'parse' ELSE 'raw' END AS route "
                                   "FROM files",
         "parse_documents": f + f"""SELECT file_path AS path, {version} AS version,
-  CASE WHEN doc_id % 13 = 0 THEN NULL ELSE CAST(len({lines}) AS BIGINT) END AS n_items,
+  CASE WHEN doc_id % 13 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(len({lines}) AS BIGINT) END AS n_items,
   CASE WHEN doc_id % 13 = 0 THEN 'PARSE_FAILED' END AS error_status FROM files WHERE {pdf}""",
         "raw_text_documents": f + f"SELECT file_path AS path, text, CAST(NULL AS VARCHAR) AS error_status "
                                   f"FROM files WHERE NOT ({pdf})",
