@@ -7,11 +7,11 @@ last-write-wins state is a partial aggregate (``max_by``).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import blank_to_null
-from papyra.functions.sequence import neighbour, running_sum
+from papyra.functions.sequence import running_sum
 
 HOUR_MICROS = 3_600_000_000
 
@@ -29,16 +29,37 @@ def micros(ts: str | Column) -> Column:
 def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "event_type",
                   width: int = HOUR_MICROS) -> DataFrame:
     """H1: consecutive events of one type in a session become one row.  ``repeat_count`` follows the UI
-    (run length - 1: the first event has no count, each repeat adds one); ``run_length`` is also given."""
-    e = events.select(session, kind, "ts", "event_id")
-    lagged = neighbour(e, session, micros("ts"), ["ts", "event_id"], [kind], "prev", width)
-    start = (F.col(f"prev_{kind}").isNull() | (F.col(f"prev_{kind}") != F.col(kind))).cast("long")
-    numbered = running_sum(lagged.withColumn("_start", start), session, micros("ts"), ["ts", "event_id"],
-                           "_start", "run_no", width)
+    (run length - 1: the first event has no count, each repeat adds one); ``run_length`` is also given.
+
+    Gaps-and-islands in one bucketed pass: inside each ``(session, time bucket)`` a window gives the
+    previous type and a running count of run starts; one summary row per bucket (first type, last type,
+    starts) carries the decision for the bucket's first row and the start count across buckets.  A very
+    active session is spread over its buckets; only the summaries are ordered per session.
+    """
+    order = ["ts", "event_id"]
+    e = events.select(session, kind, *order).withColumn("_b", F.floor(micros("ts") / F.lit(width)).cast("long"))
+    w = Window.partitionBy(session, "_b").orderBy(*order)
+    prev = F.lag(kind).over(w)
+    first_in_bucket = F.row_number().over(w) == 1
+    local = F.when(first_in_bucket, F.lit(0)).when(prev.isNull() | (prev != F.col(kind)), F.lit(1)).otherwise(F.lit(0))
+    e = (e.withColumn("_start", local.cast("long"))
+          .withColumn("_lrs", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    key = F.struct(*[F.col(c) for c in order])
+    summ = e.groupBy(session, "_b").agg(F.min_by(F.col(kind), key).alias("_first"),
+                                        F.max_by(F.col(kind), key).alias("_last"),
+                                        F.sum("_start").alias("_local"))
+    wb = Window.partitionBy(session).orderBy("_b")
+    prev_last = F.lag("_last").over(wb)
+    summ = summ.withColumn("_fs", F.when(prev_last.isNull() | (prev_last != F.col("_first")), F.lit(1))
+                           .otherwise(F.lit(0)).cast("long"))
+    summ = summ.withColumn("_before", F.coalesce(
+        F.sum(F.col("_local") + F.col("_fs")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = e.join(summ.select(session, "_b", "_fs", "_before"), [session, "_b"]).withColumn(
+        "run_no", F.col("_before") + F.col("_fs") + F.col("_lrs"))
     return (numbered.groupBy(session, "run_no")
-            .agg(F.min_by(F.col(kind), F.struct("ts", "event_id")).alias(kind),
+            .agg(F.min_by(F.col(kind), key).alias(kind),
                  F.min("ts").alias("run_start"),
-                 F.min_by(F.col("event_id"), F.struct("ts", "event_id")).alias("first_event_id"),
+                 F.min_by(F.col("event_id"), key).alias("first_event_id"),
                  F.count(F.lit(1)).alias("run_length"))
             .withColumn("repeat_count", F.col("run_length") - 1))
 

@@ -52,3 +52,26 @@ def test_bucketed_sequence_equals_plain_window(spark):
         got = running_sum(df, "key", order, ["ts", "id"], "v", "rs", width)
         exp = df.withColumn("rs", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         assert sorted(got.collect()) == sorted(exp.select(got.columns).collect())
+
+
+def test_collapse_runs_equals_plain_gaps_and_islands(spark):
+    from papyra.operators.events import collapse_runs
+    rnd = random.Random(11)
+    rows, eid = [], 0
+    for u in range(3):
+        t = datetime(2024, 1, 1)
+        for _ in range(1500 if u == 0 else 150):  # user 0 is hot
+            t += timedelta(seconds=rnd.choice([0, 1, 30, 400]))
+            rows.append((eid, t, u, rnd.choice(["a", "a", "b", None])))
+            eid += 1
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    prev = F.lag("event_type").over(w)
+    st = F.when(prev.isNull() | (prev != F.col("event_type")), 1).otherwise(0)
+    ref = (df.withColumn("st", st).withColumn("run_no", F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+           .groupBy("user_id", "run_no").agg(F.count(F.lit(1)).alias("run_length"),
+                                             F.min("event_id").alias("first_event_id")))
+    want = sorted((r.user_id, r.run_no, r.run_length, r.first_event_id) for r in ref.collect())
+    for width in (1, 60_000_000, 3_600_000_000, 1 << 50):
+        got = collapse_runs(df, width=width)
+        assert sorted((r.user_id, r.run_no, r.run_length, r.first_event_id) for r in got.collect()) == want
