@@ -57,6 +57,7 @@ class IngestRun:
         self.parsed_path = f"{cfg.base}/parsed"
         self.extract_path = f"{cfg.base}/extract"
         self.cache_path = f"{cfg.base}/model_cache"
+        self.retry = SnapshotTable(spark, f"{cfg.base}/extract_retry")
 
     # -- B1
     def register(self, inventory: DataFrame) -> DataFrame:
@@ -73,46 +74,76 @@ class IngestRun:
 
     # -- B4, C1-C11, E3, E5-E7, B3
     def process(self, files: DataFrame, now: Column | None = None) -> None:
-        """Process the pending files among ``files`` (``path, content``)."""
+        """Process the pending files among ``files`` (``path, content``).
+
+        Work per run is proportional to the run: the run's path list is written once and every later
+        step (parse, extraction, status update) is scoped to it.  The stored tables are only probed on
+        their ``path`` column, with the run's (small) path list as the build side.
+        """
         cfg = self.cfg
+        spark = self.spark
+        run_dir = f"{cfg.base}/_staging/run-{uuid.uuid4().hex}"
         registry = self.registry.read(CONTRACT_TRACK)
-        pending = reg.arrival_semi(files, registry)
+        pending = reg.arrival_semi(files, registry).select("path")
         existing = self.parsed()
         if existing is not None:
-            pending = pending.join(existing.select(F.col("path").alias("_p")), F.col("path") == F.col("_p"),
-                                   "left_anti")
+            pending = _without_known(pending, existing)
         if cfg.limit:
-            pending = doc.batch_topn_files(pending, cfg.limit)
+            pending = pending.orderBy("path").limit(cfg.limit)
+        pending.write.mode("overwrite").parquet(f"{run_dir}/paths")
+        run_paths = spark.read.parquet(f"{run_dir}/paths")
+        batch = files.join(run_paths.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
+
         summary = None
         if cfg.summary_model is not None:
             summary = lambda ok: ext.summarize_documents(
                 ok.withColumn("_src", F.col("raw_parsed").cast("string")), "_src", cfg.summary_model).drop("_src")
-        stage = f"{cfg.base}/_staging/parse-{uuid.uuid4().hex}"
-        outcomes = doc.process_batch(pending, cfg.parser, cfg.extensions, cfg.partitions, summary, stage)
+        outcomes = doc.process_batch(batch, cfg.parser, cfg.extensions, cfg.partitions, summary,
+                                     f"{run_dir}/parse")
         outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser and model
 
         if cfg.extract_model is not None:
-            parsed = self.spark.read.parquet(self.parsed_path)
-            done = self.extracted()
-            todo = parsed.join(done.select("path"), "path", "left_anti").filter(F.col("summarize").isNotNull())
-            prompts = todo.select("path", "summarize", ext.build_prompt("summarize", "extract").alias("_prompt"))
-            cache = None
-            if cfg.model_cache and _exists(self.spark, self.cache_path):
-                cache = self.spark.read.parquet(self.cache_path)
-            answered = infer_text(prompts, "_prompt", cfg.extract_model, cache=cache, keep_key=True)
-            if cfg.model_cache:
-                # The answers are written to the cache first and read back, so the model runs once.
-                fresh = (answered.filter(F.col("model_error").isNull() & F.col("response").isNotNull())
-                         .select("prompt_key", "response").dropDuplicates(["prompt_key"]))
-                if cache is not None:
-                    fresh = fresh.join(cache.select("prompt_key"), "prompt_key", "left_anti")
-                fresh.write.mode("append").parquet(self.cache_path)
-                cached = self.spark.read.parquet(self.cache_path)
-                answered = prompts.withColumn("prompt_key", F.sha2(F.col("_prompt"), 256)).join(
-                    cached, "prompt_key", "left").withColumn("model_error", F.lit(None).cast("string"))
-            # Rows whose model call failed stay out of the extract table and are retried on the next run.
-            rows = ext.expand_struct(ext.extract_fields(answered.filter(F.col("response").isNotNull())))
-            rows.select(*CONTRACT_EXTRACT.fieldNames()).write.mode("append").parquet(self.extract_path)
-
-        finished = self.spark.read.parquet(self.parsed_path).select("path")
-        self.registry.write(reg.mark_processed(registry, finished, now))
+            self._extract(run_paths, run_dir)
+        self.registry.write(reg.mark_processed(registry, run_paths, now))
+
+    def _extract(self, run_paths: DataFrame, run_dir: str) -> None:
+        """E5-E7 for this run's documents plus earlier ones whose model call failed."""
+        cfg, spark = self.cfg, self.spark
+        retry = self.retry.read(_PATHS)
+        targets = run_paths.unionByName(retry.select("path")).distinct()
+        parsed = self.spark.read.parquet(self.parsed_path)
+        todo = parsed.join(targets, "path", "left_semi").filter(F.col("summarize").isNotNull())
+        todo = _without_known(todo, self.extracted())  # replayed runs add nothing
+        prompts = todo.select("path", "summarize", ext.build_prompt("summarize", "extract").alias("_prompt"))
+        cache = None
+        if cfg.model_cache and _exists(spark, self.cache_path):
+            cache = spark.read.parquet(self.cache_path)
+        answered = infer_text(prompts, "_prompt", cfg.extract_model, cache=cache, keep_key=True)
+        if cfg.model_cache:
+            # Answers go to the cache first and are read back, so the model runs once per prompt.
+            fresh = (answered.filter(F.col("model_error").isNull() & F.col("response").isNotNull())
+                     .select("prompt_key", "response").dropDuplicates(["prompt_key"]))
+            if cache is not None:
+                fresh = fresh.join(cache.select("prompt_key"), "prompt_key", "left_anti")
+            fresh.write.mode("append").parquet(self.cache_path)
+            answered = (prompts.withColumn("prompt_key", F.sha2(F.col("_prompt"), 256))
+                        .join(spark.read.parquet(self.cache_path), "prompt_key", "left"))
+        else:
+            answered.write.mode("overwrite").parquet(f"{run_dir}/answers")
+            answered = spark.read.parquet(f"{run_dir}/answers")
+        # Rows whose model call failed stay out of the extract table and are retried on the next run.
+        ok = answered.filter(F.col("response").isNotNull())
+        rows = ext.expand_struct(ext.extract_fields(ok))
+        rows.select(*CONTRACT_EXTRACT.fieldNames()).write.mode("append").parquet(self.extract_path)
+        self.retry.write(answered.filter(F.col("response").isNull()).select("path").distinct())
+
+
+_PATHS = "path string"
+
+
+def _without_known(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` whose path is not in ``table``.  The table is probed with a semi join that has the (small)
+    rows as its build side, then the few hits are removed: the big table is never shuffled whole."""
+    keys = rows.select(F.col("path").alias("_k")).distinct()
+    hits = table.select(F.col("path").alias("_k")).join(keys, "_k", "left_semi").distinct()
+    return rows.join(hits, rows.path == hits._k, "left_anti").drop("_k")

@@ -93,7 +93,7 @@ class SnapshotTable:
         v = self.versions()
         return f"{self.base}/v{v[-1]:06d}" if v else None
 
-    def read(self, schema: T.StructType | None = None) -> DataFrame:
+    def read(self, schema: T.StructType | str | None = None) -> DataFrame:
         p = self.current_path()
         if p is None:
             if schema is None:

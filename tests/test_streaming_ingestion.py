@@ -109,3 +109,37 @@ def test_parser_runs_once_per_file(spark, scratch):
     rows = {os.path.basename(r.path): r for r in p.parsed().collect()}
     assert rows["f3.pdf"].text == "linha 3\n\noutra" and rows["f3.pdf"].summarize == "resumo"
     assert rows["nota.txt"].text == "texto simples" and rows["nota.txt"].raw_parsed is None
+
+
+def test_failed_model_calls_are_retried_next_run(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    for i in range(4):
+        with open(os.path.join(landing, f"k{i}.pdf"), "w") as f:
+            f.write(f"contrato {i}")
+
+    def summary(prompts):
+        import re
+        return ["doc " + re.search(r"contrato (\d+)", p).group(1) for p in prompts]
+
+    flag = os.path.join(scratch, "fail.flag")
+    open(flag, "w").close()
+
+    def model(prompts):
+        out = []
+        for p in prompts:
+            if os.path.exists(flag) and p.endswith("doc 2"):
+                raise RuntimeError("endpoint down")
+            out.append('{"tipo_contrato": "X"}')
+        return out
+
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), summary_model=summary, extract_model=model)
+    run = IngestRun(spark, cfg)
+    from papyra.sources.files import file_inventory
+    run.register(file_inventory(spark, landing))
+    files = spark.read.format("binaryFile").load(landing).select("path", "content")
+    run.process(files)
+    assert run.extracted().count() == 3 and run.retry.read().count() == 1
+    os.remove(flag)
+    run.process(files)  # nothing new is pending; only the failed document is retried
+    assert run.extracted().count() == 4 and run.retry.read().count() == 0
