@@ -120,36 +120,40 @@ def parse_summary(df: DataFrame, text_col: str = "summarize", key: str = "path")
     """Read a template summary back into ``(key, line_no, section, label, value, page)`` rows.
 
     All work is inside the row (array functions), so no shuffle: each line learns its section from the
-    last title line above it.
+    last title line at or above it.  Each line is matched against the title pattern once.
     """
     lines = F.split(F.col(text_col), "\n")
-    # Positions (1-based) of the title lines; line i belongs to the last title at or above it.
-    heads = F.transform(F.col("_lines"), lambda l: F.when(l.rlike(_HEAD_RE), F.trim(F.regexp_extract(l, _HEAD_RE, 1))))
+    # Title of each line (NULL for other lines) and the 1-based positions of the title lines.
+    heads = F.transform(F.col("_lines"), lambda l: F.when(
+        l.startswith("**"), F.trim(F.regexp_extract(l, _HEAD_RE, 1))))
+    heads = F.transform(heads, lambda h: F.when(h != "", h))
     head_pos = F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.col("_lines")), F.lit(1))),
-                        lambda i: F.element_at(F.col("_heads"), i).isNotNull())
-    sec = lambda i: F.when(
-        F.size(F.filter(F.col("_hp"), lambda p: p <= i)) > 0,
-        F.element_at(F.col("_heads"), F.element_at(F.col("_hp"), F.size(F.filter(F.col("_hp"), lambda p: p <= i)))))
+                        lambda i: F.get(F.col("_heads"), i - 1).isNotNull())
+    # 0-based index of the last title at or above line i; NULL before the first title.
+    last_head = lambda i: F.get(F.col("_hp"), F.size(F.filter(F.col("_hp"), lambda p: p <= i)) - 1)
     rows = F.transform(F.sequence(F.lit(1), F.size(F.col("_lines"))), lambda i: F.struct(
-        i.alias("line_no"), F.element_at(F.col("_lines"), i).alias("line"), sec(i).alias("section")))
+        i.alias("line_no"), F.get(F.col("_lines"), i - 1).alias("line"),
+        F.get(F.col("_heads"), i - 1).alias("head"),
+        F.get(F.col("_heads"), last_head(i) - 1).alias("section")))
     x = (df.select(F.col(key), lines.alias("_lines"))
          .filter(F.size(F.col("_lines")) > 0)
          .withColumn("_heads", heads)
          .withColumn("_hp", head_pos)
          .select(key, F.inline(rows)))
     line = F.col("line")
-    is_head = line.rlike(_HEAD_RE)
-    head_rest = F.trim(F.regexp_extract(line, _HEAD_RE, 2))
-    is_item = line.rlike(_ITEM_RE)
-    raw_value = (F.when(is_head, head_rest)
+    is_head = F.col("head").isNotNull()
+    is_item = line.startswith("- ") & line.rlike(_ITEM_RE)
+    raw_value = (F.when(is_head, F.trim(F.regexp_extract(line, _HEAD_RE, 2)))
                  .when(is_item, F.regexp_extract(line, _ITEM_RE, 2))
                  .when(line.startswith("- "), F.substring(line, 3, 1 << 30)))
     label = F.when(is_head, F.col("section")).when(is_item, F.trim(F.regexp_extract(line, _ITEM_RE, 1)))
-    page = F.regexp_extract(raw_value, _CITE_RE, 1)
+    v = F.col("_v")
+    has_cite = v.contains("[página ")
+    page = F.when(has_cite, F.regexp_extract(v, _CITE_RE, 1))
+    value = F.when(has_cite, F.regexp_replace(v, r"\s*\[página \d+\]", "")).otherwise(v)
     return (x.withColumn("_v", raw_value)
-            .filter(F.col("_v").isNotNull() & (F.trim(F.col("_v")) != ""))
-            .select(key, "line_no", "section", label.alias("label"),
-                    F.trim(F.regexp_replace(F.col("_v"), r"\s*\[página \d+\]", "")).alias("value"),
+            .filter(v.isNotNull() & (F.trim(v) != ""))
+            .select(key, "line_no", "section", label.alias("label"), F.trim(value).alias("value"),
                     F.when(page != "", page.cast("int")).alias("page")))
 
 
