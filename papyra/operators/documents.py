@@ -233,5 +233,5 @@ def process_batch(batch: DataFrame, parser: Parser, extensions: list[str] | None
     parsed = parse_documents(routed, parser)
     if stage_path is not None:
         parsed.write.mode("overwrite").parquet(stage_path)
-        parsed = parsed.sparkSession.read.parquet(stage_path)
+        parsed = parsed.sparkSession.read.schema(parsed.schema).parquet(stage_path)
     return union_outcomes(parsed_outcomes(parsed, summary), raw_text_documents(routed), parse_errors(parsed))

@@ -22,8 +22,8 @@ from papyra.functions.model import TextModel, infer_text
 from papyra.operators import documents as doc
 from papyra.operators import extraction as ext
 from papyra.operators import registry as reg
-from papyra.schemas import CONTRACT_EXTRACT, CONTRACT_TRACK
-from papyra.sources.tables import SnapshotTable
+from papyra.schemas import CONTRACT_EXTRACT, CONTRACT_PARSED, CONTRACT_TRACK
+from papyra.sources.tables import BucketedTable, SnapshotTable
 
 
 @dataclass
@@ -36,6 +36,7 @@ class IngestConfig:
     summary_model: TextModel | None = None  # E3; None leaves summaries NULL
     extract_model: TextModel | None = None  # E5; None skips extraction
     model_cache: bool = True                # E2: keep answers by prompt key and never ask twice
+    registry_buckets: int = 256             # registry layout: status updates rewrite only touched buckets
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -46,14 +47,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     if _exists(spark, path):
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
 class IngestRun:
     def __init__(self, spark: SparkSession, cfg: IngestConfig):
         self.spark, self.cfg = spark, cfg
-        self.registry = SnapshotTable(spark, f"{cfg.base}/registry")
+        self.registry = BucketedTable(spark, f"{cfg.base}/registry", ["file_path"], CONTRACT_TRACK,
+                                      cfg.registry_buckets)
         self.parsed_path = f"{cfg.base}/parsed"
         self.extract_path = f"{cfg.base}/extract"
         self.cache_path = f"{cfg.base}/model_cache"
@@ -61,13 +63,16 @@ class IngestRun:
 
     # -- B1
     def register(self, inventory: DataFrame) -> DataFrame:
-        cur = self.registry.read(CONTRACT_TRACK)
-        new = reg.register_new_files(inventory, cur)
-        self.registry.write(cur.select(*CONTRACT_TRACK.fieldNames()).unionByName(new))
-        return self.registry.read(CONTRACT_TRACK)
+        """Admit new files: an append to the registry (staged first, since the registry is also read)."""
+        stage = f"{self.cfg.base}/_staging/admit-{uuid.uuid4().hex}"
+        reg.register_new_files(inventory, self.registry.read()).write.parquet(stage)
+        self.registry.append(self.spark.read.schema(CONTRACT_TRACK).parquet(stage))
+        return self.registry.read()
 
     def parsed(self) -> DataFrame:
-        return self.spark.read.parquet(self.parsed_path) if _exists(self.spark, self.parsed_path) else None
+        if not _exists(self.spark, self.parsed_path):
+            return None
+        return self.spark.read.schema(CONTRACT_PARSED).parquet(self.parsed_path)
 
     def extracted(self) -> DataFrame:
         return _read_or_empty(self.spark, self.extract_path, CONTRACT_EXTRACT)
@@ -83,7 +88,7 @@ class IngestRun:
         cfg = self.cfg
         spark = self.spark
         run_dir = f"{cfg.base}/_staging/run-{uuid.uuid4().hex}"
-        registry = self.registry.read(CONTRACT_TRACK)
+        registry = self.registry.read()
         pending = reg.arrival_semi(files, registry).select("path")
         existing = self.parsed()
         if existing is not None:
@@ -91,7 +96,7 @@ class IngestRun:
         if cfg.limit:
             pending = pending.orderBy("path").limit(cfg.limit)
         pending.write.mode("overwrite").parquet(f"{run_dir}/paths")
-        run_paths = spark.read.parquet(f"{run_dir}/paths")
+        run_paths = spark.read.schema(_PATHS).parquet(f"{run_dir}/paths")
         batch = files.join(run_paths.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
 
         summary = None
@@ -104,20 +109,22 @@ class IngestRun:
 
         if cfg.extract_model is not None:
             self._extract(run_paths, run_dir)
-        self.registry.write(reg.mark_processed(registry, run_paths, now))
+        # B3 on this run's rows only; the registry rewrites just the buckets they live in.
+        mine = registry.join(run_paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+        self.registry.replace_rows(reg.mark_processed(mine, run_paths, now), f"{run_dir}/registry")
 
     def _extract(self, run_paths: DataFrame, run_dir: str) -> None:
         """E5-E7 for this run's documents plus earlier ones whose model call failed."""
         cfg, spark = self.cfg, self.spark
         retry = self.retry.read(_PATHS)
         targets = run_paths.unionByName(retry.select("path")).distinct()
-        parsed = self.spark.read.parquet(self.parsed_path)
+        parsed = self.parsed()
         todo = parsed.join(targets, "path", "left_semi").filter(F.col("summarize").isNotNull())
         todo = _without_known(todo, self.extracted())  # replayed runs add nothing
         prompts = todo.select("path", "summarize", ext.build_prompt("summarize", "extract").alias("_prompt"))
         cache = None
         if cfg.model_cache and _exists(spark, self.cache_path):
-            cache = spark.read.parquet(self.cache_path)
+            cache = spark.read.schema(_CACHE).parquet(self.cache_path)
         answered = infer_text(prompts, "_prompt", cfg.extract_model, cache=cache, keep_key=True)
         if cfg.model_cache:
             # Answers go to the cache first and are read back, so the model runs once per prompt.
@@ -127,10 +134,10 @@ class IngestRun:
                 fresh = fresh.join(cache.select("prompt_key"), "prompt_key", "left_anti")
             fresh.write.mode("append").parquet(self.cache_path)
             answered = (prompts.withColumn("prompt_key", F.sha2(F.col("_prompt"), 256))
-                        .join(spark.read.parquet(self.cache_path), "prompt_key", "left"))
+                        .join(spark.read.schema(_CACHE).parquet(self.cache_path), "prompt_key", "left"))
         else:
             answered.write.mode("overwrite").parquet(f"{run_dir}/answers")
-            answered = spark.read.parquet(f"{run_dir}/answers")
+            answered = spark.read.schema(answered.schema).parquet(f"{run_dir}/answers")
         # Rows whose model call failed stay out of the extract table and are retried on the next run.
         ok = answered.filter(F.col("response").isNotNull())
         rows = ext.expand_struct(ext.extract_fields(ok))
@@ -139,6 +146,7 @@ class IngestRun:
 
 
 _PATHS = "path string"
+_CACHE = "prompt_key string, response string"
 
 
 def _without_known(rows: DataFrame, table: DataFrame) -> DataFrame:

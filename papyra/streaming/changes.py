@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.sources.tables import SnapshotTable
+from papyra.sources.tables import BucketedTable
 
 
 def change_feed(before: DataFrame, after: DataFrame, key: str | list[str], cols: list[str] | None = None
@@ -34,8 +34,9 @@ def change_feed(before: DataFrame, after: DataFrame, key: str | list[str], cols:
 def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str], value: str,
                      order: list[str], out_base: str, checkpoint: str, file_glob: str | None = None,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """Last write per key over a file stream (update mode), upserted into a snapshot table after each
-    micro-batch.  Runs until the source is drained (``availableNow``) and returns the current table.
+    """Last write per key over a file stream (update mode), upserted into a bucketed table after each
+    micro-batch: only the buckets holding the batch's keys are rewritten.  Runs until the source is
+    drained (``availableNow``) and returns the current table.
 
     A replayed micro-batch is harmless: the upsert replaces the keys it carries with the same values.
     """
@@ -46,15 +47,13 @@ def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType,
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
     agg = src.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(value))
-    table = SnapshotTable(spark, out_base)
     out_schema = T.StructType([schema[k] for k in keys] + [T.StructField(value, schema[value].dataType)])
+    table = BucketedTable(spark, f"{out_base}/state", keys, out_schema)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        cur = table.read(out_schema)
-        merged = cur.join(batch.select(*keys), keys, "left_anti").unionByName(batch.select(*keys, value))
-        table.write(merged)
+        table.replace_rows(batch.select(*keys, value), f"{out_base}/_staging/batch-{batch_id}")
 
     q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return table.read(out_schema)
+    return table.read()

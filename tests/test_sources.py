@@ -48,3 +48,26 @@ def test_fetch_content_returns_first_match_bytes(spark, scratch):
     got = fetch_content(spark, contracts, "contrato_1", root).collect()
     assert len(got) == 1 and got[0].path.endswith("contrato_1.pdf") and bytes(got[0].content) == b"one"
     assert fetch_content(spark, contracts, "nada", root).count() == 0
+
+
+def test_bucketed_table_rewrites_only_touched_buckets(spark, scratch):
+    import glob
+    from pyspark.sql import types as T
+    from papyra.sources.tables import BucketedTable
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    t = BucketedTable(spark, os.path.join(scratch, "bt"), ["k"], schema, buckets=8)
+    assert t.read().count() == 0
+    t.append(spark.createDataFrame([(f"k{i}", i) for i in range(200)], schema))
+    t.append(spark.createDataFrame([("new", 1000)], schema))
+    before = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(scratch, "bt", "_bucket=*", "*.parquet"))}
+    t.replace_rows(spark.createDataFrame([("k7", -7)], schema), os.path.join(scratch, "stage1"))
+    got = {r.k: r.v for r in t.read().collect()}
+    assert len(got) == 201 and got["k7"] == -7 and got["k8"] == 8
+    after = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(scratch, "bt", "_bucket=*", "*.parquet"))}
+    bucket = spark.createDataFrame([("k7",)], "k string").select(
+        F.pmod(F.xxhash64("k"), F.lit(8)).alias("b")).first().b
+    changed_dirs = {os.path.basename(os.path.dirname(p)) for p in set(before) ^ set(after)}
+    assert changed_dirs == {f"_bucket={bucket}"}
+    # repeating the swap from the same staging folder is harmless
+    t.replace_rows(spark.createDataFrame([("k7", -7)], schema), os.path.join(scratch, "stage2"))
+    assert t.read().count() == 201

@@ -27,7 +27,7 @@ def test_two_stream_runs_equal_one_batch(spark, scratch):
     stream_register(spark, p, landing, ck, max_files_per_trigger=7)
     n2 = _write_docs(spark, landing, list(range(20, 40)))
     stream_register(spark, p, landing, ck)
-    got = p.registry.read(CONTRACT_TRACK)
+    got = p.registry.read()
     # batch equivalent: B1 of the whole directory against an empty registry
     from papyra.sources.files import file_inventory
     batch = reg.register_new_files(file_inventory(spark, landing), spark.createDataFrame([], CONTRACT_TRACK))
@@ -48,7 +48,7 @@ def test_ingestion_is_idempotent(spark, scratch):
     files = spark.read.format("binaryFile").load(landing).select("path", "content")
     p.process(files)  # second run over the same files adds nothing
     assert (p.parsed().count(), p.extracted().count()) == (parsed1, extract1)
-    reg_rows = p.registry.read(CONTRACT_TRACK).collect()
+    reg_rows = p.registry.read().collect()
     assert reg_rows and all(r.processed == "S" for r in reg_rows)
     ex = p.extracted().collect()
     assert ex and all(r.tipo_contrato == "Locação" and r.valor_total == 10.0 for r in ex)
