@@ -36,7 +36,7 @@ class IngestConfig:
     summary_model: TextModel | None = None  # E3; None leaves summaries NULL
     extract_model: TextModel | None = None  # E5; None skips extraction
     model_cache: bool = True                # E2: keep answers by prompt key and never ask twice
-    registry_buckets: int = 256             # registry layout: status updates rewrite only touched buckets
+    registry_buckets: int = 64              # registry layout; size so a bucket holds ~1-5M rows at scale
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -139,11 +139,15 @@ class BucketedTable:
             T.StructType(self.schema.fields + [T.StructField(self.BUCKET, T.IntegerType())])
         ).parquet(self.base).select(*self.schema.fieldNames())
 
+    def _clustered(self, df: DataFrame) -> DataFrame:
+        # One writer task per bucket: each write adds one file per touched bucket, not one per task.
+        return df.repartition(self.BUCKET)
+
     def _write(self, df: DataFrame, mode: str) -> None:
-        (df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields])
-           .withColumn(self.BUCKET, self._bucket())
-           .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-           .partitionBy(self.BUCKET).parquet(self.base))
+        rows = (df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields])
+                .withColumn(self.BUCKET, self._bucket()))
+        (self._clustered(rows).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+         .partitionBy(self.BUCKET).parquet(self.base))
 
     def append(self, rows: DataFrame) -> None:
         self._write(rows, "append")
@@ -160,9 +164,9 @@ class BucketedTable:
             merged = keep.select(*self.schema.fieldNames(), self.BUCKET).unionByName(changed)
         else:
             merged = changed
-        merged.write.mode("overwrite").partitionBy(self.BUCKET).parquet(staging)
+        self._clustered(merged).write.mode("overwrite").partitionBy(self.BUCKET).parquet(staging)
         staged = self.spark.read.schema(T.StructType(
             self.schema.fields + [T.StructField(self.BUCKET, T.IntegerType())])).parquet(staging)
-        (staged.select(*self.schema.fieldNames(), F.col(self.BUCKET).cast("int").alias(self.BUCKET))
+        (self._clustered(staged.select(*self.schema.fieldNames(), F.col(self.BUCKET).cast("int").alias(self.BUCKET)))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(self.BUCKET).parquet(self.base))
