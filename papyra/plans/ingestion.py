@@ -34,6 +34,7 @@ class IngestConfig:
     partitions: int | None = None          # C2: spread before the slow parse (None: leave to AQE)
     limit: int | None = None               # C1: first N pending files per run (None: all)
     summary_model: TextModel | None = None  # E3; None leaves summaries NULL
+    summary_source: str = "raw"             # E3 input: "raw" = the parse result (as the application), "text"
     extract_model: TextModel | None = None  # E5; None skips extraction
     model_cache: bool = True                # E2: keep answers by prompt key and never ask twice
     registry_buckets: int = 64              # registry layout; size so a bucket holds ~1-5M rows at scale
@@ -101,8 +102,9 @@ class IngestRun:
 
         summary = None
         if cfg.summary_model is not None:
+            src = F.col("text") if cfg.summary_source == "text" else F.col("raw_parsed").cast("string")
             summary = lambda ok: ext.summarize_documents(
-                ok.withColumn("_src", F.col("raw_parsed").cast("string")), "_src", cfg.summary_model).drop("_src")
+                ok.withColumn("_src", src), "_src", cfg.summary_model).drop("_src")
         outcomes = doc.process_batch(batch, cfg.parser, cfg.extensions, cfg.partitions, summary,
                                      f"{run_dir}/parse")
         outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser and model

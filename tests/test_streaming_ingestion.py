@@ -143,3 +143,31 @@ def test_failed_model_calls_are_retried_next_run(spark, scratch):
     os.remove(flag)
     run.process(files)  # nothing new is pending; only the failed document is retried
     assert run.extracted().count() == 4 and run.retry.read().count() == 0
+
+
+def test_failed_parse_is_marked_processed_and_reported(spark, scratch):
+    from papyra.operators.documents import coverage_report, pandas_parser
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    for n, body in {"ok.pdf": "bom", "bad.pdf": "ruim"}.items():
+        with open(os.path.join(landing, n), "w") as f:
+            f.write(body)
+
+    def parse(b: bytes) -> dict:
+        if b == b"ruim":
+            raise ValueError("unreadable")
+        return {"metadata": {"version": "2.0"}, "document": {"elements": [{"content": b.decode()}]}}
+
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), parser=pandas_parser(parse),
+                       summary_model=lambda ps: [p[-3:] for p in ps], summary_source="text")
+    run = IngestRun(spark, cfg)
+    from papyra.sources.files import file_inventory
+    run.register(file_inventory(spark, landing))
+    files = spark.read.format("binaryFile").load(landing).select("path", "content")
+    run.process(files)
+    reg_rows = {os.path.basename(r.file_path): r.processed for r in run.registry.read().collect()}
+    assert reg_rows == {"ok.pdf": "S", "bad.pdf": "S"}  # the flag is set even for the failed parse
+    parsed = {os.path.basename(r.path): r for r in run.parsed().collect()}
+    assert parsed["bad.pdf"].error_status.startswith("PARSE_FAILED") and parsed["ok.pdf"].summarize == "bom"
+    rep = {r.outcome: r.n_files for r in coverage_report(files, run.parsed()).collect()}
+    assert rep == {"ok": 1, "error": 1}
