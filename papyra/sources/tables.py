@@ -120,7 +120,7 @@ class BucketedTable:
 
     BUCKET = "_bucket"
 
-    def __init__(self, spark: SparkSession, base: str, key: list[str], schema: T.StructType, buckets: int = 256):
+    def __init__(self, spark: SparkSession, base: str, key: list[str], schema: T.StructType, buckets: int = 64):
         self.spark, self.base, self.key, self.schema, self.n = spark, base.rstrip("/"), list(key), schema, buckets
 
     def _bucket(self):

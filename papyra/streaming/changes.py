@@ -33,7 +33,7 @@ def change_feed(before: DataFrame, after: DataFrame, key: str | list[str], cols:
 
 def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str], value: str,
                      order: list[str], out_base: str, checkpoint: str, file_glob: str | None = None,
-                     max_files_per_trigger: int | None = None) -> DataFrame:
+                     max_files_per_trigger: int | None = None, state_buckets: int = 16) -> DataFrame:
     """Last write per key over a file stream (update mode), upserted into a bucketed table after each
     micro-batch: only the buckets holding the batch's keys are rewritten.  Runs until the source is
     drained (``availableNow``) and returns the current table.
@@ -48,7 +48,7 @@ def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType,
     src = reader.parquet(source_dir)
     agg = src.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(value))
     out_schema = T.StructType([schema[k] for k in keys] + [T.StructField(value, schema[value].dataType)])
-    table = BucketedTable(spark, f"{out_base}/state", keys, out_schema)
+    table = BucketedTable(spark, f"{out_base}/state", keys, out_schema, state_buckets)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         table.replace_rows(batch.select(*keys, value), f"{out_base}/_staging/batch-{batch_id}")
