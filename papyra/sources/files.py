@@ -73,15 +73,21 @@ def file_inventory(spark: SparkSession, directory: str, upload_time: str = "now"
     )
 
 
-def fetch_content(spark: SparkSession, contracts: DataFrame, lookup: str, files_root: str) -> DataFrame:
+def fetch_content(spark: SparkSession, contracts: DataFrame, lookup: str, files_root: str | None = None
+                  ) -> DataFrame:
     """A10: resolve a lookup text to the first matching stored path and return that file's bytes.
 
-    The path is chosen on the small path-only projection (top-1 by path, no content involved); the bytes
-    come from a semi join onto the binary scan, so only the one matching file's content is read.
+    The path is chosen on the path column alone (a distributed top-1); that single path (one row, a
+    bounded lookup) then drives a binary read of exactly one file, so no other file's bytes are read.
+    ``files_root``, when given, must contain the path (guards against reading outside the volume).
     """
     from papyra.operators.serving import path_contains
 
-    chosen = path_contains(contracts.select("path"), lookup).orderBy("path").limit(1)
-    files = binary_scan(spark, files_root, recursive=True)
-    return (files.join(chosen.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
-            .select("path", "content"))
+    top = path_contains(contracts.select("path"), lookup).orderBy("path").limit(1).collect()
+    empty = spark.createDataFrame([], "path string, content binary")
+    if not top:
+        return empty
+    path = top[0]["path"]
+    if files_root is not None and files_root.split(":", 1)[-1].rstrip("/") not in path:
+        return empty
+    return binary_scan(spark, path).select("path", "content")
