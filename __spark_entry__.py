@@ -472,6 +472,18 @@ def q_summarize_documents(spark, sf):
     return ext.summarize_documents(d, "text", md5_model).select("doc_id", "summarize")
 
 
+def q_stream_register(spark, sf):
+    """Documents landed as files, registered by an availableNow binaryFile stream."""
+    from papyra.plans.ingestion import IngestConfig, IngestRun
+    from papyra.session import scratch_path
+    from papyra.streaming.ingest import stream_register
+    landing = scratch_path(spark, "landing")
+    fx.land_documents(spark, sf, landing)
+    run = IngestRun(spark, IngestConfig(base=scratch_path(spark, "z1")))
+    stream_register(spark, run, landing, scratch_path(spark, "z1-ckpt"))
+    return run.registry.read().select("file_name", "type", "size", "processed", "file_hash")
+
+
 def q_change_feed(spark, sf):
     from papyra.streaming.changes import change_feed
     before = fx.track(spark, sf)
@@ -581,6 +593,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "build_prompt": q_build_prompt,
         "infer_text": q_infer_text,
         "summarize_documents": q_summarize_documents,
+        "stream_register": q_stream_register,
         "change_feed": q_change_feed,
         "stream_latest_kv": q_stream_latest_kv,
     }
@@ -716,6 +729,8 @@ UNION ALL SELECT file_path, 'update_preimage', bp, b_t, bh FROM j WHERE hb AND h
     AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)
 UNION ALL SELECT file_path, 'update_postimage', ap, a_t, ah FROM j WHERE hb AND ha
     AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)""",
+        "stream_register": with_ctes("files") + "SELECT file_name, type, CAST(strlen(text) AS BIGINT) AS size, "
+                                               "'N' AS processed, md5(text) AS file_hash FROM files",
         "stream_latest_kv": "SELECT user_id, event_type, first(value ORDER BY ts DESC, event_id DESC) AS value "
                             "FROM events GROUP BY user_id, event_type",
     }

@@ -250,3 +250,26 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = signals(spark, sf_dir)
     return s.select("vec_id", F.transform("samples", lambda v: F.lit(-100.0) + F.lit(70.0) * F.abs(v.cast("double")))
                     .alias("db"))
+
+
+# ----------------------------------------------------------------------------------------------- landing
+
+def land_documents(spark: SparkSession, sf_dir: str, landing: str) -> int:
+    """Write every document as its own file ``doc_<id><ext>`` into ``landing`` (a shared folder).
+
+    The writes happen inside Spark tasks through ``pyarrow.fs`` (local, HDFS or object-store URIs), so the
+    driver only sees the file count.  Returns the number of files written.
+    """
+    import pyarrow.fs as pafs
+
+    def write(rows):
+        fs, base = pafs.FileSystem.from_uri(landing if "://" in landing else "file://" + landing)
+        fs.create_dir(base, recursive=True)
+        for r in rows:
+            ext = [".pdf", ".txt", ".PDF"][r.doc_id % 3]
+            with fs.open_output_stream(f"{base}/doc_{r.doc_id}{ext}") as out:
+                out.write(r.text.encode("utf-8"))
+
+    docs = ensure_parallel(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs.foreachPartition(write)
+    return docs.count()
