@@ -484,6 +484,24 @@ def q_stream_register(spark, sf):
     return run.registry.read().select("file_name", "type", "size", "processed", "file_hash")
 
 
+def q_stream_extract(spark, sf):
+    """Documents landed as files; one availableNow stream registers, parses (text parser),
+    reassembles and marks them.  Output: each stored outcome with its registry flag."""
+    from papyra.functions.columns import base_name
+    from papyra.plans.ingestion import IngestConfig, IngestRun
+    from papyra.session import scratch_path
+    from papyra.streaming.ingest import stream_extract
+    landing = scratch_path(spark, "landing")
+    fx.land_documents(spark, sf, landing)
+    run = IngestRun(spark, IngestConfig(base=scratch_path(spark, "z2")))
+    stream_extract(spark, run, landing, scratch_path(spark, "z2-ckpt"))
+    parsed = run.parsed()
+    flags = run.registry.read().select(F.col("file_path").alias("path"), "processed")
+    return parsed.join(flags, "path").select(
+        base_name("path").alias("file_name"), doc.outcome_label(parsed).alias("outcome"), "text",
+        "error_status", "processed")
+
+
 def q_change_feed(spark, sf):
     from papyra.streaming.changes import change_feed
     before = fx.track(spark, sf)
@@ -594,6 +612,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "infer_text": q_infer_text,
         "summarize_documents": q_summarize_documents,
         "stream_register": q_stream_register,
+        "stream_extract": q_stream_extract,
         "change_feed": q_change_feed,
         "stream_latest_kv": q_stream_latest_kv,
     }
@@ -731,6 +750,10 @@ UNION ALL SELECT file_path, 'update_postimage', ap, a_t, ah FROM j WHERE hb AND
     AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)""",
         "stream_register": with_ctes("files") + "SELECT file_name, type, CAST(strlen(text) AS BIGINT) AS size, "
                                                "'N' AS processed, md5(text) AS file_hash FROM files",
+        "stream_extract": with_ctes("files") + """SELECT file_name,
+  CASE WHEN doc_id % 3 = 1 THEN 'raw' ELSE 'ok' END AS outcome,
+  CASE WHEN doc_id % 3 = 1 THEN text ELSE array_to_string(string_split(text, chr(10)), chr(10) || chr(10)) END AS text,
+  CAST(NULL AS VARCHAR) AS error_status, 'S' AS processed FROM files""",
         "stream_latest_kv": "SELECT user_id, event_type, first(value ORDER BY ts DESC, event_id DESC) AS value "
                             "FROM events GROUP BY user_id, event_type",
     }
