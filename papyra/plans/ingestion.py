@@ -2,12 +2,16 @@
 
 Tables live under ``base`` in the shared scratch/storage folder:
 
-* ``registry/``  snapshot table of ``contract_track`` rows (B1 admits, B3 updates; new snapshot each run)
-* ``parsed/``    append-only ``contract_parsed`` rows (idempotent: paths already present are skipped)
-* ``extract/``   append-only ``contract_extract`` rows (idempotent the same way)
-
-The parse output is written once and read back before it fans out to the text, raw and error branches
-and to extraction, so the parser and the model run exactly once per file.
+* ``registry/``        ``contract_track`` in hash buckets of ``file_path``: B1 appends, B3 rewrites only the
+                        buckets holding the run's files
+* ``parsed/``          append-only ``contract_parsed`` rows (idempotent: paths already present are skipped)
+* ``extract/``         append-only ``contract_extract`` rows (idempotent the same way)
+* ``model_cache/``     model answers by prompt key; ``extract_retry/`` paths whose model call failed
+* ``_staging/run-*/``  the run's path list, staged parse output and bucket merges
+
+Each run writes its path list once and scopes every step to it.  The parse output is written once and read
+back before it fans out to the text, raw and error branches and to extraction, so the parser and the model
+run exactly once per file.
 """
 
 from __future__ import annotations
