@@ -61,8 +61,8 @@ def mark_processed(registry: DataFrame, finished: DataFrame, now: Column | None
                    path_col: str = "path") -> DataFrame:
     """Set ``processed='S'`` and ``processed_time=now`` for rows whose path finished.
 
-    An ``UPDATE`` becomes a left join with the finished paths and a ``when``; the result is written as a
-    new snapshot by the caller.  Paths compare by equality (not ``LIKE``), so ``_``/``%`` in names and
+    An ``UPDATE`` becomes a left join with the finished paths and a ``when``; the caller stores the changed
+    rows (the ingestion run rewrites only the registry buckets they fall in).  Paths compare by equality (not ``LIKE``), so ``_``/``%`` in names and
     suffix matches cannot mark the wrong file.
     """
     now = F.current_timestamp() if now is None else now

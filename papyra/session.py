@@ -2,7 +2,7 @@
 
 On a cluster the session already exists and carries its own settings; ``get_session`` only fills in
 defaults that are unset, so cluster configuration always wins.  Scratch output (lineage cuts, stream
-checkpoints, registry snapshots) goes under ``spark.checkpoint.dir``, which on a cluster names a shared
+checkpoints, staged tables) goes under ``spark.checkpoint.dir``, which on a cluster names a shared
 folder.  Only when it is unset (local tests) do we create one.
 """
 

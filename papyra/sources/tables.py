@@ -1,7 +1,9 @@
 """Table sources and sinks (A3 literal rows, A5 scan, A6 append, A7 ensure table, A8 view, A9 names).
 
-Row-level updates are expressed without a transactional format: each change writes a new snapshot
-directory and later readers pick the newest complete one, so the path being read is never overwritten.
+Row-level updates are expressed without a transactional format: ``BucketedTable`` appends new rows and
+rewrites only the hash buckets that changed rows fall in (merged in a staging folder first);
+``SnapshotTable`` replaces small tables as new immutable versions.  The path being read is never
+overwritten by the job reading it.
 """
 
 from __future__ import annotations
