@@ -16,11 +16,13 @@ run exactly once per file.
 
 from __future__ import annotations
 
+import os
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.model import TextModel, infer_text
 from papyra.operators import documents as doc
@@ -65,13 +67,28 @@ class IngestRun:
         self.extract_path = f"{cfg.base}/extract"
         self.cache_path = f"{cfg.base}/model_cache"
         self.retry = SnapshotTable(spark, f"{cfg.base}/extract_retry")
+        self.changes_path = f"{cfg.base}/registry_changes"
+
+    # -- Z3, incremental: the registry's change history, written as it changes
+    def _log_changes(self, rows: DataFrame, change_type: str, version: str) -> None:
+        (rows.select(*CONTRACT_TRACK.fieldNames(), F.lit(change_type).alias("_change_type"),
+                     F.lit(version).alias("_commit_version"), F.current_timestamp().alias("_commit_timestamp"))
+         .write.mode("append").parquet(self.changes_path))
+
+    def changes(self) -> DataFrame:
+        """Registry change history: ``insert`` per admission, ``update_preimage``/``update_postimage`` per
+        status change, each tagged with the run that made it."""
+        return _read_or_empty(self.spark, self.changes_path, _CHANGES)
 
     # -- B1
     def register(self, inventory: DataFrame) -> DataFrame:
         """Admit new files: an append to the registry (staged first, since the registry is also read)."""
-        stage = f"{self.cfg.base}/_staging/admit-{uuid.uuid4().hex}"
+        version = f"admit-{uuid.uuid4().hex}"
+        stage = f"{self.cfg.base}/_staging/{version}"
         reg.register_new_files(inventory, self.registry.read()).write.parquet(stage)
-        self.registry.append(self.spark.read.schema(CONTRACT_TRACK).parquet(stage))
+        admitted = self.spark.read.schema(CONTRACT_TRACK).parquet(stage)
+        self.registry.append(admitted)
+        self._log_changes(admitted, "insert", version)
         return self.registry.read()
 
     def parsed(self) -> DataFrame:
@@ -117,7 +134,15 @@ class IngestRun:
             self._extract(run_paths, run_dir)
         # B3 on this run's rows only; the registry rewrites just the buckets they live in.
         mine = registry.join(run_paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
-        self.registry.replace_rows(reg.mark_processed(mine, run_paths, now), f"{run_dir}/registry")
+        mine.write.mode("overwrite").parquet(f"{run_dir}/before")
+        before = spark.read.schema(CONTRACT_TRACK).parquet(f"{run_dir}/before")
+        after = reg.mark_processed(before, run_paths, now)
+        after.write.mode("overwrite").parquet(f"{run_dir}/after")
+        after = spark.read.schema(CONTRACT_TRACK).parquet(f"{run_dir}/after")
+        self.registry.replace_rows(after, f"{run_dir}/registry")
+        version = os.path.basename(run_dir)
+        self._log_changes(before, "update_preimage", version)
+        self._log_changes(after, "update_postimage", version)
 
     def _extract(self, run_paths: DataFrame, run_dir: str) -> None:
         """E5-E7 for this run's documents plus earlier ones whose model call failed."""
@@ -152,6 +177,9 @@ class IngestRun:
 
 
 _PATHS = "path string"
+_CHANGES = T.StructType(CONTRACT_TRACK.fields + [T.StructField("_change_type", T.StringType()),
+                                                T.StructField("_commit_version", T.StringType()),
+                                                T.StructField("_commit_timestamp", T.TimestampType())])
 _CACHE = "prompt_key string, response string"
 
 

@@ -171,3 +171,24 @@ def test_failed_parse_is_marked_processed_and_reported(spark, scratch):
     assert parsed["bad.pdf"].error_status.startswith("PARSE_FAILED") and parsed["ok.pdf"].summarize == "bom"
     rep = {r.outcome: r.n_files for r in coverage_report(files, run.parsed()).collect()}
     assert rep == {"ok": 1, "error": 1}
+
+
+def test_registry_change_log(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    _write_docs(spark, landing, list(range(0, 12)))
+    run = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "tables")))
+    from papyra.sources.files import file_inventory
+    run.register(file_inventory(spark, landing))
+    run.process(spark.read.format("binaryFile").load(landing).select("path", "content"))
+    ch = run.changes()
+    counts = {r._change_type: r["count"] for r in ch.groupBy("_change_type").count().collect()}
+    n = run.registry.read().count()
+    assert counts == {"insert": n, "update_preimage": n, "update_postimage": n}
+    post = ch.filter("_change_type = 'update_postimage'").select("processed").distinct().collect()
+    assert [r.processed for r in post] == ["S"]
+    # the snapshot-diff operator gives the same updates
+    from papyra.streaming.changes import change_feed
+    before = ch.filter("_change_type = 'insert'").select(*run.registry.read().columns)
+    diff = change_feed(before, run.registry.read(), "file_path", ["processed", "processed_time"])
+    assert diff.filter("change_type = 'update_postimage'").count() == n
