@@ -472,13 +472,25 @@ def q_summarize_documents(spark, sf):
     return ext.summarize_documents(d, "text", md5_model).select("doc_id", "summarize")
 
 
+_LANDED: dict[str, str] = {}
+
+
+def _landing(spark: SparkSession, sf: str) -> str:
+    """The documents landed as files once per process (the landing folder is only ever read)."""
+    from papyra.session import scratch_path
+    if sf not in _LANDED:
+        path = scratch_path(spark, "landing")
+        fx.land_documents(spark, sf, path)
+        _LANDED[sf] = path
+    return _LANDED[sf]
+
+
 def q_stream_register(spark, sf):
     """Documents landed as files, registered by an availableNow binaryFile stream."""
     from papyra.plans.ingestion import IngestConfig, IngestRun
     from papyra.session import scratch_path
     from papyra.streaming.ingest import stream_register
-    landing = scratch_path(spark, "landing")
-    fx.land_documents(spark, sf, landing)
+    landing = _landing(spark, sf)
     run = IngestRun(spark, IngestConfig(base=scratch_path(spark, "z1")))
     stream_register(spark, run, landing, scratch_path(spark, "z1-ckpt"))
     return run.registry.read().select("file_name", "type", "size", "processed", "file_hash")
@@ -491,8 +503,7 @@ def q_stream_extract(spark, sf):
     from papyra.plans.ingestion import IngestConfig, IngestRun
     from papyra.session import scratch_path
     from papyra.streaming.ingest import stream_extract
-    landing = scratch_path(spark, "landing")
-    fx.land_documents(spark, sf, landing)
+    landing = _landing(spark, sf)
     run = IngestRun(spark, IngestConfig(base=scratch_path(spark, "z2")))
     stream_extract(spark, run, landing, scratch_path(spark, "z2-ckpt"))
     parsed = run.parsed()
