@@ -192,3 +192,16 @@ def test_registry_change_log(spark, scratch):
     before = ch.filter("_change_type = 'insert'").select(*run.registry.read().columns)
     diff = change_feed(before, run.registry.read(), "file_path", ["processed", "processed_time"])
     assert diff.filter("change_type = 'update_postimage'").count() == n
+
+
+def test_latest_kv_stream_over_many_micro_batches(spark, scratch):
+    from papyra.operators.events import latest_kv
+    from papyra.streaming.changes import stream_latest_kv
+    events = spark.read.parquet(f"{SF0001}/events.parquet")
+    src = os.path.join(scratch, "events")
+    events.repartition(5).write.parquet(src)  # five files, one per trigger
+    got = stream_latest_kv(spark, src, events.schema, ["user_id", "event_type"], "value", ["ts", "event_id"],
+                           os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"),
+                           max_files_per_trigger=1, state_buckets=4)
+    want = latest_kv(events, ["user_id", "event_type"])
+    assert sorted(got.collect()) == sorted(want.collect())
