@@ -210,11 +210,14 @@ def outcome_label(df: DataFrame) -> Column:
 
 
 def coverage_report(batch: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Files in versus rows out, by outcome, including files that silently vanished."""
-    seen = outcomes.select(F.col("path").alias("_p"), outcome_label(outcomes).alias("outcome"))
-    vanished = (batch.select("path").join(seen, batch.path == seen._p, "left_anti")
-                .select(F.lit("vanished").alias("outcome")))
-    return (seen.select("outcome").unionByName(vanished)
+    """Files in versus rows out, by outcome, including files that silently vanished.
+
+    One full outer join of the input paths with the outcome rows (each side evaluated once): an input file
+    without an outcome row is ``vanished``."""
+    seen = outcomes.select(F.col("path").alias("_p"), outcome_label(outcomes).alias("_o"))
+    files_in = batch.select(F.col("path").alias("_p"))
+    j = files_in.join(seen, "_p", "full_outer")
+    return (j.select(F.coalesce(F.col("_o"), F.lit("vanished")).alias("outcome"))
             .groupBy("outcome").agg(F.count(F.lit(1)).alias("n_files")))
 
 
