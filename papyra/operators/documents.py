@@ -197,6 +197,20 @@ def parsed_outcomes(parsed: DataFrame, summary: Callable[[DataFrame], DataFrame]
                      F.lit(None).cast("string").alias("error_status"))
 
 
+def parse_outcomes(parsed: DataFrame, summary: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """C6 + C9 + C10 in one projection: every parse result becomes its single outcome row (text for a
+    success, error status for a failure; documents without any content vanish), so one pass over the
+    parse output feeds both, and the parser runs once even without staging.  ``summary`` receives all rows
+    and must leave rows with an ``error_status`` unsummarised."""
+    err = error_of(F.col("parsed"))
+    x = (parsed.select("path", F.col("parsed").alias("raw_parsed"),
+                       F.when(err.isNull(), reassembled_text(F.col("parsed"))).alias("text"),
+                       err.alias("error_status"))
+         .filter(F.col("error_status").isNotNull() | F.col("text").isNotNull()))
+    x = summary(x) if summary is not None else x.withColumn("summarize", F.lit(None).cast("string"))
+    return x.select("path", "raw_parsed", "text", "summarize", "error_status")
+
+
 def union_outcomes(ok: DataFrame, raw: DataFrame, errors: DataFrame) -> DataFrame:
     """C11: parsed + raw text + errors in one shape (no dedupe)."""
     cols = ["path", "raw_parsed", "text", "summarize", "error_status"]
@@ -225,15 +239,16 @@ def process_batch(batch: DataFrame, parser: Parser, extensions: list[str] | None
                   partitions: int | None = None,
                   summary: Callable[[DataFrame], DataFrame] | None = None,
                   stage_path: str | None = None) -> DataFrame:
-    """Spread, route, parse, reassemble, and union the three outcomes.
+    """Spread, route, parse, reassemble, and combine the outcomes.
 
-    The parse result feeds two branches (successes and errors).  With ``stage_path`` (a folder in the
-    shared storage) it is written there once and read back, so an expensive parser runs exactly once per
-    file; without it Spark may evaluate the parser once per branch (fine for the native parsers)."""
+    Parse results become outcome rows in one pass (``parse_outcomes``).  With ``stage_path`` (a folder in
+    the shared storage) the parse output is also written once and read back, which cuts the lineage before
+    the model calls: a retried summary task does not re-run the parser."""
     b = spread_by_hash(batch, partitions) if partitions else batch
     routed = route_by_extension(b, extensions)
     parsed = parse_documents(routed, parser)
     if stage_path is not None:
         parsed.write.mode("overwrite").parquet(stage_path)
         parsed = parsed.sparkSession.read.schema(parsed.schema).parquet(stage_path)
-    return union_outcomes(parsed_outcomes(parsed, summary), raw_text_documents(routed), parse_errors(parsed))
+    cols = ["path", "raw_parsed", "text", "summarize", "error_status"]
+    return parse_outcomes(parsed, summary).select(cols).unionByName(raw_text_documents(routed).select(cols))

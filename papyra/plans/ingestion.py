@@ -124,6 +124,7 @@ class IngestRun:
         summary = None
         if cfg.summary_model is not None:
             src = F.col("text") if cfg.summary_source == "text" else F.col("raw_parsed").cast("string")
+            src = F.when(F.col("error_status").isNull(), src)  # failed parses are not summarised
             summary = lambda ok: ext.summarize_documents(
                 ok.withColumn("_src", src), "_src", cfg.summary_model).drop("_src")
         outcomes = doc.process_batch(batch, cfg.parser, cfg.extensions, cfg.partitions, summary,

@@ -107,3 +107,24 @@ def test_pandas_parser_isolates_failures(spark):
 def test_topn_on_paths(spark):
     df = spark.createDataFrame([(f"/p/{i:03d}", bytearray(b"x")) for i in range(50)], "path string, content binary")
     assert [r.path for r in doc.batch_topn_files(df, 5).orderBy("path").collect()] == [f"/p/{i:03d}" for i in range(5)]
+
+
+def test_single_pass_outcomes_parse_once_without_staging(spark, raw_dir, scratch):
+    import uuid
+    d, _ = raw_dir
+    calls = os.path.join(scratch, "calls")
+    os.makedirs(calls)
+
+    def parse(b: bytes) -> dict:
+        with open(os.path.join(calls, uuid.uuid4().hex), "w") as f:
+            f.write("x")
+        if b == b"odd name":
+            raise ValueError("bad")
+        return {"metadata": {"version": "2.0"}, "document": {"elements": [{"content": "c"}]}}
+
+    batch = binary_scan(spark, d, recursive=True).select("path", "content")
+    out = doc.process_batch(batch, doc.pandas_parser(parse)).collect()
+    n_parse = sum(1 for r in doc.route_by_extension(batch).collect() if r.route == "parse")
+    assert len(os.listdir(calls)) == n_parse
+    errors = sorted(r.error_status.split(":")[0] for r in out if r.error_status is not None)
+    assert errors == ["INVALID_UTF8", "PARSE_FAILED"]  # the undecodable raw file and the parser failure
