@@ -1,3 +1,4 @@
+import json
 import os
 
 from pyspark.sql import functions as F
@@ -205,3 +206,25 @@ def test_latest_kv_stream_over_many_micro_batches(spark, scratch):
                            max_files_per_trigger=1, state_buckets=4)
     want = latest_kv(events, ["user_id", "event_type"])
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_cli_ingest_and_serve(spark, scratch, capsys):
+    from papyra import cli
+    spark.sparkContext.addPyFile(os.path.join(os.path.dirname(os.path.abspath(__file__)), "cli_models.py"))
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    _write_docs(spark, landing, list(range(0, 9)))
+    base = os.path.join(scratch, "tables")
+    cli.main(["ingest", "--landing", landing, "--base", base, "--summary-model",
+              "cli_models:summary_stub", "--extract-model", "cli_models:extract_stub"],
+             spark)
+    out = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(out[-1]) == {"registered": 9, "pending": 0}
+    cli.main(["listing", "--base", base, "--rows", "4"], spark)
+    lines = capsys.readouterr().out.strip().splitlines()
+    assert len(lines) == 5 and json.loads(lines[-1])["label"] == "1-4 of 9"
+    cli.main(["details", "--base", base, "--lookup", "doc_3"], spark)
+    rows = [json.loads(x) for x in capsys.readouterr().out.strip().splitlines()]
+    assert rows and all(r["valor_total"] == "12.50" and r["pdf"] == "doc_3.pdf" for r in rows)
+    cli.main(["context", "--base", base], spark)
+    assert json.loads(capsys.readouterr().out.strip())["context"].startswith("resumo do contrato")
