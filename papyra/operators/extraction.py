@@ -180,9 +180,14 @@ def to_number(c: Column) -> Column:
     return norm.try_cast("double")
 
 
+DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
+
+
 def coerce_date(c: Column) -> Column:
-    """``YYYY-MM-DD`` text to DATE; impossible dates become NULL."""
-    return F.try_to_date(F.trim(c), "yyyy-MM-dd")
+    """``YYYY-MM-DD`` text to DATE (``DD/MM/YYYY``, a common deviation, is accepted too); impossible
+    dates become NULL."""
+    t = F.trim(c)
+    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in DATE_FORMATS])
 
 
 def extract_text_fields(df: DataFrame, response_col: str = "response") -> DataFrame:

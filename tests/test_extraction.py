@@ -22,6 +22,7 @@ def test_hardened_json(spark):
         ("fenced", "```json\n" + _good() + "\n```"),
         ("quoted", _good(valor_total="1.234,56", multa_rescisao="10%")),
         ("bad_date", _good(data_assinatura="2024-13-45")),
+        ("br_date", _good(data_assinatura="15/01/2024")),
         ("empty", _good(tipo_contrato="  ")),
         ("prose", "Não consegui ler o contrato."),
         ("broken", '{"tipo_contrato": "A", '),
@@ -33,6 +34,7 @@ def test_hardened_json(spark):
     assert out["fenced"].tipo_contrato == "Locação" and out["fenced"].extract_status == "ok"
     assert out["quoted"].valor_total == 1234.56 and out["quoted"].multa_rescisao == 10.0
     assert out["bad_date"].data_assinatura is None and out["bad_date"].tipo_contrato == "Locação"
+    assert out["br_date"].data_assinatura == date(2024, 1, 15)
     assert out["empty"].tipo_contrato is None
     assert out["prose"].extract_status == "no_json" and out["prose"].tipo_contrato is None
     assert out["broken"].extract_status in ("no_json", "invalid_json") and out["broken"].tipo_contrato is None
