@@ -17,19 +17,24 @@ _TRACK_COLS = [f.name for f in CONTRACT_TRACK.fields]
 def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch: str = "all") -> DataFrame:
     """B1: inventory rows whose name **and** hash are both unseen in the registry, as pending rows.
 
-    ``NOT EXISTS (name = name OR hash = hash)`` is rewritten as two anti joins (name, then hash), which
-    plans as two hash-partitioned (or, below the AQE threshold, broadcast) equi joins instead of a nested
-    loop.  NULL keys never match, exactly as in the OR form.
+    ``NOT EXISTS (name = name OR hash = hash)`` is rewritten as equi joins instead of a nested loop.  The
+    registry is probed with the listing as the build side: a semi join keeps the registry names (and,
+    separately, hashes) that occur in the listing, and the listing is then anti-joined with those few
+    hits.  Each run therefore scans the registry's two key columns but never shuffles the registry when the
+    listing is small (AQE broadcasts it); NULL keys never match, exactly as in the OR form.
 
     ``within_batch='first'`` additionally keeps one row per hash inside the batch (the earliest name);
     the default keeps them all, like the application.
     """
-    # Distinct keys first (partial aggregation): a hash shared by many copies becomes one build row.
-    names = registry.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
-    hashes = registry.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull()).distinct()
+    inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
+    inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull()).distinct()
+    seen_names = (registry.select(F.col("file_name").alias("_n"))
+                  .join(inv_names, "_n", "left_semi").distinct())
+    seen_hashes = (registry.select(F.col("file_hash").alias("_h"))
+                   .join(inv_hashes, "_h", "left_semi").distinct())
     new = (inventory
-           .join(names, inventory.file_name == names._n, "left_anti")
-           .join(hashes, F.col("file_hash") == hashes._h, "left_anti"))
+           .join(seen_names, inventory.file_name == seen_names._n, "left_anti")
+           .join(seen_hashes, F.col("file_hash") == seen_hashes._h, "left_anti"))
     if within_batch == "first":
         # Deterministic winner per hash: the smallest file name (a partial aggregate, skew safe).
         first = (new.filter(F.col("file_hash").isNotNull()).groupBy("file_hash")
