@@ -26,10 +26,10 @@ def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch:
     ``within_batch='first'`` additionally keeps one row per hash inside the batch (the earliest name);
     the default keeps them all, like the application.
     """
-    inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
-    inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull()).distinct()
-    seen_names = (registry.select(F.col("file_name").alias("_n"))
-                  .join(inv_names, "_n", "left_semi").distinct())
+    inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull())
+    inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull())
+    seen_names = registry.select(F.col("file_name").alias("_n")).join(inv_names, "_n", "left_semi")
+    # Many registered copies can share one hash: reduce the hits to one row per hash (partial aggregate).
     seen_hashes = (registry.select(F.col("file_hash").alias("_h"))
                    .join(inv_hashes, "_h", "left_semi").distinct())
     new = (inventory
