@@ -111,13 +111,15 @@ class IngestRun:
         spark = self.spark
         run_dir = f"{cfg.base}/_staging/run-{uuid.uuid4().hex}"
         registry = self.registry.read()
-        pending = reg.arrival_semi(files, registry).select("path")
+        # Pending files of this listing, written once.  Those already parsed (a run that stopped before
+        # marking them) are not parsed again but are still extracted and marked below.
+        reg.arrival_semi(files, registry).select("path").write.mode("overwrite").parquet(f"{run_dir}/pending")
+        pending_all = spark.read.schema(_PATHS).parquet(f"{run_dir}/pending")
         existing = self.parsed()
-        if existing is not None:
-            pending = _without_known(pending, existing)
+        to_parse = _without_known(pending_all, existing) if existing is not None else pending_all
         if cfg.limit:
-            pending = pending.orderBy("path").limit(cfg.limit)
-        pending.write.mode("overwrite").parquet(f"{run_dir}/paths")
+            to_parse = to_parse.orderBy("path").limit(cfg.limit)
+        to_parse.write.mode("overwrite").parquet(f"{run_dir}/paths")
         run_paths = spark.read.schema(_PATHS).parquet(f"{run_dir}/paths")
         batch = files.join(run_paths.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
 
@@ -131,13 +133,18 @@ class IngestRun:
                                      f"{run_dir}/parse")
         outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser and model
 
+        # Pending files that now have parse output: this run's, plus any left unmarked by an earlier run.
+        done = pending_all.join(self.parsed().select("path").withColumnRenamed("path", "_p"),
+                                F.col("path") == F.col("_p"), "left_semi")
+        done.write.mode("overwrite").parquet(f"{run_dir}/done")
+        done = spark.read.schema(_PATHS).parquet(f"{run_dir}/done")
         if cfg.extract_model is not None:
-            self._extract(run_paths, run_dir)
-        # B3 on this run's rows only; the registry rewrites just the buckets they live in.
-        mine = registry.join(run_paths.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+            self._extract(done, run_dir)
+        # B3 on these rows only; the registry rewrites just the buckets they live in.
+        mine = registry.join(done.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
         mine.write.mode("overwrite").parquet(f"{run_dir}/before")
         before = spark.read.schema(CONTRACT_TRACK).parquet(f"{run_dir}/before")
-        after = reg.mark_processed(before, run_paths, now)
+        after = reg.mark_processed(before, done, now)
         after.write.mode("overwrite").parquet(f"{run_dir}/after")
         after = spark.read.schema(CONTRACT_TRACK).parquet(f"{run_dir}/after")
         self.registry.replace_rows(after, f"{run_dir}/registry")

@@ -228,3 +228,23 @@ def test_cli_ingest_and_serve(spark, scratch, capsys):
     assert rows and all(r["valor_total"] == "12.50" and r["pdf"] == "doc_3.pdf" for r in rows)
     cli.main(["context", "--base", base], spark)
     assert json.loads(capsys.readouterr().out.strip())["context"].startswith("resumo do contrato")
+
+
+def test_run_that_stopped_before_marking_is_completed_next_time(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    _write_docs(spark, landing, list(range(0, 6)))
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), summary_model=lambda ps: ["resumo" for _ in ps],
+                       extract_model=lambda ps: ['{"tipo_contrato": "X"}' for _ in ps])
+    run = IngestRun(spark, cfg)
+    from papyra.sources.files import file_inventory
+    run.register(file_inventory(spark, landing))
+    files = spark.read.format("binaryFile").load(landing).select("path", "content")
+    # Simulate a run that appended its parse output and then died: parse only, no extraction or marking.
+    from papyra.operators import documents as doc
+    doc.process_batch(files, doc.text_parser).write.mode("append").parquet(run.parsed_path)
+    assert run.registry.read().filter("processed = 'N'").count() == 6
+    run.process(files)
+    assert run.registry.read().filter("processed = 'N'").count() == 0
+    assert run.parsed().count() == 6  # nothing parsed twice
+    assert run.extracted().count() == 0  # text parser rows carry no summary, so nothing to extract
