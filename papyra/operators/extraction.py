@@ -122,7 +122,8 @@ def parse_summary(df: DataFrame, text_col: str = "summarize", key: str = "path")
     All work is inside the row (array functions), so no shuffle: each line learns its section from the
     last title line at or above it.  Each line is matched against the title pattern once.
     """
-    lines = F.split(F.col(text_col), "\n")
+    # Other bullet markers ("* ", "• ") read as "- "; bold titles ("**...") are not bullets.
+    lines = F.transform(F.split(F.col(text_col), "\n"), lambda l: F.regexp_replace(l, r"^\s*(?:[*•]|-)\s+", "- "))
     # Title of each line (NULL for other lines) and the 1-based positions of the title lines.
     heads = F.transform(F.col("_lines"), lambda l: F.when(
         l.startswith("**"), F.trim(F.regexp_extract(l, _HEAD_RE, 1))))

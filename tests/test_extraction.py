@@ -58,3 +58,11 @@ def test_prompt_is_null_for_null_text(spark):
     df = spark.createDataFrame([("a", None), ("b", "texto")], "path string, t string")
     got = {r.path: r.p for r in df.select("path", ext.build_prompt("t").alias("p")).collect()}
     assert got["a"] is None and got["b"].endswith("texto")
+
+
+def test_summary_bullet_variants(spark):
+    text = "**Partes Envolvidas:**\n* Contratante: ACME [página 2]\n• Contratado: Beta\n  - Foro: SP"
+    df = spark.createDataFrame([("p", text)], "path string, summarize string")
+    got = {r.label: (r.section, r.value, r.page) for r in ext.parse_summary(df).collect()}
+    assert got == {"Contratante": ("Partes Envolvidas", "ACME", 2), "Contratado": ("Partes Envolvidas", "Beta", None),
+                   "Foro": ("Partes Envolvidas", "SP", None)}
