@@ -70,6 +70,21 @@ def upsample(df: DataFrame, m: int, array_col: str = "samples") -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(m - 1)), point))
 
 
+def normalize(signals: DataFrame, keys: list[str], m: int, peaks: bool = False, array_col: str = "samples"
+              ) -> DataFrame:
+    """S1 + S2 as one operator: each signal of ``n`` values becomes ``m`` values, bucket means (or peaks)
+    of absolute values when ``m <= n``, linear interpolation otherwise.  Long output ``(keys..., idx,
+    value)``; the branch is chosen per row."""
+    n = F.size(array_col)
+    down = downsample(explode_samples(signals.filter(n >= m), keys, array_col), keys, m, peaks)
+    out = down.select(*keys, F.col("bucket").alias("idx"), "value")
+    if m < 2:  # every non-empty signal has n >= m
+        return out
+    up = (signals.filter((n < m) & (n > 0))
+          .select(*keys, F.posexplode(upsample(signals, m, array_col)).alias("idx", "value")))
+    return out.unionByName(up)
+
+
 def bin_frequencies(n: Column, rate: float) -> Column:
     """Frequency of each FFT bin ``i``: ``i * (1/n * rate/2)``."""
     step = (F.lit(1.0) / n) * F.lit(rate / 2.0)

@@ -18,3 +18,35 @@ def test_upsample_edges(spark):
     df = spark.createDataFrame([([],), ([1.0],), ([0.0, 1.0],)], "samples array<double>")
     got = [r.u for r in df.select(sig.upsample(df, 3).alias("u")).collect()]
     assert got[0] is None and got[1] == [1.0, 1.0, 1.0] and got[2] == [0.0, 0.5, 1.0]
+
+
+def _reference_normalize(data, m, peaks):
+    n = len(data)
+    if m <= n:
+        res, cnt = [0.0] * m, [0] * m
+        for i, v in enumerate(data):
+            j = int((i * (m / n)) // 1)
+            res[j] = max(res[j], abs(v)) if peaks else res[j] + abs(v)
+            cnt[j] += 1
+        return res if peaks else [r / c for r, c in zip(res, cnt)]
+    out = []
+    for i in range(m):
+        x = (i * (n - 1)) / (m - 1)
+        lo, hi = int(x // 1), -int(-x // 1)
+        t = x - lo
+        out.append(data[n - 1] if hi >= n else data[lo] * (1 - t) + data[hi] * t)
+    return out
+
+
+def test_normalize_matches_rule(spark):
+    import random
+    rnd = random.Random(9)
+    rows = [(k, [rnd.uniform(-1, 1) for _ in range(rnd.randint(1, 40))]) for k in range(30)]
+    df = spark.createDataFrame(rows, "k int, samples array<double>")
+    for m, peaks in ((7, False), (7, True), (25, False)):
+        got = {}
+        for r in sig.normalize(df, ["k"], m, peaks).collect():
+            got.setdefault(r.k, {})[r.idx] = r.value
+        for k, data in rows:
+            want = _reference_normalize(data, m, peaks)
+            assert [round(got[k][i], 9) for i in range(m)] == [round(w, 9) for w in want], (k, m, peaks)
