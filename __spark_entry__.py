@@ -6,8 +6,12 @@ full.  Dates leave the queries as ISO text so that both engines print them the s
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))  # the package sits next to this file
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T

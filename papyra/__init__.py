@@ -10,6 +10,16 @@ collects data to the driver.  Sub-packages:
 * ``streaming``  Structured Streaming ingestion and change capture
 """
 
-from papyra.session import get_session, checkpoint_dir
+import sys as _sys
+
+# Functions of this package that run inside Python workers (model stand-ins, parser and writer closures)
+# are shipped by value, so executors do not need the package on their import path.
+try:
+    from pyspark import cloudpickle as _cloudpickle
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle without by-value registration
+    pass
+
+from papyra.session import get_session, checkpoint_dir  # noqa: E402
 
 __all__ = ["get_session", "checkpoint_dir"]
