@@ -43,3 +43,40 @@ def test_q16_size_double_rounding_half_even(spark):
     df = spark.createDataFrame([(512,), (1536,), (2560,), (1024 * 1234567,)], "size long")
     got = [r.s for r in df.select(kb_label("size").alias("s")).collect()]
     assert got == ["0", "2", "2", "1,234,567"]
+
+
+def test_item_text_branches(spark):
+    from papyra.operators.events import item_text, speaker_label
+    rows = [
+        (1, 0, "user", "message", None, "", False, None, None),          # no transcript, no text
+        (2, 0, "user", "message", "", "oi", True, None, None),           # audio pending
+        (3, 0, "assistant", "message", "", "", False, None, None),       # truncated
+        (4, 0, None, "function_call", None, None, False, "get_weather", '{"lat": 1}'),
+        (5, 0, None, "function_call_output", None, '{"ok": true}', False, None, None),
+    ]
+    df = spark.createDataFrame(rows, "item_id long, seq long, role string, type string, transcript string, "
+                                     "text string, has_audio boolean, tool_name string, tool_arguments string")
+    got = {r.item_id: r.display_text for r in item_text(df).collect()}
+    assert got == {1: "(item sent)", 2: "(awaiting transcript)", 3: "(truncated)",
+                   4: 'get_weather({"lat": 1})', 5: '{"ok": true}'}
+    labels = {r.item_id: r.speaker for r in speaker_label(df).collect()}
+    assert labels[4] == "function call" and labels[5] == "function call output" and labels[1] == "user"
+
+
+def test_paginate_rejects_bad_arguments(spark):
+    import pytest
+    df = spark.createDataFrame([(1,)], "x int")
+    with pytest.raises(ValueError):
+        srv.paginate(df, -1)
+    with pytest.raises(ValueError):
+        srv.paginate(df, 0, 0)
+
+
+def test_identifier_parameter_is_not_sql_text(spark):
+    import pytest
+    from papyra.sources.tables import sql_with_names, temp_view
+    temp_view(spark.createDataFrame([(1,)], "x int"), "safe_view")
+    assert sql_with_names(spark, "SELECT count(*) AS n FROM IDENTIFIER(:t)", t="safe_view").first().n == 1
+    with pytest.raises(Exception):
+        sql_with_names(spark, "SELECT * FROM IDENTIFIER(:t)", t="safe_view; DROP VIEW safe_view").collect()
+    assert spark.catalog.tableExists("safe_view")
