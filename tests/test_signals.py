@@ -21,21 +21,19 @@ def test_upsample_edges(spark):
 
 
 def _reference_normalize(data, m, peaks):
-    n = len(data)
+    """The stated rule with numpy: bucket ids floor(i * m / n) for m <= n, else linear interpolation at
+    positions i * (n - 1) / (m - 1)."""
+    import numpy as np
+    x = np.asarray(data, dtype=float)
+    n = len(x)
     if m <= n:
-        res, cnt = [0.0] * m, [0] * m
-        for i, v in enumerate(data):
-            j = int((i * (m / n)) // 1)
-            res[j] = max(res[j], abs(v)) if peaks else res[j] + abs(v)
-            cnt[j] += 1
-        return res if peaks else [r / c for r, c in zip(res, cnt)]
-    out = []
-    for i in range(m):
-        x = (i * (n - 1)) / (m - 1)
-        lo, hi = int(x // 1), -int(-x // 1)
-        t = x - lo
-        out.append(data[n - 1] if hi >= n else data[lo] * (1 - t) + data[hi] * t)
-    return out
+        ids = np.floor(np.arange(n) * (m / n)).astype(int)
+        if peaks:
+            out = np.zeros(m)
+            np.maximum.at(out, ids, np.abs(x))
+            return out.tolist()
+        return (np.bincount(ids, weights=np.abs(x), minlength=m) / np.bincount(ids, minlength=m)).tolist()
+    return np.interp(np.arange(m) * (n - 1) / (m - 1), np.arange(n), x).tolist()
 
 
 def test_normalize_matches_rule(spark):
