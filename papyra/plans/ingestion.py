@@ -70,9 +70,13 @@ class IngestRun:
         self.changes_path = f"{cfg.base}/registry_changes"
 
     # -- Z3, incremental: the registry's change history, written as it changes
-    def _log_changes(self, rows: DataFrame, change_type: str, version: str) -> None:
-        (rows.select(*CONTRACT_TRACK.fieldNames(), F.lit(change_type).alias("_change_type"),
-                     F.lit(version).alias("_commit_version"), F.current_timestamp().alias("_commit_timestamp"))
+    def _log_changes(self, parts: list[tuple[DataFrame, str]], version: str) -> None:
+        """Append change rows of one commit (all parts in one write)."""
+        rows = None
+        for df, change_type in parts:
+            r = df.select(*CONTRACT_TRACK.fieldNames(), F.lit(change_type).alias("_change_type"))
+            rows = r if rows is None else rows.unionByName(r)
+        (rows.select("*", F.lit(version).alias("_commit_version"), F.current_timestamp().alias("_commit_timestamp"))
          .write.mode("append").parquet(self.changes_path))
 
     def changes(self) -> DataFrame:
@@ -88,7 +92,7 @@ class IngestRun:
         reg.register_new_files(inventory, self.registry.read()).write.parquet(stage)
         admitted = self.spark.read.schema(CONTRACT_TRACK).parquet(stage)
         self.registry.append(admitted)
-        self._log_changes(admitted, "insert", version)
+        self._log_changes([(admitted, "insert")], version)
         return self.registry.read()
 
     def parsed(self) -> DataFrame:
@@ -119,9 +123,8 @@ class IngestRun:
         to_parse = _without_known(pending_all, existing) if existing is not None else pending_all
         if cfg.limit:
             to_parse = to_parse.orderBy("path").limit(cfg.limit)
-        to_parse.write.mode("overwrite").parquet(f"{run_dir}/paths")
-        run_paths = spark.read.schema(_PATHS).parquet(f"{run_dir}/paths")
-        batch = files.join(run_paths.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
+        # Read exactly once, by the parse job below, before any table of this run changes.
+        batch = files.join(to_parse.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
 
         summary = None
         if cfg.summary_model is not None:
@@ -148,9 +151,7 @@ class IngestRun:
         after.write.mode("overwrite").parquet(f"{run_dir}/after")
         after = spark.read.schema(CONTRACT_TRACK).parquet(f"{run_dir}/after")
         self.registry.replace_rows(after, f"{run_dir}/registry")
-        version = os.path.basename(run_dir)
-        self._log_changes(before, "update_preimage", version)
-        self._log_changes(after, "update_postimage", version)
+        self._log_changes([(before, "update_preimage"), (after, "update_postimage")], os.path.basename(run_dir))
 
     def _extract(self, run_paths: DataFrame, run_dir: str) -> None:
         """E5-E7 for this run's documents plus earlier ones whose model call failed."""
