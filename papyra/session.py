@@ -64,6 +64,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared scratch folder.  Read from the session; created locally only when unset (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                               "(object store or HDFS); papyra never falls back to a machine-local folder there")
         d = tempfile.mkdtemp(prefix="papyra-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
