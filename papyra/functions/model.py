@@ -21,24 +21,36 @@ def md5_model(prompts: list[str]) -> list[str]:
     return [None if p is None else hashlib.md5(p.encode("utf-8")).hexdigest() for p in prompts]
 
 
-def _call_batches(model: TextModel, prompt_col: str, key_col: str) -> Callable[[Iterator[pd.DataFrame]],
-                                                                               Iterator[pd.DataFrame]]:
+def _answer_chunk(model: TextModel, prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
+    """One model request; if it fails or miscounts, one request per prompt to isolate the failing rows."""
+    try:
+        answers = list(model(prompts))
+        if len(answers) == len(prompts):
+            return answers, [None] * len(prompts)
+    except Exception:  # noqa: BLE001 - retried per prompt below
+        pass
+    answers, errors = [], []
+    for p in prompts:
+        try:
+            answers.append(model([p])[0])
+            errors.append(None)
+        except Exception as e:  # noqa: BLE001
+            answers.append(None)
+            errors.append(f"{type(e).__name__}: {e}"[:500])
+    return answers, errors
+
+
+def _call_batches(model: TextModel, prompt_col: str, key_col: str, batch_size: int
+                  ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             prompts = pdf[prompt_col].tolist()
-            errors: list[str | None] = [None] * len(prompts)
-            try:
-                answers = list(model(prompts))
-                if len(answers) != len(prompts):
-                    raise ValueError("model returned a different number of answers")
-            except Exception:  # fall back to one call per prompt to isolate the failing rows
-                answers = []
-                for i, p in enumerate(prompts):
-                    try:
-                        answers.append(model([p])[0])
-                    except Exception as e:  # noqa: BLE001
-                        answers.append(None)
-                        errors[i] = f"{type(e).__name__}: {e}"[:500]
+            answers: list[str | None] = []
+            errors: list[str | None] = []
+            for i in range(0, len(prompts), batch_size):
+                a, e = _answer_chunk(model, prompts[i:i + batch_size])
+                answers += a
+                errors += e
             yield pd.DataFrame({key_col: pdf[key_col], "response": answers, "model_error": errors})
     return run
 
@@ -48,19 +60,20 @@ def prompt_key(prompt: Column) -> Column:
 
 
 def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str = "response",
-               cache: DataFrame | None = None, keep_key: bool = False) -> DataFrame:
+               cache: DataFrame | None = None, keep_key: bool = False, batch_size: int = 64) -> DataFrame:
     """One model answer per row, each distinct prompt sent once.
 
     Prompts are keyed by SHA-256; distinct keys are computed with a partial aggregate (a prompt repeated by
     many copies is reduced map-side), prompts already in ``cache`` (``prompt_key, response``) are skipped,
-    and the answers are joined back by key.  Per-row failures land in ``model_error``.
+    and the answers are joined back by key.  Prompts go to the model ``batch_size`` at a time (one
+    request each); per-row failures land in ``model_error``.
     """
     keyed = df.withColumn("_pk", prompt_key(F.col(prompt_col)))
     todo = (keyed.filter(F.col(prompt_col).isNotNull())
             .groupBy("_pk").agg(F.first(prompt_col).alias("_prompt")))
     if cache is not None:
         todo = todo.join(cache.select(F.col("prompt_key").alias("_pk")), "_pk", "left_anti")
-    answered = todo.mapInPandas(_call_batches(model, "_prompt", "_pk"),
+    answered = todo.mapInPandas(_call_batches(model, "_prompt", "_pk", batch_size),
                                 "_pk string, response string, model_error string")
     if cache is not None:
         answered = answered.unionByName(

@@ -66,3 +66,22 @@ def test_summary_bullet_variants(spark):
     got = {r.label: (r.section, r.value, r.page) for r in ext.parse_summary(df).collect()}
     assert got == {"Contratante": ("Partes Envolvidas", "ACME", 2), "Contratado": ("Partes Envolvidas", "Beta", None),
                    "Foro": ("Partes Envolvidas", "SP", None)}
+
+
+def test_model_calls_are_chunked_and_failures_isolated(spark):
+    from papyra.functions.model import infer_text
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "k int, prompt string").coalesce(1)
+
+    def model(prompts):
+        if len(prompts) > 3:
+            raise RuntimeError("request too large")
+        if "p7" in prompts and len(prompts) == 1:
+            raise ValueError("bad prompt")
+        if "p7" in prompts:
+            raise ValueError("batch with a bad prompt")
+        return [p.upper() for p in prompts]
+
+    out = {r.k: (r.response, r.model_error) for r in infer_text(df, "prompt", model, batch_size=3).collect()}
+    assert out[0] == ("P0", None) and out[9] == ("P9", None)
+    assert out[7][0] is None and out[7][1].startswith("ValueError")
+    assert out[6] == ("P6", None) and out[8] == ("P8", None)  # siblings of the bad prompt still answered
