@@ -151,7 +151,8 @@ def mix_channels(long: DataFrame, signal: str = "signal_id") -> DataFrame:
 
 def interleave_channels(long: DataFrame, signal: str = "signal_id", channel: str = "channel") -> DataFrame:
     """S8 (interleave): sample ``i`` of channel ``c`` goes to position ``i * channels + c``."""
-    nch = long.groupBy(signal).agg(F.countDistinct(channel).alias("_nch"))
+    # Channels per signal: a set of at most a few ids, combined map-side (one shuffle, no distinct phase).
+    nch = long.groupBy(signal).agg(F.size(F.collect_set(channel)).cast("long").alias("_nch"))
     return long.join(nch, signal).select(
         signal, (F.col("idx") * F.col("_nch") + F.col(channel)).alias("pos"), "value")
 
@@ -189,7 +190,7 @@ def trim_leading_zeros(long: DataFrame, signal: str = "signal_id", value: str =
 def duration_seconds(long: DataFrame, rate: float, signal: str = "signal_id", channel: str = "channel"
                      ) -> DataFrame:
     """16-bit PCM byte count and duration ``bytes / (channels * rate * 2)``."""
-    per = long.groupBy(signal).agg(F.countDistinct(channel).alias("n_channels"),
+    per = long.groupBy(signal).agg(F.size(F.collect_set(channel)).cast("long").alias("n_channels"),
                                    F.count(F.lit(1)).alias("n_samples"))
     n_bytes = F.col("n_samples") * 2
     return per.select(signal, "n_channels", n_bytes.alias("n_bytes"),
