@@ -14,7 +14,8 @@ from papyra.schemas import CONTRACT_TRACK, PENDING, PROCESSED
 _TRACK_COLS = [f.name for f in CONTRACT_TRACK.fields]
 
 
-def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch: str = "all") -> DataFrame:
+def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch: str = "all",
+                       match: str = "name_or_hash") -> DataFrame:
     """B1: inventory rows whose name **and** hash are both unseen in the registry, as pending rows.
 
     ``NOT EXISTS (name = name OR hash = hash)`` is rewritten as equi joins instead of a nested loop.  The
@@ -24,17 +25,21 @@ def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch:
     listing is small (AQE broadcasts it); NULL keys never match, exactly as in the OR form.
 
     ``within_batch='first'`` additionally keeps one row per hash inside the batch (the earliest name);
-    the default keeps them all, like the application.
+    the default keeps them all, like the application.  ``match='hash'`` admits a known name whose content
+    changed (a re-upload); the default rejects any known name or known content, like the application.
     """
+    if match not in ("name_or_hash", "hash"):
+        raise ValueError("match must be 'name_or_hash' or 'hash'")
     inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull())
     inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull())
     seen_names = registry.select(F.col("file_name").alias("_n")).join(inv_names, "_n", "left_semi")
     # Many registered copies can share one hash: reduce the hits to one row per hash (partial aggregate).
     seen_hashes = (registry.select(F.col("file_hash").alias("_h"))
                    .join(inv_hashes, "_h", "left_semi").distinct())
-    new = (inventory
-           .join(seen_names, inventory.file_name == seen_names._n, "left_anti")
-           .join(seen_hashes, F.col("file_hash") == seen_hashes._h, "left_anti"))
+    new = inventory
+    if match == "name_or_hash":
+        new = new.join(seen_names, inventory.file_name == seen_names._n, "left_anti")
+    new = new.join(seen_hashes, F.col("file_hash") == seen_hashes._h, "left_anti")
     if within_batch == "first":
         # Deterministic winner per hash: the smallest file name (a partial aggregate, skew safe).
         first = (new.filter(F.col("file_hash").isNotNull()).groupBy("file_hash")

@@ -44,6 +44,8 @@ class IngestConfig:
     extract_model: TextModel | None = None  # E5; None skips extraction
     model_cache: bool = True                # E2: keep answers by prompt key and never ask twice
     registry_buckets: int = 64              # registry layout; size so a bucket holds ~1-5M rows at scale
+    admit_copies: str = "all"               # B1 within one listing: "all" (application) or "first" per hash
+    admit_match: str = "name_or_hash"       # B1: "name_or_hash" (application) or "hash" (re-uploads admitted)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -89,7 +91,8 @@ class IngestRun:
         """Admit new files: an append to the registry (staged first, since the registry is also read)."""
         version = f"admit-{uuid.uuid4().hex}"
         stage = f"{self.cfg.base}/_staging/{version}"
-        reg.register_new_files(inventory, self.registry.read()).write.parquet(stage)
+        reg.register_new_files(inventory, self.registry.read(), self.cfg.admit_copies,
+                               self.cfg.admit_match).write.parquet(stage)
         admitted = self.spark.read.schema(CONTRACT_TRACK).parquet(stage)
         self.registry.append(admitted)
         self._log_changes([(admitted, "insert")], version)

@@ -61,3 +61,11 @@ def test_latest_upload_keeps_newest_per_name(spark):
                                ("a.pdf", "pdf", 2, "/v/a.pdf", datetime(2024, 2, 1), None, "new")], FILE_INVENTORY)
     rows = reg.latest_upload(inv).collect()
     assert len(rows) == 1 and rows[0].file_hash == "new" and rows[0].size == 2
+
+
+def test_hash_only_mode_admits_reuploads(spark):
+    registry = _reg(spark, [("a.pdf", "h1", "S")])
+    inv = _inv(spark, [("a.pdf", "h2"), ("b.pdf", "h1"), ("c.pdf", "h3")])
+    default = sorted(r.file_name for r in reg.register_new_files(inv, registry).collect())
+    by_hash = sorted(r.file_name for r in reg.register_new_files(inv, registry, match="hash").collect())
+    assert default == ["c.pdf"] and by_hash == ["a.pdf", "c.pdf"]
