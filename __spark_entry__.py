@@ -550,8 +550,20 @@ def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return run
 
 
+def _llm() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators, or nothing where that sub-package is not installed."""
+    try:
+        from papyra.llm.queries import QUERIES
+        from papyra.llm.oracles import ORACLES
+    except ModuleNotFoundError as e:
+        if not (e.name or "").startswith("papyra.llm"):
+            raise
+        return {}, {}
+    return dict(QUERIES), dict(ORACLES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: _utc(v) for k, v in _QUERIES.items()}
+    return {k: _utc(v) for k, v in {**_QUERIES, **_llm()[0]}.items()}
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -675,6 +687,10 @@ def _oracle_parse_summary() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return {**_oracles(), **_llm()[1]}
+
+
+def _oracles() -> dict[str, str]:
     from papyra.schemas import CONTRACT_FIELDS
     reg_ctes = with_ctes("registry")
     ex_fields = ", ".join(
