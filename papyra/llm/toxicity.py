@@ -27,7 +27,7 @@ from papyra.llm.common import WordHasher, attach_sample, batch_texts, filter_bat
 
 GRADES = 4                # 0 clean, 1 mild, 2 marked, 3 severe
 MAX_TRAIN = 20_000        # documented bound of the labelled sample the model is fitted on
-REJECT_AT = 0.5           # probability of any toxicity from which a document is rejected
+REJECT_AT = 0.25          # probability of any toxicity from which a document is rejected
 OUT = "doc_id long, severity double, grade int, p_toxic double, p_marked double, p_severe double, toxic int"
 
 
@@ -96,8 +96,8 @@ def _select(rows: list[tuple[int, np.ndarray, np.ndarray]], min_support: float,
     return vocab, inv, doc, vote, y, chosen, odds
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES, min_support: float = 0.02,
-        min_z: float = 6.0, steps: int = 400, l2: float = 1e-3) -> OrdinalModel:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int = GRADES, min_support: float = 0.005,
+        min_z: float = 5.0, steps: int = 400, l2: float = 1e-5) -> OrdinalModel:
     """Fit on (label, word hashes, counts).  A label of 0 is grade 0.  If the labels hold only two classes the
     toxic documents are graded 1.. by how many clearly toxic words they hold, cut at equal shares; labels that are
     grades already (any label above 1) are taken as they are."""
