@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from papyra.llm.common import WordHasher, attach_sample, batch_texts, filter_batches, labelled_sample, texts
 
 GRADES = 4                # 0 clean, 1 mild, 2 marked, 3 severe
-MAX_TRAIN = 20_000        # documented bound of the labelled sample the model is fitted on
+MAX_TRAIN = 12_000        # documented bound of the labelled sample the model is fitted on
 REJECT_AT = 0.25          # probability of any toxicity from which a document is rejected
 OUT = "doc_id long, severity double, grade int, p_toxic double, p_marked double, p_severe double, toxic int"
 
