@@ -28,14 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import batch_texts, free_name, null_safe, semi_by_keys, stage, texts
+from papyra.llm.common import batch_texts, free_name, null_safe, stage, texts
 from papyra.llm.components import components
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 _CHUNK = 1 << 22          # bytes of a text that are split into words at a time
-_SPACE = b" \t\n\r\x0b\x0c"
 
 
 def _pieces(data: bytes):
@@ -82,15 +81,16 @@ def _ones(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed 64-bit integer."""
-    src = texts(docs, id_col, text_col)
+    """(doc_id, h, fp): a hash of the text, and the fingerprint as a signed 64-bit integer."""
+    src = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch_texts(b, "text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(fp)],
+                                             names=["doc_id", "h", "fp"])
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, fp long")
+    return src.mapInArrow(run, f"doc_id {kind}, h long, fp long")
 
 
 # ------------------------------------------------------------------------------------------- links
@@ -200,9 +200,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, rows_per_task: int = 2_000
 
 # ------------------------------------------------------------------------------------------- operator
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-                    max_bits: int = MAX_BITS) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
+    """(doc_id, h, fp, component_id), one row per document."""
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), max_bits))
@@ -210,25 +209,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     decided = stage(joined, "rooted")
     least = decided.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = decided.join(least, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(
+    by_fp = decided.join(least, "root").select("fp", "component_id", "root")
+    return prints.join(by_fp, "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                    max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (least id reachable)."""
+    return _rooted(docs, id_col, text_col, shingle, max_bits).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows that stay, with all their columns: of each component the document with the least id (one row of it;
-    where no id is given, one row of the least text)."""
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    kept = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-                 .groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("times")), "kept")
-    once = semi_by_keys(docs, kept.filter("times = 1").select(F.col("doc_id").alias(id_col)), [id_col])
-    if not kept.filter("times > 1").limit(1).count():
-        return once
-    # The id occurs on several rows: of those that carry the component, the one with the least text stays.
-    again = semi_by_keys(docs, kept.filter("times > 1").select(F.col("doc_id").alias(id_col)), [id_col])
-    least = again.groupBy(F.col(id_col).alias("__i")).agg(F.min(F.coalesce(F.col(text_col), F.lit(""))).alias("__t"))
-    key = free_name(docs, "__text")
-    again = again.withColumn(key, F.coalesce(F.col(text_col), F.lit("")))
-    one = again.join(least, null_safe([again[id_col], again[key]], [F.col("__i"), F.col("__t")]), "left_semi")
-    return once.unionByName(one.dropDuplicates([id_col, key]).drop(key))
+    """The rows that stay, with all their columns: of each component one row of its least id (where several rows
+    carry that id, the one whose text has the least hash)."""
+    found = _rooted(docs, id_col, text_col, shingle, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = stage(found.groupBy("root", "doc_id").agg(F.min("h").alias("h")).select("doc_id", "h"), "kept")
+    key = free_name(docs, "__text_hash")
+    marked = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    k = kept.select(F.col("doc_id").alias("__k_id"), F.col("h").alias("__k_h"))
+    out = marked.join(k, null_safe([marked[id_col], marked[key]], [k["__k_id"], k["__k_h"]]), "left_semi")
+    if found.groupBy("doc_id", "h").count().filter("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, key])          # rows that are equal in id and text
+    return out.drop(key)
