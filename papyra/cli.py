@@ -19,6 +19,7 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _load(spec: str | None):
@@ -28,9 +29,10 @@ def _load(spec: str | None):
     return getattr(importlib.import_module(mod), fn)
 
 
-def _print(df: DataFrame, n: int = 50) -> None:
-    for line in df.toJSON().take(n):  # bounded: at most n rows reach the driver
-        print(line)
+def _print(df: DataFrame) -> None:
+    """All rows, one JSON line each, streamed a partition at a time."""
+    for line in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+        print(line.j)
 
 
 def _run(spark: SparkSession, cfg_base: str, **kw):
@@ -61,7 +63,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     a = p.parse_args(argv)
 
     from papyra.operators import chat, serving
-    from papyra.session import get_session, scratch_path
+    from papyra.session import get_session
     spark = spark or get_session()
 
     if a.cmd == "ingest":
@@ -69,7 +71,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                    summary_model=_load(a.summary_model), extract_model=_load(a.extract_model))
         if a.stream:
             from papyra.streaming.ingest import stream_extract
-            stream_extract(spark, run, a.landing, a.checkpoint or scratch_path(spark, "ingest-ckpt"),
+            stream_extract(spark, run, a.landing, a.checkpoint or f"{a.base}/_checkpoints/ingest",
                            max_files_per_trigger=a.max_files)
         else:
             from papyra.sources.files import binary_scan, file_inventory
@@ -81,9 +83,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
     run = _run(spark, a.base)
     if a.cmd == "listing":
-        listing = serving.files_listing(run.registry.read())
-        _print(serving.paginate(listing, a.page, a.rows, order=["upload_time", "file_name"]), a.rows)
-        _print(serving.page_label(listing.selectExpr("count(*) AS n"), a.page, a.rows), 1)
+        rows = run.registry.read()
+        # The newest first, by the stored time: the listing's own dates are formatted text.
+        page = rows.orderBy(F.desc_nulls_last("upload_time"), "file_name").offset(a.page * a.rows).limit(a.rows)
+        _print(serving.files_listing(page))
+        _print(serving.page_label(rows.selectExpr("count(*) AS n"), a.page, a.rows))
     elif a.cmd == "details":
         details = serving.contract_details(run.extracted(), a.lookup)
         if a.out:
@@ -91,9 +95,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             _print(details)
     elif a.cmd == "summary":
-        _print(serving.first_summary(run.extracted(), a.lookup), 1)
+        _print(serving.first_summary(run.extracted(), a.lookup))
     elif a.cmd == "context":
-        _print(chat.chat_context(run.extracted()), 1)
+        _print(chat.chat_context(run.extracted()))
     return 0
 
 

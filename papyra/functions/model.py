@@ -36,7 +36,7 @@ def _answer_chunk(model: TextModel, prompts: list[str]) -> tuple[list[str | None
             errors.append(None)
         except Exception as e:  # noqa: BLE001
             answers.append(None)
-            errors.append(f"{type(e).__name__}: {e}"[:500])
+            errors.append(f"{type(e).__name__}: {e}")
     return answers, errors
 
 
@@ -60,20 +60,23 @@ def prompt_key(prompt: Column) -> Column:
 
 
 def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str = "response",
-               cache: DataFrame | None = None, keep_key: bool = False, batch_size: int = 64) -> DataFrame:
+               cache: DataFrame | None = None, keep_key: bool = False, batch_size: int = 64,
+               partitions: int | None = None) -> DataFrame:
     """One model answer per row, each distinct prompt sent once.
 
     Prompts are keyed by SHA-256; distinct keys are computed with a partial aggregate (a prompt repeated by
     many copies is reduced map-side), prompts already in ``cache`` (``prompt_key, response``) are skipped,
     and the answers are joined back by key.  Prompts go to the model ``batch_size`` at a time (one
-    request each); per-row failures land in ``model_error``.
+    request each) in ``partitions`` tasks; per-row failures land in ``model_error``.
     """
     keyed = df.withColumn("_pk", prompt_key(F.col(prompt_col)))
     todo = (keyed.filter(F.col(prompt_col).isNotNull())
             .groupBy("_pk").agg(F.first(prompt_col).alias("_prompt")))
     if cache is not None:
         todo = todo.join(cache.select(F.col("prompt_key").alias("_pk")), "_pk", "left_anti")
-    answered = todo.mapInPandas(_call_batches(model, "_prompt", "_pk", batch_size),
+    # Model calls are slow and prompts few: spread them on purpose, or small partitions are merged into one task.
+    spread = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answered = todo.repartition(spread, "_pk").mapInPandas(_call_batches(model, "_prompt", "_pk", batch_size),
                                 "_pk string, response string, model_error string")
     if cache is not None:
         answered = answered.unionByName(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.sequence import neighbour
@@ -53,7 +53,7 @@ def chat_prompt(questions: DataFrame, context: DataFrame, text_col: str = "text"
     """The system + user message pair for each question, as columns and as a request JSON.
 
     The one-row context enters as a scalar subquery (evaluated once, broadcast), not a join."""
-    ctx = context.select(F.left("context", F.lit(CONTEXT_MAX_CHARS)).alias("c")).scalar()
+    ctx = context.select("context").scalar()
     sys_c = system_prompt(ctx)
     msgs = F.array(F.struct(F.lit("system").alias("role"), sys_c.alias("content")),
                    F.struct(F.lit("user").alias("role"), F.col(text_col).alias("content")))
@@ -81,10 +81,13 @@ def extract_answer(df: DataFrame, response_col: str = "response") -> DataFrame:
     return df.withColumn("answer", answer)
 
 
-def append_turn(history: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """Append ``(conv_id, question, answer)`` to each conversation as two new turns after its last."""
+def append_turn(history: DataFrame, exchanges: DataFrame, order: str | None = None) -> DataFrame:
+    """Append ``(conv_id, question, answer)`` to each conversation as two new turns after its last.  Several
+    exchanges of one conversation follow each other by ``order`` (a column), else by question and answer."""
     last = history.groupBy("conv_id").agg(F.max("turn").alias("_t"))
-    e = exchanges.join(last, "conv_id", "left").withColumn("_t", F.coalesce("_t", F.lit(-1)))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy(*([order] if order else []), "question", "answer")) - 1
+    e = (exchanges.withColumn("_n", nth).join(last, "conv_id", "left")
+         .withColumn("_t", F.coalesce("_t", F.lit(-1)) + 2 * F.col("_n")))
     new = (e.select("conv_id", (F.col("_t") + 1).alias("turn"), F.lit("user").alias("role"),
                     F.col("question").alias("text"))
            .unionByName(e.select("conv_id", (F.col("_t") + 2).alias("turn"), F.lit("assistant").alias("role"),

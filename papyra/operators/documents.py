@@ -243,7 +243,8 @@ def process_batch(batch: DataFrame, parser: Parser, extensions: list[str] | None
 
     Parse results become outcome rows in one pass (``parse_outcomes``).  With ``stage_path`` (a folder in
     the shared storage) the parse output is also written once and read back, which cuts the lineage before
-    the model calls: a retried summary task does not re-run the parser."""
+    the model calls: a retried summary task does not re-run the parser.  If ``summary`` adds a column
+    ``summary_error`` (failed model calls), the outcomes carry it."""
     b = spread_by_hash(batch, partitions) if partitions else batch
     routed = route_by_extension(b, extensions)
     parsed = parse_documents(routed, parser)
@@ -251,4 +252,6 @@ def process_batch(batch: DataFrame, parser: Parser, extensions: list[str] | None
         parsed.write.mode("overwrite").parquet(stage_path)
         parsed = parsed.sparkSession.read.schema(parsed.schema).parquet(stage_path)
     cols = ["path", "raw_parsed", "text", "summarize", "error_status"]
-    return parse_outcomes(parsed, summary).select(cols).unionByName(raw_text_documents(routed).select(cols))
+    done = parse_outcomes(parsed, summary)
+    more = ["summary_error"] if "summary_error" in done.columns else []
+    return done.select(*cols, *more).unionByName(raw_text_documents(routed).select(cols), allowMissingColumns=True)

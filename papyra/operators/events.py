@@ -28,7 +28,7 @@ def micros(ts: str | Column) -> Column:
 
 def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "event_type",
                   width: int = HOUR_MICROS) -> DataFrame:
-    """H1: consecutive events of one type in a session become one row.  ``repeat_count`` follows the UI
+    """H1: consecutive events of one type (NULL is a type too) in a session become one row.  ``repeat_count`` follows the UI
     (run length - 1: the first event has no count, each repeat adds one); ``run_length`` is also given.
 
     Gaps-and-islands in one bucketed pass: inside each ``(session, time bucket)`` a window gives the
@@ -41,7 +41,7 @@ def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "even
     w = Window.partitionBy(session, "_b").orderBy(*order)
     prev = F.lag(kind).over(w)
     first_in_bucket = F.row_number().over(w) == 1
-    local = F.when(first_in_bucket, F.lit(0)).when(prev.isNull() | (prev != F.col(kind)), F.lit(1)).otherwise(F.lit(0))
+    local = F.when(first_in_bucket, F.lit(0)).when(~prev.eqNullSafe(F.col(kind)), F.lit(1)).otherwise(F.lit(0))
     e = (e.withColumn("_start", local.cast("long"))
           .withColumn("_lrs", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     key = F.struct(*[F.col(c) for c in order])
@@ -50,7 +50,7 @@ def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "even
                                         F.sum("_start").alias("_local"))
     wb = Window.partitionBy(session).orderBy("_b")
     prev_last = F.lag("_last").over(wb)
-    summ = summ.withColumn("_fs", F.when(prev_last.isNull() | (prev_last != F.col("_first")), F.lit(1))
+    summ = summ.withColumn("_fs", F.when((F.row_number().over(wb) == 1) | ~prev_last.eqNullSafe(F.col("_first")), F.lit(1))
                            .otherwise(F.lit(0)).cast("long"))
     summ = summ.withColumn("_before", F.coalesce(
         F.sum(F.col("_local") + F.col("_fs")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -75,10 +75,13 @@ def build_prompt(text: str | Column, kind: str = "summary") -> Column:
     return F.concat(F.lit(head), F.col(text) if isinstance(text, str) else text)
 
 
-def summarize_documents(df: DataFrame, text_col: str, model: TextModel, out_col: str = "summarize") -> DataFrame:
-    """E3 (model path): prompt + one model call per distinct document."""
+def summarize_documents(df: DataFrame, text_col: str, model: TextModel, out_col: str = "summarize",
+                        error_col: str | None = None) -> DataFrame:
+    """E3 (model path): prompt + one model call per distinct document.  ``error_col`` names a column that keeps the
+    text of a failed call (a NULL summary without one comes from a NULL text)."""
     p = df.withColumn("_prompt", build_prompt(text_col, "summary"))
-    return infer_text(p, "_prompt", model, out_col=out_col).drop("_prompt", "model_error")
+    out = infer_text(p, "_prompt", model, out_col=out_col).drop("_prompt")
+    return out.withColumnRenamed("model_error", error_col) if error_col else out.drop("model_error")
 
 
 def _render_value(f: str) -> Column:
@@ -205,8 +208,9 @@ def extract_text_fields(df: DataFrame, response_col: str = "response") -> DataFr
             .drop("_j"))
 
 
-def typed_fields(raw: str = "raw_fields", cap_object: bool = True) -> list[Column]:
-    """E8 + E9 + E10: text fields to their declared types with the stated rules enforced natively."""
+def typed_fields(raw: str = "raw_fields", cap_object: bool = False) -> list[Column]:
+    """E8 + E9 + E10: text fields to their declared types with blank values as NULL.  A value longer than the
+    model was asked for is kept whole (``field_rules`` reports it); ``cap_object`` cuts it on request."""
     out = []
     for f in CONTRACT_FIELDS:
         c = F.col(f"{raw}.{f}")

@@ -23,7 +23,6 @@ MIN_DB, MAX_DB = -100.0, -30.0
 PCM_NEG_SCALE, PCM_POS_SCALE = 32768.0, 32767.0
 FRAME_SAMPLES = 128
 RECORD_CHUNK = 8192
-MAX_CHANNELS = 9
 # ---------------------------------------------------------------------------------------------------------
 
 
@@ -159,11 +158,10 @@ def interleave_channels(long: DataFrame, signal: str = "signal_id", channel: str
 
 def concat_chunks(chunks: DataFrame, channel: str = "channel", seq: str = "seq", array_col: str = "samples",
                   width: int = 1024) -> DataFrame:
-    """Chunks in ``seq`` order become one continuous signal per channel (channels 0..8), as long rows
+    """Chunks in ``seq`` order become one continuous signal per channel (all channels), as long rows
     ``(channel, pos, value)``.  Chunk offsets are a bucketed running sum of chunk lengths, so a channel
     with very many chunks is still spread over many tasks; no signal is ever built as one array."""
-    c = chunks.filter(F.col(channel) < MAX_CHANNELS).select(channel, seq, array_col,
-                                                            F.size(array_col).cast("long").alias("_len"))
+    c = chunks.select(channel, seq, array_col, F.size(array_col).cast("long").alias("_len"))
     off = running_sum(c, channel, F.col(seq), [seq], "_len", "_end", width)
     x = off.select(channel, (F.col("_end") - F.col("_len")).alias("_start"),
                    F.posexplode(array_col).alias("idx", "_v"))
@@ -173,10 +171,9 @@ def concat_chunks(chunks: DataFrame, channel: str = "channel", seq: str = "seq",
 def rechunk(stream: DataFrame, channel: str = "channel", frame: int = FRAME_SAMPLES) -> DataFrame:
     """Fixed frames of ``frame`` samples over each channel's continuous signal; a partial last frame
     is not emitted.  Output ``(channel, frame, slot, value)``."""
-    # At most MAX_CHANNELS rows (S9 keeps channels 0..8): a proven bound, so broadcast it.
     total = stream.groupBy(channel).agg(F.count(F.lit(1)).alias("_n"))
     full = F.floor(F.col("_n") / frame) * frame
-    return (stream.join(F.broadcast(total), channel).filter(F.col("pos") < full)
+    return (stream.join(total, channel).filter(F.col("pos") < full)
             .select(channel, F.floor(F.col("pos") / frame).cast("long").alias("frame"),
                     (F.col("pos") % frame).cast("int").alias("slot"), "value"))
 

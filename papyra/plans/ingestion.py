@@ -126,7 +126,8 @@ class IngestRun:
         to_parse = _without_known(pending_all, existing) if existing is not None else pending_all
         if cfg.limit:
             to_parse = to_parse.orderBy("path").limit(cfg.limit)
-        # Read exactly once, by the parse job below, before any table of this run changes.
+        to_parse.write.mode("overwrite").parquet(f"{run_dir}/to_parse")
+        to_parse = spark.read.schema(_PATHS).parquet(f"{run_dir}/to_parse")
         batch = files.join(to_parse.withColumnRenamed("path", "_p"), F.col("path") == F.col("_p"), "left_semi")
 
         summary = None
@@ -134,10 +135,20 @@ class IngestRun:
             src = F.col("text") if cfg.summary_source == "text" else F.col("raw_parsed").cast("string")
             src = F.when(F.col("error_status").isNull(), src)  # failed parses are not summarised
             summary = lambda ok: ext.summarize_documents(
-                ok.withColumn("_src", src), "_src", cfg.summary_model).drop("_src")
+                ok.withColumn("_src", src), "_src", cfg.summary_model, error_col="summary_error").drop("_src")
         outcomes = doc.process_batch(batch, cfg.parser, cfg.extensions, cfg.partitions, summary,
                                      f"{run_dir}/parse")
-        outcomes.write.mode("append").parquet(self.parsed_path)        # one evaluation of parser and model
+        if "summary_error" not in outcomes.columns:
+            outcomes = outcomes.withColumn("summary_error", F.lit(None).cast("string"))
+        outcomes.write.mode("overwrite").parquet(f"{run_dir}/outcomes")   # one evaluation of parser and model
+        outcomes = spark.read.schema(outcomes.schema).parquet(f"{run_dir}/outcomes")
+        # A document whose summary call failed stays pending and is taken up by the next run; one that the parser
+        # returned nothing for gets an outcome of its own, so that it is marked and not parsed for ever.
+        vanished = to_parse.join(outcomes.select("path"), "path", "left_anti").withColumns(
+            {"error_status": F.lit(EMPTY_PARSE), "text": F.lit(None).cast("string"),
+             "summarize": F.lit(None).cast("string")})
+        final = outcomes.filter(F.col("summary_error").isNull()).drop("summary_error")
+        final.unionByName(vanished, allowMissingColumns=True).write.mode("append").parquet(self.parsed_path)
 
         # Pending files that now have parse output: this run's, plus any left unmarked by an earlier run.
         done = pending_all.join(self.parsed().select("path").withColumnRenamed("path", "_p"),
@@ -162,8 +173,11 @@ class IngestRun:
         retry = self.retry.read(_PATHS)
         targets = run_paths.unionByName(retry.select("path")).distinct()
         parsed = self.parsed()
-        todo = parsed.join(targets, "path", "left_semi").filter(F.col("summarize").isNotNull())
-        todo = _without_known(todo, self.extracted())  # replayed runs add nothing
+        todo = _without_known(parsed.join(targets, "path", "left_semi"), self.extracted())  # replays add nothing
+        # Every parsed document gets an extract row; without a summary (raw text, failed parse) its fields are NULL.
+        blank = todo.filter(F.col("summarize").isNull()).select("path").dropDuplicates(["path"])
+        blank.write.mode("overwrite").parquet(f"{run_dir}/blank")
+        todo = todo.filter(F.col("summarize").isNotNull())
         prompts = todo.select("path", "summarize", ext.build_prompt("summarize", "extract").alias("_prompt"))
         cache = None
         if cfg.model_cache and _exists(spark, self.cache_path):
@@ -183,12 +197,14 @@ class IngestRun:
             answered = spark.read.schema(answered.schema).parquet(f"{run_dir}/answers")
         # Rows whose model call failed stay out of the extract table and are retried on the next run.
         ok = answered.filter(F.col("response").isNotNull())
-        rows = ext.expand_struct(ext.extract_fields(ok))
+        rows = ext.expand_struct(ext.extract_fields(ok)).select(*CONTRACT_EXTRACT.fieldNames())
+        rows = rows.unionByName(spark.read.schema(_PATHS).parquet(f"{run_dir}/blank"), allowMissingColumns=True)
         rows.select(*CONTRACT_EXTRACT.fieldNames()).write.mode("append").parquet(self.extract_path)
         self.retry.write(answered.filter(F.col("response").isNull()).select("path").distinct())
 
 
 _PATHS = "path string"
+EMPTY_PARSE = "EMPTY_PARSE"      # error status of a document that the parser returned nothing for
 _CHANGES = T.StructType(CONTRACT_TRACK.fields + [T.StructField("_change_type", T.StringType()),
                                                 T.StructField("_commit_version", T.StringType()),
                                                 T.StructField("_commit_timestamp", T.TimestampType())])

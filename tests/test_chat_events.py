@@ -67,7 +67,8 @@ def test_collapse_runs_equals_plain_gaps_and_islands(spark):
     df = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     prev = F.lag("event_type").over(w)
-    st = F.when(prev.isNull() | (prev != F.col("event_type")), 1).otherwise(0)
+    # A NULL type is a type: a, NULL, NULL, b are three runs.
+    st = F.when((F.row_number().over(w) == 1) | ~prev.eqNullSafe(F.col("event_type")), 1).otherwise(0)
     ref = (df.withColumn("st", st).withColumn("run_no", F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .groupBy("user_id", "run_no").agg(F.count(F.lit(1)).alias("run_length"),
                                              F.min("event_id").alias("first_event_id")))
@@ -75,3 +76,12 @@ def test_collapse_runs_equals_plain_gaps_and_islands(spark):
     for width in (1, 60_000_000, 3_600_000_000, 1 << 50):
         got = collapse_runs(df, width=width)
         assert sorted((r.user_id, r.run_no, r.run_length, r.first_event_id) for r in got.collect()) == want
+
+
+def test_several_exchanges_of_one_conversation_follow_each_other(spark):
+    from papyra.operators.chat import append_turn
+    h = spark.createDataFrame([(1, 0, "user", "hi")], "conv_id long, turn long, role string, text string")
+    e = spark.createDataFrame([(1, "q2", "a2", 2), (1, "q1", "a1", 1), (2, "q3", "a3", 1)],
+                              "conv_id long, question string, answer string, at int")
+    got = sorted((r.conv_id, r.turn, r.text) for r in append_turn(h, e, order="at").collect())
+    assert got == [(1, 0, "hi"), (1, 1, "q1"), (1, 2, "a1"), (1, 3, "q2"), (1, 4, "a2"), (2, 0, "q3"), (2, 1, "a3")]

@@ -30,7 +30,8 @@ def test_hardened_json(spark):
     ])
     out = {r.path: r for r in ext.expand_struct(ext.extract_fields(df), keep=["path", "extract_status"]).collect()}
     assert out["plain"].valor_total == 1500.5 and out["plain"].data_assinatura == date(2024, 1, 15)
-    assert len(out["plain"].objeto_contrato) == ext.OBJECT_MAX_CHARS
+    assert len(out["plain"].objeto_contrato) == 600      # kept whole; the rule report counts it
+    assert {r.rule: r.violations for r in ext.field_rules(df).collect()}["objeto_over_500"] > 0
     assert out["fenced"].tipo_contrato == "Locação" and out["fenced"].extract_status == "ok"
     assert out["quoted"].valor_total == 1234.56 and out["quoted"].multa_rescisao == 10.0
     assert out["bad_date"].data_assinatura is None and out["bad_date"].tipo_contrato == "Locação"

@@ -48,3 +48,12 @@ def test_normalize_matches_rule(spark):
         for k, data in rows:
             want = _reference_normalize(data, m, peaks)
             assert [round(got[k][i], 9) for i in range(m)] == [round(w, 9) for w in want], (k, m, peaks)
+
+
+def test_concat_chunks_keeps_every_channel(spark):
+    from papyra.operators.signals import concat_chunks, rechunk
+    df = spark.createDataFrame([(c, s, [float(c)] * 70) for c in range(12) for s in range(2)],
+                               "channel int, seq int, samples array<double>")
+    got = concat_chunks(df)
+    assert {r.channel: r["count"] for r in got.groupBy("channel").count().collect()} == {c: 140 for c in range(12)}
+    assert rechunk(got).select("channel").distinct().count() == 12

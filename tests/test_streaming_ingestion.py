@@ -4,6 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import SF0001
+from papyra.operators import documents as doc
 from papyra.operators import registry as reg
 from papyra.plans.ingestion import IngestRun, IngestConfig
 from papyra.schemas import CONTRACT_TRACK
@@ -52,7 +53,9 @@ def test_ingestion_is_idempotent(spark, scratch):
     reg_rows = p.registry.read().collect()
     assert reg_rows and all(r.processed == "S" for r in reg_rows)
     ex = p.extracted().collect()
-    assert ex and all(r.tipo_contrato == "Locação" and r.valor_total == 10.0 for r in ex)
+    summed = {r.path for r in p.parsed().filter("summarize IS NOT NULL").collect()}
+    assert summed and len(ex) == parsed1        # one extract row a document, empty where there was no summary
+    assert all((r.tipo_contrato, r.valor_total) == (("Locação", 10.0) if r.path in summed else (None, None)) for r in ex)
 
 
 def test_model_sees_each_distinct_prompt_once(spark, scratch):
@@ -247,4 +250,50 @@ def test_run_that_stopped_before_marking_is_completed_next_time(spark, scratch):
     run.process(files)
     assert run.registry.read().filter("processed = 'N'").count() == 0
     assert run.parsed().count() == 6  # nothing parsed twice
-    assert run.extracted().count() == 0  # text parser rows carry no summary, so nothing to extract
+    # The stopped run left no summaries: one extract row a document all the same, its fields empty.
+    assert run.extracted().count() == 6 and run.extracted().filter("tipo_contrato IS NOT NULL").count() == 0
+
+
+def test_failed_summaries_and_vanished_documents_are_not_lost(spark, scratch):
+    from papyra.sources.files import file_inventory
+    landing, healed = os.path.join(scratch, "landing"), os.path.join(scratch, "healed")
+    os.makedirs(landing)
+    _write_docs(spark, landing, list(range(0, 8)))
+
+    def flaky(prompts):
+        if not os.path.exists(healed) and any("TEXT: " in p and len(p) % 2 for p in prompts):
+            raise RuntimeError("model is away")
+        return ["resumo" for _ in prompts]
+    cfg = IngestConfig(base=os.path.join(scratch, "tables"), summary_model=flaky,
+                       extract_model=lambda ps: ['{"tipo_contrato": "X"}' for _ in ps])
+    run = IngestRun(spark, cfg)
+    run.register(file_inventory(spark, landing))
+    files = spark.read.format("binaryFile").load(landing).select("path", "content")
+    run.process(files)
+    pending = {r.file_path for r in run.registry.read().filter("processed = 'N'").collect()}
+    parsed = {r.path for r in run.parsed().collect()}
+    assert not pending & parsed and len(pending | parsed) == 8
+    open(healed, "w").close()
+    run.process(files)
+    assert run.registry.read().filter("processed = 'N'").count() == 0
+    rows = run.extracted().collect()
+    assert len(rows) == len({r.path for r in rows}) == 8
+    done = {r.path: r for r in run.parsed().collect()}
+    assert len(done) == 8
+    for r in rows:
+        assert (r.tipo_contrato == "X") == (done[r.path].summarize is not None)
+
+
+def test_documents_without_content_get_an_outcome(spark, scratch):
+    from papyra.plans.ingestion import EMPTY_PARSE
+    from papyra.sources.files import file_inventory
+    landing = os.path.join(scratch, "landing")
+    os.makedirs(landing)
+    _write_docs(spark, landing, list(range(0, 5)))
+    run = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "tables"),
+                                        parser=lambda df: doc.text_parser(df).filter(F.lit(False))))
+    run.register(file_inventory(spark, landing))
+    run.process(spark.read.format("binaryFile").load(landing).select("path", "content"))
+    assert run.registry.read().filter("processed = 'N'").count() == 0
+    lost = run.parsed().filter(F.col("error_status") == EMPTY_PARSE)
+    assert lost.count() == run.registry.read().filter("type = 'pdf'").count()
