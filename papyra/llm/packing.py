@@ -11,7 +11,7 @@ are placed first-fit by falling length, one small group a bucket.
 ``sequence_id`` numbers (bucket, class, bin) without a count over all: bucket * 2^44 + class * 2^32 + bin.
 
 Tokenisation goes chunk by chunk: byte-level BPE never merges across a space that a visible character follows, so
-a text is split there and each distinct chunk is encoded once per task (a bounded memory of chunks).  The ids are
+a text is split there and each distinct chunk is encoded once while a task remembers it (a bounded memory).  The ids are
 kept as little-endian bytes, joined, and checksummed; token ids never leave the task.
 
 Edge cases: null or empty text is the closing id alone; repeated rows (and documents that a mixture repeats) are
@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,43 +38,86 @@ CAPACITY = 1024
 MIN_CUT = 64
 END_ID = 0
 BUCKET_PIECES = 200_000
-_MEMORY = 200_000         # chunks remembered by a task
+_MEMORY = 200_000         # chunks in a generation of a task's memory
+_LONG = 64                # longer chunks are not remembered
+_GROUP = 1 << 20          # characters of a group of texts
+_JOINED = 500             # chunks encoded as one string
 _BREAK = re.compile(r" (?=\S)")
 
 
-class ChunkIds(dict):
-    """Chunk -> its ids as little-endian 32-bit bytes; a chunk is encoded once while it is remembered."""
-
-    def __init__(self, encode, lead: str) -> None:
-        super().__init__()
-        self._encode, self._lead = encode, lead
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self._encode(self._lead + chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= _MEMORY:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
 class TextIds:
-    """Text -> ids (bytes), equal to encoding the whole text at once."""
+    """Texts -> their ids (bytes), equal to encoding each whole text at once.
+
+    The unknown chunks of a group of texts are encoded in concatenations of ``_JOINED``: no id crosses a chunk, so the
+    byte lengths of the ids tell where each chunk ends.  Known chunks are kept in two generations; when the young
+    one is full it becomes the old one, and a chunk met again moves back.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self._encode = Tokenizer.from_file(path).encode
-        self._spaced, self._plain = ChunkIds(self._encode, " "), ChunkIds(self._encode, "")
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "<|" in text:      # may hold a special token, which ends a run of spaces: no chunks
-            return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        head, *rest = _BREAK.split(text)
-        spaced = self._spaced
-        return self._plain[head] + b"".join([spaced[c] for c in rest]) if rest else self._plain[head]
+        tokenizer = Tokenizer.from_file(path)
+        self._encode, self._encode_all = tokenizer.encode, tokenizer.encode_batch_fast
+        self._young, self._old = {}, {}
+        vocab = tokenizer.get_vocab()
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, number in vocab.items():      # a byte-level token is spelled with one character a byte
+            self._bytes[number] = len(token)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _learn(self, chunks: list[str]) -> None:
+        old, young = self._old, self._young
+        fresh = []
+        for c in chunks:
+            known = old.get(c)
+            if known is None:
+                fresh.append(c)
+            else:
+                young[c] = known
+        if not fresh:
+            return
+        joined = [" " + " ".join(fresh[i:i + _JOINED]) for i in range(0, len(fresh), _JOINED)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self._encode_all(joined, add_special_tokens=False)])
+        at = np.cumsum(self._bytes[ids])
+        ends = np.cumsum([len(c.encode()) + 1 for c in fresh])
+        stop = np.searchsorted(at, ends)
+        if not np.array_equal(at[np.minimum(stop, len(at) - 1)], ends):
+            raise ValueError("the tokenizer is not byte-level: its ids do not spell the text")
+        data, start = ids.tobytes(), 0
+        for c, end in zip(fresh, (4 * (stop + 1)).tolist()):
+            young[c] = data[start:end]
+            start = end
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of a group of texts."""
+        # A text that may hold a special token, which ends a run of spaces, is not cut into chunks.
+        split = [[t] if "<|" in t else _BREAK.split(t) for t in texts]
+        young = self._young
+        heads = [self._ids(chunks.pop(0)) for chunks in split]
+        new = list(set(chain.from_iterable(split)).difference(young))
+        self._learn(new)
+        out = [head + b"".join(map(young.__getitem__, chunks)) for head, chunks in zip(heads, split)]
+        for c in new:
+            if len(c) > _LONG:
+                del young[c]
+        if len(young) >= _MEMORY:
+            self._old, self._young = young, {}
+        return out
+
+
+def _groups(batch: pa.RecordBatch):
+    """The texts of a batch in groups of about ``_GROUP`` characters."""
+    group, size = [], 0
+    for text in batch_texts(batch, "text"):
+        group.append(text)
+        size += len(text)
+        if size >= _GROUP:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def cut(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
@@ -101,8 +145,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         ids_of = TextIds(tokenizer_path)
         for b in batches:
             doc, start, length, crc, total = [], [], [], [], []
-            for row, text in enumerate(batch_texts(b, "text")):
-                ids = memoryview(ids_of(text) + end)
+            for row, known in enumerate(chain.from_iterable(ids_of(group) for group in _groups(b))):
+                ids = memoryview(known + end)
                 n, at = len(ids) // 4, 0
                 for size in cut(n, capacity, min_cut):
                     doc.append(row)

@@ -53,9 +53,20 @@ def check_packed(rows, texts, encode, capacity=1024):
 
 def test_chunks_encode_like_whole_texts(encode):
     ids = packing.TextIds(PATH)
-    for t in ("", " ", "a", " a", "a b", "a  b", "a \n b", "end ", "end  ", "\n\n x", "tab\t y", "nbsp  z   w", "it's we'll 12 34",
-              "x\x1c y \x1f z", "<|endoftext|> a <|endoftext|>", "a\n <|endoftext|>", "über 🙂  naïve", "a" * 3000):
-        assert np.frombuffer(ids(t), "<u4").tolist() == encode(t), repr(t)
+    texts = ("", " ", "a", " a", "a b", "a  b", "a \n b", "end ", "end  ", "\n\n x", "tab\t y", "nbsp  z   w", "it's we'll 12 34",
+              "x\x1c y \x1f z", "<|endoftext|> a <|endoftext|>", "a\n <|endoftext|>", "über 🙂  naïve", "a" * 3000, "b " * 3000)
+    for _ in range(2):      # unknown chunks, then remembered ones
+        for t, known in zip(texts, ids(list(texts)), strict=True):
+            assert np.frombuffer(known, "<u4").tolist() == encode(t), repr(t)
+
+
+def test_chunk_memory_turns_over(encode, monkeypatch):
+    monkeypatch.setattr(packing, "_MEMORY", 50)
+    ids = packing.TextIds(PATH)
+    texts = [f"w{i % 90} common x{i * 7 % 400} {'long' * 30} \n y{i}" for i in range(600)]
+    for i in range(0, 600, 40):
+        for t, known in zip(texts[i:i + 40], ids(texts[i:i + 40]), strict=True):
+            assert np.frombuffer(known, "<u4").tolist() == encode(t), repr(t)
 
 
 def test_packing_round_trip(docs, no_docs, tiny, encode):
