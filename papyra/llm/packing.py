@@ -8,7 +8,8 @@ follows from its number in it: workers share nothing.  Powers of two divide the
 only rests (below ``min_cut``) leave padding.  The pieces of bins that a bucket could not fill (fewer than k a class)
 are placed first-fit by falling length, one small group a bucket.
 
-``sequence_id`` numbers (bucket, class, bin) without a count over all: bucket * 2^44 + class * 2^32 + bin.
+``sequence_id`` numbers (bucket, class, bin) without a count over all: bucket * 2^40 + class * 2^29 + bin, which
+leaves room for 8 million buckets (2.6 * 10^11 pieces) of up to 5 * 10^8 bins a class.
 
 Tokenisation goes chunk by chunk: byte-level BPE never merges across a space that a visible character follows, so
 a text is split there and each distinct chunk is encoded once while a task remembers it (a bounded memory).  The ids are
@@ -37,7 +38,8 @@ from papyra.llm.common import batch_texts, stage, texts
 CAPACITY = 1024
 MIN_CUT = 64
 END_ID = 0
-BUCKET_PIECES = 200_000
+BUCKET_PIECES = 32_000
+BUCKET_SHIFT, CLASS_SHIFT, CLASS_MASK = 40, 29, 0x7FF      # of sequence_id
 _MEMORY = 200_000         # chunks in a generation of a task's memory
 _LONG = 64                # longer chunks are not remembered
 _GROUP = 1 << 20          # characters of a group of texts
@@ -209,4 +211,4 @@ def place(cuts: DataFrame, capacity: int = CAPACITY, bucket_pieces: int = BUCKET
 
 
 def _sequence(bucket: str, klass: str, number: str):
-    return (F.shiftleft(F.col(bucket), 44) + F.shiftleft(F.col(klass), 32) + F.col(number)).cast("long").alias("sequence_id")
+    return (F.shiftleft(F.col(bucket), BUCKET_SHIFT) + F.shiftleft(F.col(klass), CLASS_SHIFT) + F.col(number)).cast("long").alias("sequence_id")

@@ -91,7 +91,7 @@ def test_harmonic_bins_hold_a_fixed_count(spark):
     for r in packing.place(d, bucket_pieces=1000).collect():
         bins.setdefault(r.sequence_id, []).append(r.length)
     for s, lengths in bins.items():
-        klass = s >> 32 & 0xFFF
+        klass = s >> packing.CLASS_SHIFT & packing.CLASS_MASK
         assert sum(lengths) <= 1024
         if klass:
             assert len(lengths) == klass and all(1024 // n == klass for n in lengths)
