@@ -42,7 +42,7 @@ BUCKET_PIECES = 32_000
 BUCKET_SHIFT, CLASS_SHIFT, CLASS_MASK = 40, 29, 0x7FF      # of sequence_id
 _MEMORY = 200_000         # chunks in a generation of a task's memory
 _LONG = 64                # longer chunks are not remembered
-_GROUP = 1 << 20          # characters of a group of texts
+_GROUP = 1 << 21          # characters of a group of texts
 _JOINED = 500             # chunks encoded as one string
 _BREAK = re.compile(r" (?=\S)")
 
@@ -69,28 +69,21 @@ class TextIds:
     def _ids(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
-    def _learn(self, chunks: list[str]) -> None:
-        old, young = self._old, self._young
-        fresh = []
-        for c in chunks:
-            known = old.get(c)
-            if known is None:
-                fresh.append(c)
-            else:
-                young[c] = known
+    def _learn(self, chunks: set[str]) -> None:
+        known = chunks & self._old.keys()
+        self._young.update((c, self._old[c]) for c in known)
+        fresh = list(chunks - known)
         if not fresh:
             return
         joined = [" " + " ".join(fresh[i:i + _JOINED]) for i in range(0, len(fresh), _JOINED)]
         ids = np.concatenate([np.array(e.ids, "<u4") for e in self._encode_all(joined, add_special_tokens=False)])
         at = np.cumsum(self._bytes[ids])
-        ends = np.cumsum([len(c.encode()) + 1 for c in fresh])
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, fresh)), np.int64, len(fresh)) + 1)
         stop = np.searchsorted(at, ends)
         if not np.array_equal(at[np.minimum(stop, len(at) - 1)], ends):
             raise ValueError("the tokenizer is not byte-level: its ids do not spell the text")
-        data, start = ids.tobytes(), 0
-        for c, end in zip(fresh, (4 * (stop + 1)).tolist()):
-            young[c] = data[start:end]
-            start = end
+        data, cuts = ids.tobytes(), [0, *(4 * (stop + 1)).tolist()]
+        self._young.update(zip(fresh, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of a group of texts."""
@@ -98,7 +91,7 @@ class TextIds:
         split = [[t] if "<|" in t else _BREAK.split(t) for t in texts]
         young = self._young
         heads = [self._ids(chunks.pop(0)) for chunks in split]
-        new = list(set(chain.from_iterable(split)).difference(young))
+        new = set(chain.from_iterable(split)).difference(young)
         self._learn(new)
         out = [head + b"".join(map(young.__getitem__, chunks)) for head, chunks in zip(heads, split)]
         for c in new:
