@@ -32,7 +32,7 @@ def op2_temperature_mixing(spark, sf_dir):
 
 
 def op3_line_edit_join(spark, sf_dir):
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), max_edits=None)
 
 
 def op4_harmonic_packing(spark, sf_dir):

@@ -78,6 +78,40 @@ def test_line_join_against_all_pairs(spark):
         assert (r.class_doc_id, r.class_line_no) == head and r.kept == ((r.doc_id, r.line_no) == head)
 
 
+def test_line_join_edits_follow_the_length(spark):
+    """Without a flat bound a tenth of the longer line may differ; short lines, shifts and length gaps included."""
+    rng = random.Random(6)
+    lines = []
+    for n in [9, 10, 11, 19, 20, 29, 35, 48, 60, 79, 89, 90, 100, 119, 150, 240]:
+        s = "".join(rng.choice("abcdefghij klmnop") for _ in range(n - 2))
+        lines.append(f"x{s}y")
+        for k in (1, 1, max(1, n // 20), max(1, n // 10), max(1, n // 10), n // 10 + 1, n // 9 + 2):
+            t = list(rng.choice(lines[-3:]))
+            kind = rng.randrange(4)                            # spread, or inserted, dropped or replaced together
+            for _ in range(k):
+                at = rng.randrange(len(t)) if kind == 0 else min(len(t) - 1, 3)
+                t[at:at + (kind != 1)] = [] if kind == 2 and len(t) > 1 else [rng.choice("QRS")]
+            lines.append("".join(t))
+    lines = sorted(set(lines))
+    for a in lines:
+        for b in lines[:40]:
+            for k in (4, 9, 25):
+                assert ld.within(a, b, k) == (edit_distance(a, b) <= k), (a, b, k)
+    near = {a: sum(a != b and edit_distance(a, b) <= max(len(a), len(b)) // 10 for b in lines) for a in lines}
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: r.links for r in ld.line_classes(df, max_edits=None).collect()}
+    assert got == {i: near[s] for i, s in enumerate(lines)} and sum(near.values()) > 60
+
+
+def test_line_query_links_a_long_line_with_one_word_changed(spark, tmp_path):
+    words = [f"word{i}" for i in range(40)]
+    other = words[:20] + ["elsewhere"] + words[21:]
+    spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    got = E.queries()["op3_line_edit_join"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.links, r.class_doc_id) for r in got) == [(1, 1, 1), (2, 1, 1)]
+
+
 def test_line_join_edge_rows(docs, no_docs):
     assert ld.line_classes(no_docs).count() == 0
     assert ld.line_classes(docs).count() > 0
