@@ -1,7 +1,9 @@
 """Secret scan: candidates by one pattern, false positives removed by a random forest.  Column expressions only.
 
-A candidate is a run of 16 or more token characters that holds a digit or stands after an assignment.  The texts between
-candidates give its neighbouring words.  Features: length, entropy and share of distinct characters, shares of character
+A candidate is a run of 16 or more token characters that holds a digit or stands after an assignment, or a value of any
+length without white space that is assigned to a secret-like name.  '=' belongs to a run only as its padding: of
+NAME=value the name stays in the text to the left.  The texts between candidates give its neighbouring words (a candidate
+that another is assigned to is that one's name, and kept in its text to the left).  Features: length, entropy and share of distinct characters, shares of character
 kinds, transitions between kinds, repeats, dictionary coverage (share of the candidate's letters in words that the whole
 corpus uses often), path (depth, and whether it looks like a test, example or documentation), neighbouring words
 (secret-like names, assignment, quotes, words that speak of examples), and the length of the previous word.
@@ -33,13 +35,16 @@ AROUND = 80               # characters of text on each side that count as the ne
 THRESHOLD = 0.5
 
 # What a candidate looks like, and the words that its neighbourhood is searched for.
-TOKEN = "[A-Za-z0-9+/_=.\\-]"
-CANDIDATE = f"(?<!{TOKEN})(?=[A-Za-z+/_=.\\-]*[0-9]){TOKEN}{{16,}}+|(?<=[:=] ?[\"']?){TOKEN}{{16,}}+"
-NAMES = "(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+NAMES = "(?i:token|secret|passw|pwd|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key|bearer)"
+TOKEN = "[A-Za-z0-9+/_.\\-]"
+RUN = f"{TOKEN}{{16,}}+(?:={{1,2}}(?![A-Za-z0-9+/_=.\\-\"']))?+(?!=)"
+VALUE = "[^\\s\"'`,;&<>(){}\\[\\]:=][^\\s\"'`,;&<>(){}\\[\\]]*+"
+CANDIDATE = (f"(?<=[:=]\\s{{0,2}}[\"']?)(?<={NAMES}[A-Za-z0-9_-]{{0,32}}[\"']?\\s{{0,2}}[:=]{{1,2}}\\s{{0,2}}[\"']?){VALUE}"
+             f"|(?<!{TOKEN})(?=[A-Za-z+/_.\\-]*[0-9]){RUN}|(?<=[:=] ?[\"']?){RUN}")
 ASSIGNED = "[:=]\\s*[\"']?$"
 HINTS = "(?i)(example|sample|dummy|placeholder|test|changeme|xxxx|your[_-])"
-FORMATS = ("^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}"
-           "|eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\..*|AIza[0-9A-Za-z_-]{35})$")
+FORMATS = ("(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}"
+           "|eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\..*|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
 PLAIN = "^([0-9.+/_=-]+|[A-Za-z]+[.]?|.*(.)\\2{7,}.*|[A-Za-z]+([-_./][A-Za-z]+)+)$"
 
 FEATURES = ["n", "distinct", "entropy", "digits", "uppers", "lowers", "others", "hexes", "shifts", "repeats", "coverage",
@@ -62,8 +67,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             (acc["at"] + F.length(F.get("gaps", i)) + F.length(F.get("found", i))).alias("at"),
             F.array_append(acc["starts"], acc["at"] + F.length(F.get("gaps", i))).alias("starts")),
         lambda acc: acc["starts"])
+    gap = lambda i: F.get("gaps", i)                                                          # noqa: E731
+    name = lambda i: F.when(gap(i).rlike("^[\"']?\\s*[:=]"), F.get("found", i - 1))           # noqa: E731
     sides = F.transform(F.col("found"), lambda c, i: F.struct(
-        c.alias("candidate"), F.right(F.get("gaps", i), F.lit(AROUND)).alias("left"),
+        c.alias("candidate"), F.right(F.concat(F.coalesce(name(i), F.lit("")), gap(i)), F.lit(AROUND)).alias("left"),
         F.left(F.get("gaps", i + 1), F.lit(AROUND)).alias("right")))
     return (found.select("doc_id", "path", F.posexplode(F.arrays_zip(sides.alias("s"), lengths.alias("starts"))).alias("nth", "z"))
             .select("doc_id", "path", F.col("nth").cast("long").alias("nth"), F.col("z.starts").alias("start"), "z.s.*"))
@@ -122,7 +129,7 @@ def reviewed(found: DataFrame) -> Column:
     """A label for a finding by stated rules (1 secret, 0 not), null where no rule decides."""
     c = F.col("candidate")
     hint = F.concat("left", F.lit(" "), c).rlike(HINTS)
-    return (F.when(c.rlike(PLAIN) | c.rlike("^[\\w.]+@") | F.col("right").rlike("^@"), 0)
+    return (F.when(c.rlike(PLAIN) | c.rlike("^[\\w.+-]+@[\\w-]+([.][\\w-]+)+$") | F.col("right").rlike("^@"), 0)
             .when(c.rlike(FORMATS) & ~hint, 1).when(hint, 0)
             .when(F.right("left", F.lit(32)).rlike(NAMES + "[A-Za-z0-9_-]*[\"']?\\s*" + ASSIGNED), 1)
             .when(F.col("right").rlike("^\\s*[(@]"), 0))

@@ -242,6 +242,33 @@ def test_secret_scan(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_assigned_to_a_name(spark):
+    """NAME=value, URL parameters, quoted and short values: the value alone is the candidate, and known to be assigned."""
+    aws, gh = "AKIA" + "Q7RZ2M4KX9WD3BNA", "ghp_" + "a1B2c3D4e5F6g7H8i9J0" * 2
+    rows = {1: (f"AWS_ACCESS_KEY_ID={aws}", [aws]), 2: (f"export TOKEN={gh}\nnext", [gh]), 3: (f"TOKEN_V2_OF_PRODUCTION='{gh}'", [gh]),
+            4: (f"get /v?page=2&access_token={gh}&x=1", [gh]), 5: ("pwd: hunter2!x", ["hunter2!x"]), 6: ('"password": "p@ss1"', ["p@ss1"]),
+            7: ("data QUJDREVGR0hJSktMTU5PUFE1Njc4OQ== end", ["QUJDREVGR0hJSktMTU5PUFE1Njc4OQ=="]), 8: ("pwd = ", []),
+            9: (f"secret_of_stage_2024: {gh}", ["secret_of_stage_2024", gh])}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    found = secrets.candidates(df)
+    described = secrets.features(found, secrets.dictionary(df))
+    got = described.withColumn("label", secrets.reviewed(described)).orderBy("doc_id", "nth").collect()
+    assert [(r.doc_id, r.candidate) for r in got] == [(i, c) for i, (_, cs) in rows.items() for c in cs]
+    for r in got:
+        assert rows[r.doc_id][0][r.start:r.start + len(r.candidate)] == r.candidate
+        if r.doc_id != 7 and r.candidate != "secret_of_stage_2024":
+            assert r.named == 1 and r.assigned == 1 and r.label == 1, r
+    sha = {r.doc_id: r.candidate_sha256 for r in secrets.scan(df.filter("doc_id in (2, 4)"), path_col=None).collect()}
+    assert sha[2] == sha[4] == hashlib.sha256(gh.encode()).hexdigest()
+    inside = described.filter("doc_id = 1").select("left", "right", F_lit(f"host/{aws}").alias("candidate"))
+    assert inside.select(secrets.reviewed(inside)).first()[0] == 1
+
+
+def F_lit(x):
+    from pyspark.sql import functions as F
+    return F.lit(x)
+
+
 def test_quotes_are_parsed():
     body, passages = quotes.parse("I agree.\n\nOn Monday Ann wrote:\n> yes\n> and no\n>> what was\n> that\nBye")
     assert body == "I agree.\n\nBye" and passages == [(1, "yes\nand no"), (2, "what was"), (1, "that")]
