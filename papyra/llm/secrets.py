@@ -42,6 +42,7 @@ VALUE = "[^\\s\"'`,;&<>(){}\\[\\]:=][^\\s\"'`,;&<>(){}\\[\\]]*+"
 CANDIDATE = (f"(?<=[:=]\\s{{0,2}}[\"']?)(?<={NAMES}[A-Za-z0-9_-]{{0,32}}[\"']?\\s{{0,2}}[:=]{{1,2}}\\s{{0,2}}[\"']?){VALUE}"
              f"|(?<!{TOKEN})(?=[A-Za-z+/_.\\-]*[0-9]){RUN}|(?<=[:=] ?[\"']?){RUN}")
 ASSIGNED = "[:=]\\s*[\"']?$"
+WORD = "\\p{L}{3,}+"
 HINTS = "(?i)(example|sample|dummy|placeholder|test|changeme|xxxx|your[_-])"
 FORMATS = ("(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}"
            "|eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\..*|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
@@ -88,18 +89,16 @@ def _entropy(c: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", at_least: int = COMMON) -> DataFrame:
-    """The lower-case words of three or more letters that occur often in the whole corpus."""
-    parts = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), " ")
-    return (docs.select(F.explode(parts).alias("raw"))
-            .select(F.btrim("raw", F.lit(".,;:!?\"'()\n\t\r%&$#*|")).alias("word"))
-            .filter((F.length("word") >= 3) & ~F.col("word").rlike("[^a-z]"))
+    """The lower-case words of three or more letters that occur often in the whole corpus; any other character ends a word."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
+    return (docs.select(F.explode(words).alias("word"))
             .groupBy("word").count().filter(F.col("count") >= at_least).select("word"))
 
 
 def coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """(candidate, coverage): letters of a distinct candidate in dictionary words, as a share of its length."""
     runs = found.select("candidate").distinct().select(
-        "candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+        "candidate", F.explode(F.regexp_extract_all(F.lower("candidate"), F.lit(WORD), F.lit(0))).alias("word"))
     known = runs.join(words, "word").groupBy("candidate").agg(F.sum(F.length("word")).alias("letters"))
     return known.select("candidate", (F.col("letters") / F.length("candidate")).alias("coverage"))
 

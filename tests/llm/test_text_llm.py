@@ -264,6 +264,13 @@ def test_secrets_assigned_to_a_name(spark):
     assert inside.select(secrets.reviewed(inside)).first()[0] == 1
 
 
+def test_dictionary_takes_every_word(spark):
+    df = spark.createDataFrame([("end\nstart\tTab-joined/slashed über, no x1y2",), (None,), ("",), ("it end_of naïve",)], "text string")
+    assert {r.word for r in secrets.dictionary(df, at_least=1).collect()} == {
+        "end", "start", "tab", "joined", "slashed", "über", "naïve"}
+    assert {r.word for r in secrets.dictionary(df, at_least=2).collect()} == {"end"}
+
+
 def F_lit(x):
     from pyspark.sql import functions as F
     return F.lit(x)
