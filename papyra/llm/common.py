@@ -43,12 +43,15 @@ def null_safe(a: Iterable[Column], b: Iterable[Column]) -> Column:
     return cond
 
 
-def labelled_sample(labels: DataFrame, label_col: str, bound: int, id_col: str = "doc_id") -> DataFrame:
+def labelled_sample(labels: DataFrame, label_col: str, bound: int, id_col: str = "doc_id", graded: bool = False) -> DataFrame:
     """At most ``bound`` (doc_id, label) rows, the same ones on every run: one row per document, null ids and
-    null labels left out, several labels for a document decided by their mean (a tie counts as 1)."""
+    null labels left out, several labels for a document decided by their mean (a tie counts as 1).  The label is 0 or 1;
+    with ``graded`` it is the mean rounded to a grade (a tie to the upper one, under 0 is 0)."""
+    mean = F.avg(F.col(label_col).cast("double"))
+    label = F.greatest(F.floor(mean + 0.5), F.lit(0)) if graded else mean >= 0.5
     one = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(F.col(id_col).alias("doc_id"))
-           .agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("label")))
+           .agg(label.cast("int").alias("label")))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 

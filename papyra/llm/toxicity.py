@@ -72,7 +72,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_train:
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
                 names=["label", "keys", "counts"])
-    sample = attach_sample(docs, labelled_sample(labels, label_col, max_train))
+    sample = attach_sample(docs, labelled_sample(labels, label_col, max_train, graded=True))
     return sample.select("label", "text").mapInArrow(run, "label int, keys binary, counts binary")
 
 

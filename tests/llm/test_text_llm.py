@@ -221,6 +221,18 @@ def test_toxicity_learns_grades(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.toxic}
 
 
+def test_toxicity_trains_on_labels_that_are_grades(spark):
+    """Grades 0 to 3 by a word of their own each, in no order of frequency: only the labels tell them apart."""
+    rng = random.Random(8)
+    marks = ["", "mild", "marked", "severe"]
+    rows = [(i, " ".join([f"w{rng.randrange(400)}" for _ in range(30)] + [marks[i % 4]])) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 4) for i, _ in rows[:800]] + [(3, 3), (3, 2), (3, 3)]
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.grade for r in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == i % 4 for i, _ in rows[800:]) >= 390
+
+
 def test_secret_scan(spark):
     rng = random.Random(5)
     hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))         # noqa: E731
