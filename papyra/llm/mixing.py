@@ -3,7 +3,10 @@
 The token share p_s of each source is raised to an exponent alpha and normalised: q_s = p_s^alpha / sum p^alpha.
 alpha = 1 keeps the corpus as it is, alpha = 0 gives every source the same weight.  The exponent is the least one in
 [0, 1] that keeps the entropy of q at or under ``entropy`` (a share of the greatest possible entropy) and repeats no
-source more than ``max_repeats`` times; both grow more even as alpha falls, so both are met by bisection.  Each job
+source more than ``max_repeats`` times; both grow more even as alpha falls, so both are met by bisection.  Mixing never
+makes the sources less even than they are: where the corpus itself is above the target entropy, alpha is 1, the mixture
+is the corpus, and the target is not met.  ``Mix.entropy`` is the share reached, ``Mix.met`` whether it is at or under the
+target.  Each job
 over the (small, distributed) source table evaluates all midpoints of the next five halvings.
 
 A source's budget is q_s * B tokens.  Its documents are dealt by hash into blocks of bounded size; an epoch is a
@@ -54,6 +57,8 @@ class Mix:
     alpha: float
     budget: float             # tokens over all sources
     weights: DataFrame        # key, n_tokens, n_docs, weight, budget_tokens, repeats
+    entropy: float = 0.0      # of the weights, as a share of log(number of sources); 0 for fewer than two sources
+    met: bool = True          # whether that is at or under the target
 
 
 def solve_alpha(sources: DataFrame, entropy: float | None, max_repeats: float | None, budget: float | None) -> float:
@@ -104,7 +109,9 @@ def weigh_counts(counted: DataFrame, entropy: float | None, max_repeats: float |
         return Mix(alpha, 0.0, sources.select("*", *[F.lit(0.0).alias(c) for c in ("weight", "repeats")],
                                               F.lit(0).cast("long").alias("budget_tokens")))
     raw = F.pow(F.col("n_tokens") / F.lit(float(first["t"])), F.lit(alpha))
-    z = sources.agg(F.sum(raw).alias("z")).first()["z"]
+    sums = sources.agg(F.sum(raw).alias("z"), F.sum(raw * F.log(raw)).alias("zl"), F.count(F.lit(1)).alias("n")).first()
+    z = sums["z"]
+    reached = (math.log(z) - sums["zl"] / z) / math.log(sums["n"]) if sums["n"] > 1 else 0.0
     whole = budget is None
     b = float(budget) if not whole else first["hi"] / ((first["hi"] / first["t"]) ** alpha / z)
     w = sources.withColumn("weight", raw / F.lit(z))
@@ -112,7 +119,7 @@ def weigh_counts(counted: DataFrame, entropy: float | None, max_repeats: float |
     spend = F.round(F.col("weight") * F.lit(b)).cast("long") if whole else F.floor(F.col("weight") * F.lit(b)).cast("long")
     spend = F.greatest(F.col("n_tokens"), spend) if whole else spend
     w = w.withColumn("budget_tokens", spend).withColumn("repeats", F.col("budget_tokens") / F.col("n_tokens"))
-    return Mix(alpha, b, w)
+    return Mix(alpha, b, w, reached, entropy is None or reached <= entropy + 1e-9)
 
 
 def schedule(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", source_col: str = "source",

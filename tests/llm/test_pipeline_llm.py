@@ -126,6 +126,16 @@ def test_exponent(spark, limits):
     assert all(r.budget_tokens >= r.n_tokens for r in rows)
 
 
+@pytest.mark.parametrize("counts, met", [([100_000, 30_000, 9_000, 4_000, 1_000], True), ([1000, 1010, 990, 1005], False)])
+def test_entropy_reached_is_reported(spark, counts, met):
+    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(counts)], "key string, n long")
+    mix = mixing.weigh_counts(df, 0.9, None, None)
+    q = np.array(counts, float) ** mix.alpha
+    q /= q.sum()
+    assert mix.entropy == pytest.approx(-(q * np.log(q)).sum() / math.log(len(q)))
+    assert mix.met == met and (mix.entropy <= 0.9 + 1e-9) == met and (met or mix.alpha == 1.0)
+
+
 def test_schedule(spark):
     rows = [(i, " ".join(["w"] * (5 + i % 17)), "big" if i % 10 else f"s{i % 3}") for i in range(1500)] + [(9999, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
