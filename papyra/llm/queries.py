@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import exact_dedup, fingerprints, line_dedup, mixing, packing, quality, quotes, secrets, simhash, toxicity
+from papyra.llm import (exact_dedup, filter_audit, fingerprints, lexical, line_dedup, minhash_join, mixing, packing, quality,
+                        quotes, secrets, simhash, toxicity)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,18 @@ def op10_one_permutation_minhash(spark, sf_dir):
     return fingerprints.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op11_accumulator_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hamming_minhash(spark, sf_dir):
+    return minhash_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_recursive_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -72,4 +85,5 @@ def pipeline(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_fm, op2_temperature_mixing, op3_line_edit_join, op4_harmonic_packing, op5_toxicity_ordinal,
-    op6_exact_dedup_fuse, op7_secret_forest, op8_quotation_links, op9_simhash_balls, op10_one_permutation_minhash, pipeline)}
+    op6_exact_dedup_fuse, op7_secret_forest, op8_quotation_links, op9_simhash_balls, op10_one_permutation_minhash, op11_accumulator_search,
+    op12_hamming_minhash, op13_recursive_filter_audit, pipeline)}
