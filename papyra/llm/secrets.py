@@ -46,7 +46,9 @@ WORD = "\\p{L}{3,}+"
 HINTS = "(?i)(example|sample|dummy|placeholder|test|changeme|xxxx|your[_-])"
 FORMATS = ("(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk[-_][A-Za-z0-9_-]{20,}"
            "|eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\..*|AIza[0-9A-Za-z_-]{35})(?![A-Za-z0-9])")
-PLAIN = "^([0-9.+/_=-]+|[A-Za-z]+[.]?|.*(.)\\2{7,}.*|[A-Za-z]+([-_./][A-Za-z]+)+)$"
+# Repeated groups are possessive: those are matched in a loop, so a candidate of any length needs no deep stack.
+PLAIN = "^([0-9.+/_=-]+|[A-Za-z]+[.]?|.*(.)\\2{7,}.*|[A-Za-z]++(?:[-_./][A-Za-z]++)++)$"
+MAIL = "^[\\w.+-]+@[\\w-]++(?:[.][\\w-]++)++$"
 
 FEATURES = ["n", "distinct", "entropy", "digits", "uppers", "lowers", "others", "hexes", "shifts", "repeats", "coverage",
             "depth", "path_hint", "named", "assigned", "quoted", "hinted", "left_len", "at_line_start", "dotted"]
@@ -128,7 +130,7 @@ def reviewed(found: DataFrame) -> Column:
     """A label for a finding by stated rules (1 secret, 0 not), null where no rule decides."""
     c = F.col("candidate")
     hint = F.concat("left", F.lit(" "), c).rlike(HINTS)
-    return (F.when(c.rlike(PLAIN) | c.rlike("^[\\w.+-]+@[\\w-]+([.][\\w-]+)+$") | F.col("right").rlike("^@"), 0)
+    return (F.when(c.rlike(PLAIN) | c.rlike(MAIL) | F.col("right").rlike("^@"), 0)
             .when(c.rlike(FORMATS) & ~hint, 1).when(hint, 0)
             .when(F.right("left", F.lit(32)).rlike(NAMES + "[A-Za-z0-9_-]*[\"']?\\s*" + ASSIGNED), 1)
             .when(F.col("right").rlike("^\\s*[(@]"), 0))
