@@ -147,6 +147,20 @@ def q_page_label(spark, sf):
     return srv.page_label(total, page=3, rows_per_page=8)
 
 
+def q_page_by_range(spark, sf):
+    """D8 by rank: pages 0, 30 and 10000 of the stored listing, each read from the range that holds it."""
+    from papyra.session import scratch_path
+    path = scratch_path(spark, "pages")
+    srv.write_pages(_registry(spark, sf), path, ["file_name"])
+    pages = [srv.read_page(spark, path, p, 8, ["file_name"]).withColumn("page", F.lit(p)) for p in (0, 30, 10_000)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).select("page", "file_name", "size", "processed")
+
+
+def q_page_after(spark, sf):
+    """D8 by key: the page that follows a given last row."""
+    return srv.page_after(_registry(spark, sf).select("file_name", "size", "processed"), ["file_name"], ("doc_42.pdf",), 25)
+
+
 def q_display_default(spark, sf):
     return srv.display_default_view(srv.contract_details(_extract_table(spark, sf)))
 
@@ -180,7 +194,7 @@ def q_field_rules(spark, sf):
 
 
 def q_parse_summary(spark, sf):
-    return ext.parse_summary(fx.summary(spark, sf))
+    return ext.parse_summary(fx.wrapped_summary(spark, sf))
 
 
 # ------------------------------------------------------------------------------------------------ documents
@@ -244,8 +258,8 @@ def q_attach_raw(spark, sf):
 
 def _outcomes(spark, sf):
     routed = _routed(spark, sf)
-    parsed = doc.parse_documents(routed, fx.fixture_parser)
-    return doc.union_outcomes(doc.parsed_outcomes(parsed), doc.raw_text_documents(routed), doc.parse_errors(parsed))
+    done = doc.parse_outcomes(doc.parse_documents(routed, fx.fixture_parser))     # text and errors of one parse
+    return done.unionByName(doc.raw_text_documents(routed).select(done.columns))
 
 
 def q_union_outcomes(spark, sf):
@@ -257,6 +271,13 @@ def q_coverage_report(spark, sf):
     return doc.coverage_report(fx.batch(spark, sf), _outcomes(spark, sf))
 
 
+def q_parse_binary(spark, sf):
+    """C4 with a parser of bytes (``pandas_parser``): one element a line; files it cannot read get an error status."""
+    from papyra.functions.model import parse_lines
+    parsed = doc.parse_documents(_routed(spark, sf), doc.pandas_parser(parse_lines))
+    return doc.parse_outcomes(parsed).select("path", "text", "error_status")
+
+
 def q_parse_html(spark, sf):
     pages = fx.table(spark, sf, "pages").select(
         F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("path"),
@@ -361,15 +382,22 @@ def _long(spark, sf):
 
 
 def q_downsample_mean(spark, sf):
-    d = sig.downsample(_long(spark, sf), ["vec_id"], 24)
+    d = sig.downsample(fx.signals(spark, sf), ["vec_id"], 24)
     return d.select("vec_id", "bucket", _r6(F.col("value")).alias("value"))
 
 
 def q_downsample_peak(spark, sf):
-    d = sig.downsample(_long(spark, sf), ["vec_id"], 24, peaks=True)
+    d = sig.downsample(fx.signals(spark, sf), ["vec_id"], 24, peaks=True)
     return d.select("vec_id", "bucket", _r6(F.col("value")).alias("value"))
 
 
+def q_normalize_signals(spark, sf):
+    """S1 + S2 over signals of 1 to 64 values: each has its 24 values in the output, shorter ones interpolated."""
+    short = fx.signals(spark, sf).withColumn("samples", F.slice("samples", F.lit(1), (F.col("vec_id") % 64 + 1).cast("int")))
+    d = sig.normalize(short, ["vec_id"], 24)
+    return d.select("vec_id", "idx", _r6(F.col("value")).alias("value"))
+
+
 def q_upsample_linear(spark, sf):
     s = fx.signals(spark, sf)
     return s.select("vec_id", F.posexplode(sig.upsample(s, 100)).alias("idx", "value")).select(
@@ -445,9 +473,40 @@ def q_duration_seconds(spark, sf):
 # ------------------------------------------------------------------------------------------------ sources, model, streams
 
 def q_file_inventory(spark, sf):
-    """A1 + A2 over the data directory itself: name, type, size and MD5 of every table file."""
+    """A1 + A2 over the landed documents: name, type, size and MD5 of every file."""
     from papyra.sources.files import file_inventory
-    return file_inventory(spark, sf).select("file_name", "type", "size", "file_hash")
+    return file_inventory(spark, _landing(spark, sf)).select("file_name", "type", "size", "file_hash")
+
+
+def q_binary_scan(spark, sf):
+    """A4 over the landed documents: contents up to a size, larger files reported without their bytes."""
+    from papyra.functions.columns import base_name
+    from papyra.sources.files import binary_scan
+    b = binary_scan(spark, _landing(spark, sf), max_bytes=4096, report_skipped=True)
+    return b.select(base_name("path").alias("file_name"), F.col("length").cast("long").alias("length"), "scan_status",
+                    F.md5("content").alias("content_hash"))
+
+
+def q_fetch_content(spark, sf):
+    """A10: the bytes of the first landed file that a lookup text names, inside the landing folder only."""
+    from papyra.functions.columns import base_name
+    from papyra.sources.files import fetch_content, list_files, qualified
+    landing = _landing(spark, sf)
+    got = fetch_content(spark, list_files(spark, landing), "doc_1", qualified(spark, landing))
+    return got.select(base_name("path").alias("file_name"), F.octet_length("content").cast("long").alias("n_bytes"),
+                      F.md5("content").alias("content_hash"))
+
+
+def q_append_sink(spark, sf):
+    """Two appends by name (the second with its columns in another order) and the table read back."""
+    from papyra.schemas import CONTRACT_TRACK
+    from papyra.session import scratch_path
+    from papyra.sources.tables import append_sink, table_scan
+    path = scratch_path(spark, "appended")
+    append_sink(fx.track(spark, sf), path, CONTRACT_TRACK)
+    more = reg.register_new_files(fx.incoming(spark, sf), fx.track(spark, sf))
+    append_sink(more.select(*reversed(more.columns)), path, CONTRACT_TRACK)
+    return table_scan(spark, path).select("file_name", "type", "size", "processed", "file_path", "file_hash")
 
 
 def q_named_table_scan(spark, sf):
@@ -500,21 +559,51 @@ def q_stream_register(spark, sf):
     return run.registry.read().select("file_name", "type", "size", "processed", "file_hash")
 
 
-def q_stream_extract(spark, sf):
-    """Documents landed as files; one availableNow stream registers, parses (text parser),
-    reassembles and marks them.  Output: each stored outcome with its registry flag."""
+def _run_config(base: str, healthy: bool = True, **kw):
+    """An ingestion run with the stand-in models, or with models that fail for some documents."""
+    from papyra.functions import model as m
+    from papyra.plans.ingestion import IngestConfig
+    return IngestConfig(base=base, summary_source="text", summary_model=m.md5_model if healthy else m.failing_summary,
+                        extract_model=m.extract_stand_in if healthy else m.failing_extract, **kw)
+
+
+def _run_rows(run) -> DataFrame:
+    """What a run stored for each identity: outcome, mark, extract status and fields."""
     from papyra.functions.columns import base_name
-    from papyra.plans.ingestion import IngestConfig, IngestRun
+    parsed = run.parsed()
+    flags = run.registry.read().select(F.col("file_path").alias("path"), "file_hash", "processed")
+    fields = run.extracted().select("path", "file_hash", "extract_status", "tipo_contrato", "valor_total")
+    p = parsed.select("path", "file_hash", doc.outcome_label(parsed).alias("outcome"), "text", "error_status")
+    return (flags.join(p, ["path", "file_hash"], "left").join(fields, ["path", "file_hash"], "left")
+            .select(base_name("path").alias("file_name"), "file_hash", "outcome", "processed", "extract_status",
+                    "tipo_contrato", "valor_total", "text", "error_status"))
+
+
+def q_stream_extract(spark, sf):
+    """Documents landed as files; one availableNow stream registers, parses, summarises, extracts and marks them
+    (stand-in models).  Output: each stored outcome with its registry flag and extracted fields."""
+    from papyra.plans.ingestion import IngestRun
     from papyra.session import scratch_path
     from papyra.streaming.ingest import stream_extract
     landing = _landing(spark, sf)
-    run = IngestRun(spark, IngestConfig(base=scratch_path(spark, "z2")))
+    run = IngestRun(spark, _run_config(scratch_path(spark, "z2")))
     stream_extract(spark, run, landing, scratch_path(spark, "z2-ckpt"))
-    parsed = run.parsed()
-    flags = run.registry.read().select(F.col("file_path").alias("path"), "processed")
-    return parsed.join(flags, "path").select(
-        base_name("path").alias("file_name"), doc.outcome_label(parsed).alias("outcome"), "text",
-        "error_status", "processed")
+    return _run_rows(run)
+
+
+def q_ingest_run(spark, sf):
+    """The ingestion run twice over a landing folder: some model calls fail in the first run, every tenth file is
+    replaced before the second (re-uploads admitted).  Output: each identity (name, hash) with what is stored for it."""
+    from papyra.plans.ingestion import IngestRun
+    from papyra.session import scratch_path
+    from papyra.sources.files import list_files
+    landing, base = scratch_path(spark, "changing"), scratch_path(spark, "ingest")
+    fx.land_documents(spark, sf, landing)
+    IngestRun(spark, _run_config(base, healthy=False, admit_match="hash")).ingest(list_files(spark, landing))
+    fx.land_documents(spark, sf, landing, only="doc_id % 10 = 0", suffix=" v2")
+    run = IngestRun(spark, _run_config(base, admit_match="hash"))
+    run.ingest(list_files(spark, landing))
+    return _run_rows(run).drop("text", "error_status")
 
 
 def q_change_feed(spark, sf):
@@ -525,12 +614,17 @@ def q_change_feed(spark, sf):
 
 
 def q_stream_latest_kv(spark, sf):
+    """The events as six files; three micro-batches, a restart from the checkpoint, three more."""
     from papyra.session import scratch_path
     from papyra.streaming.changes import stream_latest_kv
-    schema = fx.table(spark, sf, "events").schema
-    return stream_latest_kv(spark, sf, schema, ["user_id", "event_type"], "value", ["ts", "event_id"],
-                            scratch_path(spark, "latest-kv"), scratch_path(spark, "latest-kv-ckpt"),
-                            file_glob="events.parquet")
+    events = fx.table(spark, sf, "events")
+    src, out, ckpt = scratch_path(spark, "events"), scratch_path(spark, "latest-kv"), scratch_path(spark, "latest-kv-ckpt")
+    half = F.crc32(F.col("event_id").cast("string")) % 2
+    for part in (0, 1):
+        events.filter(half == part).repartition(3, "event_id").write.mode("append").parquet(src)
+        now = stream_latest_kv(spark, src, events.schema, ["user_id", "event_type"], "value", ["ts", "event_id"],
+                               out, ckpt, max_files_per_trigger=1, compact_every=4)
+    return now
 
 
 # ------------------------------------------------------------------------------------------------ entry
@@ -543,6 +637,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def _utc(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Timestamps are read and formatted in UTC (the tables hold UTC wall times)."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
+        # The comparison reads the tables' zone-less times as UTC in both engines: this module's contract, not the library's.
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return fn(spark, sf)
     run.__name__ = fn.__name__
@@ -585,6 +680,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "first_summary": q_first_summary,
         "paginate": q_paginate,
         "page_label": q_page_label,
+        "page_by_range": q_page_by_range,
+        "page_after": q_page_after,
         "display_default": q_display_default,
         "expiring_contracts": q_expiring_contracts,
         "contract_metrics": q_contract_metrics,
@@ -603,6 +700,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "attach_raw": q_attach_raw,
         "union_outcomes": q_union_outcomes,
         "coverage_report": q_coverage_report,
+        "parse_binary": q_parse_binary,
         "parse_html": q_parse_html,
         "chat_context": q_chat_context,
         "chat_prompt": q_chat_prompt,
@@ -621,6 +719,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "track_offsets": q_track_offsets,
         "downsample_mean": q_downsample_mean,
         "downsample_peak": q_downsample_peak,
+        "normalize_signals": q_normalize_signals,
         "upsample_linear": q_upsample_linear,
         "band_peak_music": q_band_peak_music,
         "band_peak_voice": q_band_peak_voice,
@@ -634,12 +733,16 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "trim_leading_zeros": q_trim_leading_zeros,
         "duration_seconds": q_duration_seconds,
         "file_inventory": q_file_inventory,
+        "binary_scan": q_binary_scan,
+        "fetch_content": q_fetch_content,
+        "append_sink": q_append_sink,
         "named_table_scan": q_named_table_scan,
         "build_prompt": q_build_prompt,
         "infer_text": q_infer_text,
         "summarize_documents": q_summarize_documents,
         "stream_register": q_stream_register,
         "stream_extract": q_stream_extract,
+        "ingest_run": q_ingest_run,
         "change_feed": q_change_feed,
         "stream_latest_kv": q_stream_latest_kv,
     }
@@ -673,16 +776,21 @@ def _details_select(where: str = "") -> str:
 def _oracle_parse_summary() -> str:
     from papyra.operators.extraction import SUMMARY_TEMPLATE
     from papyra.plans.fixtures_sql import render_value_sql
+    from papyra.plans.fixtures import WRAP
     parts = []
-    section = None
+    section, valued = None, 0
+    wrapped = "o_orderkey % 4 = 0"
     for i, (kind, title, field) in enumerate(SUMMARY_TEMPLATE, start=1):
         if kind == "head":
             section = title
         if field is None:
             continue
         label = f"'{title}'" if kind in ("head", "item") else "CAST(NULL AS VARCHAR)"
-        parts.append(f"SELECT path, {i} AS line_no, '{section}' AS section, {label} AS label, "
-                     f"{render_value_sql(field)} AS value, CAST(o_orderkey % 5 + 1 AS INTEGER) AS page FROM truth")
+        # Each value before this one takes a second line where values are wrapped.
+        parts.append(f"SELECT path, {i} + CASE WHEN {wrapped} THEN {valued} ELSE 0 END AS line_no, '{section}' AS section, "
+                     f"{label} AS label, {render_value_sql(field)} || CASE WHEN {wrapped} THEN ' {WRAP}' ELSE '' END AS value, "
+                     "CAST(o_orderkey % 5 + 1 AS INTEGER) AS page FROM truth")
+        valued += 1
     return with_ctes("truth") + "\nUNION ALL\n".join(parts)
 
 
@@ -728,6 +836,9 @@ def _oracles() -> dict[str, str]:
   WHERE contains(path, 'contrato_12') ORDER BY path LIMIT 1), '') AS "summarize" """,
         "page_label": reg_ctes + "SELECT printf('%d-%d of %d', least(25, n), least(32, n), n) AS label "
                                  "FROM (SELECT count(*) AS n FROM registry)",
+        "page_by_range": reg_ctes + """SELECT page, file_name, size, processed FROM (
+  SELECT *, CAST((row_number() OVER (ORDER BY file_name) - 1) // 8 AS INTEGER) AS page FROM registry) WHERE page IN (0, 30, 10000)""",
+        "page_after": reg_ctes + "SELECT file_name, size, processed FROM registry WHERE file_name > 'doc_42.pdf' ORDER BY file_name LIMIT 25",
         "paginate": reg_ctes + "SELECT * FROM (" + _LISTING_SELECT + ") ORDER BY file_name LIMIT 8 OFFSET 24",
         "display_default": details + "SELECT " + ", ".join(
             f"CASE WHEN {c} IS NULL OR {c} = '' THEN '-' ELSE {c} END AS {c}" for c in srv.DISPLAY_COLUMNS)
@@ -781,15 +892,34 @@ UNION ALL SELECT file_path, 'update_postimage', ap, a_t, ah FROM j WHERE hb AND
     AND (bp IS DISTINCT FROM ap OR b_t IS DISTINCT FROM a_t OR bh IS DISTINCT FROM ah)""",
         "stream_register": with_ctes("files") + "SELECT file_name, type, CAST(strlen(text) AS BIGINT) AS size, "
                                                "'N' AS processed, md5(text) AS file_hash FROM files",
-        "stream_extract": with_ctes("files") + """SELECT file_name,
-  CASE WHEN doc_id % 3 = 1 THEN 'raw' ELSE 'ok' END AS outcome,
-  CASE WHEN doc_id % 3 = 1 THEN text ELSE array_to_string(string_split(text, chr(10)), chr(10) || chr(10)) END AS text,
-  CAST(NULL AS VARCHAR) AS error_status, 'S' AS processed FROM files""",
+        "stream_extract": with_ctes("files", extra="landed AS (SELECT doc_id, file_name, text FROM files)") + _run_sql("text, error_status"),
+        "ingest_run": with_ctes("files", extra="""landed AS (SELECT doc_id, file_name, text FROM files
+  UNION ALL SELECT doc_id, file_name, text || ' v2' FROM files WHERE doc_id % 10 = 0)""") + _run_sql(""),
+        "file_inventory": with_ctes("files") + "SELECT file_name, type, CAST(strlen(text) AS BIGINT) AS size, md5(text) AS file_hash FROM files",
+        "binary_scan": with_ctes("files") + """SELECT file_name, CAST(strlen(text) AS BIGINT) AS length,
+  CASE WHEN strlen(text) > 4096 THEN 'too_large' ELSE 'ok' END AS scan_status,
+  CASE WHEN strlen(text) <= 4096 THEN md5(text) END AS content_hash FROM files""",
+        "fetch_content": with_ctes("files") + """SELECT file_name, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS content_hash
+  FROM files WHERE contains(file_name, 'doc_1') ORDER BY file_name LIMIT 1""",
+        "append_sink": with_ctes("registry") + "SELECT file_name, type, size, processed, file_path, file_hash FROM registry",
         "stream_latest_kv": "SELECT user_id, event_type, first(value ORDER BY ts DESC, event_id DESC) AS value "
                             "FROM events GROUP BY user_id, event_type",
     }
 
 
+def _run_sql(more: str) -> str:
+    """What the ingestion run with the stand-in models stores for each row of ``landed``."""
+    joined = "array_to_string(string_split(text, chr(10)), chr(10) || chr(10))"
+    prompt = lambda head, x: f"md5({_sql_str(head)} || {x})"
+    found = f"CASE WHEN doc_id % 3 <> 1 THEN {prompt(ext.EXTRACTION_INSTRUCTIONS, prompt(ext.SUMMARY_INSTRUCTIONS, joined))} END"
+    return f"""SELECT file_name, file_hash, outcome, 'S' AS processed,
+  CASE WHEN h IS NULL THEN 'no_summary' WHEN h[1] = '0' THEN 'no_json' ELSE 'ok' END AS extract_status,
+  CASE WHEN h[1] <> '0' THEN h END AS tipo_contrato, CASE WHEN h[1] <> '0' THEN CAST(CAST('0x' || h[1:4] AS INTEGER) AS DOUBLE) END AS valor_total
+  {", " + more if more else ""}
+FROM (SELECT file_name, md5(text) AS file_hash, CASE WHEN doc_id % 3 = 1 THEN 'raw' ELSE 'ok' END AS outcome,
+  CASE WHEN doc_id % 3 = 1 THEN text ELSE {joined} END AS text, CAST(NULL AS VARCHAR) AS error_status, {found} AS h FROM landed)"""
+
+
 def _signal_oracles() -> dict[str, str]:
     d = "CAST({} AS DOUBLE)".format
     lng = f"""WITH sig AS (SELECT vec_id, CAST(vec_id % 2 AS INTEGER) AS channel, vec_id // 2 AS signal_id,
@@ -828,6 +958,13 @@ FROM embeddings e CROSS JOIN bands b LEFT JOIN hit h ON h.vec_id = e.vec_id AND
                                  "CAST(0 AS DOUBLE) + round(avg(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
         "downsample_peak": lng + f"SELECT vec_id, CAST(floor(idx * ({d(24)} / n)) AS INTEGER) AS bucket, "
                                  "CAST(0 AS DOUBLE) + round(max(abs(value)), 6) AS value FROM lng WHERE n >= 24 GROUP BY ALL",
+        "normalize_signals": f"""WITH s AS (SELECT vec_id, vec_id % 64 + 1 AS n, embedding[1:vec_id % 64 + 1] AS arr FROM embeddings),
+v AS (SELECT vec_id, n, i, CAST(arr[i + 1] AS DOUBLE) AS value FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM s))
+SELECT vec_id, CAST(floor(i * ({d(24)} / n)) AS INTEGER) AS idx, CAST(0 AS DOUBLE) + round(avg(abs(value)), 6) AS value FROM v WHERE n >= 24 GROUP BY ALL
+UNION ALL SELECT vec_id, CAST(i AS INTEGER) AS idx, CAST(0 AS DOUBLE) + round(CASE WHEN hi >= n THEN CAST(arr[n] AS DOUBLE)
+  ELSE CAST(arr[lo + 1] AS DOUBLE) * (1 - t) + CAST(arr[hi + 1] AS DOUBLE) * t END, 6) AS value
+FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo, CAST(ceil(x) AS BIGINT) AS hi, x - floor(x) AS t FROM (
+  SELECT *, i * (n - 1) / {d(23)} AS x FROM (SELECT *, unnest(generate_series(0, 23)) AS i FROM s WHERE n < 24)))""",
         "upsample_linear": f"""SELECT vec_id, CAST(i AS INTEGER) AS idx, CAST(0 AS DOUBLE) + round(CASE WHEN hi >= n THEN CAST(arr[n] AS DOUBLE)
   ELSE CAST(arr[lo + 1] AS DOUBLE) * (1 - t) + CAST(arr[hi + 1] AS DOUBLE) * t END, 6) AS value
 FROM (SELECT *, CAST(floor(x) AS BIGINT) AS lo, CAST(ceil(x) AS BIGINT) AS hi, x - floor(x) AS t FROM (
@@ -928,8 +1065,15 @@ def _document_oracles() -> dict[str, str]:
     lines = "string_split(text, chr(10))"
     joined = f"array_to_string({lines}, chr(10) || chr(10))"
     version = "CASE WHEN doc_id % 4 = 0 THEN '1.0' ELSE '2.0' END"
-    blocks = ("list_transform(regexp_extract_all(html, '(<(h1|p)>.*?</(h1|p)>)', 1), "
-              "lambda b: array_to_string(regexp_extract_all(b, '>([^<]*)<', 1), ''))")
+    # The pages' own tags: what is not shown goes, a block tag is a border, <br> a line end, other tags nothing.
+    shown = r"regexp_replace(html, '(?is)<!--.*?-->|<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!doctype[^>]*>', '', 'g')"
+    marked = (rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({shown}, '[ \t\r\n]+', ' ', 'g'), '(?i)<br[^>]*>', chr(2), 'g'), "
+              r"'(?i)</?(p|h1|li|ul|nav|div|article|footer|body|html)( [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g')")
+    blocks = (f"list_filter(list_transform(string_split({marked}, chr(1)), lambda b: translate(trim(regexp_replace(b, ' *' || chr(2) || ' *', "
+              "chr(2), 'g'), ' ' || chr(2)), chr(2), chr(10))), lambda b: b <> '')")
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        blocks = f"list_transform({blocks}, lambda b: replace(b, '{entity}', '{char}'))"
+    line_bytes = f"CASE WHEN strlen(text) % 5 = 0 THEN NULL ELSE array_to_string({lines}, chr(10) || chr(10)) END"
     outcome = (f"CASE WHEN NOT ({pdf}) THEN 'raw' WHEN doc_id % 13 = 0 THEN 'error' "
                f"WHEN doc_id % 17 = 0 THEN 'vanished' ELSE 'ok' END")
     return {
@@ -960,6 +1104,8 @@ FROM (SELECT file_path AS path, doc_id, arr, unnest(generate_series(1, len(arr))
   CASE WHEN {pdf} AND doc_id % 13 = 0 THEN 'PARSE_FAILED' END AS error_status
 FROM files WHERE {outcome} <> 'vanished'""",
         "coverage_report": f + f"SELECT {outcome} AS outcome, count(*) AS n_files FROM files GROUP BY 1",
+        "parse_binary": f + f"""SELECT file_path AS path, {line_bytes} AS text,
+  CASE WHEN strlen(text) % 5 = 0 THEN 'PARSE_FAILED: ValueError' END AS error_status FROM files WHERE {pdf}""",
         "parse_html": f"""SELECT 'page_' || CAST(page_id AS VARCHAR) AS path, CAST(len(bl) AS BIGINT) AS n_blocks,
   CASE WHEN len(bl) > 0 THEN array_to_string(bl, chr(10) || chr(10)) END AS text
 FROM (SELECT page_id, {blocks} AS bl FROM pages)""",

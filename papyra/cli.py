@@ -74,9 +74,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             stream_extract(spark, run, a.landing, a.checkpoint or f"{a.base}/_checkpoints/ingest",
                            max_files_per_trigger=a.max_files)
         else:
-            from papyra.sources.files import binary_scan, file_inventory
-            run.register(file_inventory(spark, a.landing))
-            run.process(binary_scan(spark, a.landing).select("path", "content"))
+            from papyra.sources.files import list_files
+            run.ingest(list_files(spark, a.landing))
         pending = run.registry.read().filter("processed = 'N'").count()
         print(json.dumps({"registered": run.registry.read().count(), "pending": pending}))
         return 0

@@ -21,6 +21,39 @@ def md5_model(prompts: list[str]) -> list[str]:
     return [None if p is None else hashlib.md5(p.encode("utf-8")).hexdigest() for p in prompts]
 
 
+def extract_stand_in(prompts: list[str]) -> list[str]:
+    """Deterministic stand-in extraction: one answer in sixteen is not JSON, the others carry the prompt's MD5."""
+    out = []
+    for p in prompts:
+        h = hashlib.md5(p.encode("utf-8")).hexdigest()
+        out.append("sem dados" if h[0] == "0" else f'{{"tipo_contrato": "{h}", "valor_total": {int(h[:4], 16)}}}')
+    return out
+
+
+def _failing(prompts: list[str], digits: str) -> None:
+    if any(hashlib.md5(p.encode("utf-8")).hexdigest()[0] in digits for p in prompts):
+        raise RuntimeError("model is away")
+
+
+def failing_summary(prompts: list[str]) -> list[str]:
+    """``md5_model`` with an endpoint that is away for one prompt in eight."""
+    _failing(prompts, "ef")
+    return md5_model(prompts)
+
+
+def failing_extract(prompts: list[str]) -> list[str]:
+    """``extract_stand_in`` with an endpoint that is away for one prompt in eight."""
+    _failing(prompts, "cd")
+    return extract_stand_in(prompts)
+
+
+def parse_lines(content: bytes) -> dict:
+    """Stand-in for a parser of a binary format: an element a line; it cannot read files whose size is a multiple of 5."""
+    if len(content) % 5 == 0:
+        raise ValueError("unreadable")
+    return {"metadata": {"version": "2.0"}, "document": {"elements": [{"content": x} for x in content.decode().split("\n")]}}
+
+
 def _answer_chunk(model: TextModel, prompts: list[str]) -> tuple[list[str | None], list[str | None]]:
     """One model request; if it fails or miscounts, one request per prompt to isolate the failing rows."""
     try:
@@ -59,6 +92,11 @@ def prompt_key(prompt: Column) -> Column:
     return F.sha2(prompt, 256)
 
 
+def prompt_prefix(key: Column) -> Column:
+    """The folder of a prompt's answer in a cache: the first two hex digits of its key (256 folders)."""
+    return F.substring(key, 1, 2)
+
+
 def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str = "response",
                cache: DataFrame | None = None, keep_key: bool = False, batch_size: int = 64,
                partitions: int | None = None) -> DataFrame:

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def ensure_parallel(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows round-robin when a scan yields fewer partitions than the cluster has task slots.
-
-    A table stored as one large row group scans as a single task; CPU-heavy per-row work after it (regex,
-    JSON, rendering) would then run on one core.  On large multi-file tables the scan already has many
-    partitions and this is a no-op (no shuffle is added)."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Deal rows to the session's number of shuffle partitions by ``cols``, before CPU-heavy per-row work (regex, JSON,
+    rendering): a scan of few row groups would run it in few tasks, whatever the cluster."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)

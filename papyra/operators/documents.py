@@ -15,8 +15,10 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.columns import dotted_extension
+from papyra.functions.html import html_blocks
 
 # The default list of extensions sent to the parser, the separator between elements, and
 # the version whose items live under ``document.pages`` (all other versions use ``document.elements``).
@@ -67,30 +69,24 @@ def parse_result(items: Column, version: str | Column = "2.0", error_status: Col
                                            err.alias("error_status"), doc.alias("document"))))
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """What a parser hands on: every column but the bytes (path first)."""
+    return ["path", *[c for c in df.columns if c not in ("path", "content")]]
+
+
 def text_parser(df: DataFrame) -> DataFrame:
     """Built-in parser for UTF-8 text: each line is an element.  Undecodable bytes give an error status."""
     txt = F.try_validate_utf8(F.col("content").cast("string"))
     bad = txt.isNull()
     lines = F.when(~bad, F.split(txt, "\n"))
-    return df.select("path", parse_result(lines, "2.0", F.when(bad, F.lit("INVALID_UTF8"))).alias("parsed"))
-
-
-# HTML block pattern and the text-between-tags pattern.
-HTML_BLOCK = r"(<(h1|p)>.*?</(h1|p)>)"
-HTML_TEXT = r">([^<]*)<"
-
-
-def html_blocks(html: Column) -> Column:
-    """``array<string>``: text of each ``<h1>``/``<p>`` block, in document order."""
-    blocks = F.regexp_extract_all(html, F.lit(HTML_BLOCK), 1)
-    return F.transform(blocks, lambda b: F.array_join(F.regexp_extract_all(b, F.lit(HTML_TEXT), 1), ""))
+    return df.select(*_carried(df), parse_result(lines, "2.0", F.when(bad, F.lit("INVALID_UTF8"))).alias("parsed"))
 
 
 def html_parser(df: DataFrame) -> DataFrame:
-    """Built-in parser for HTML bytes: each heading / paragraph block is an element."""
+    """Built-in parser for HTML bytes: each block of text (heading, paragraph, list item, table row, ...) is an element."""
     html = F.try_validate_utf8(F.col("content").cast("string"))
-    return df.select("path", parse_result(html_blocks(html), "2.0",
-                                          F.when(html.isNull(), F.lit("INVALID_UTF8"))).alias("parsed"))
+    return df.select(*_carried(df), parse_result(html_blocks(html), "2.0",
+                                                 F.when(html.isNull(), F.lit("INVALID_UTF8"))).alias("parsed"))
 
 
 def pandas_parser(fn: Callable[[bytes], dict]) -> Parser:
@@ -105,11 +101,13 @@ def pandas_parser(fn: Callable[[bytes], dict]) -> Parser:
                     out.append(json.dumps(fn(bytes(b)) if b is not None else {"error_status": "EMPTY"}))
                 except Exception as e:  # noqa: BLE001
                     out.append(json.dumps({"metadata": {}, "error_status": f"PARSE_FAILED: {type(e).__name__}"}))
-            yield pd.DataFrame({"path": pdf["path"], "parsed_json": out})
+            yield pdf.drop(columns="content").assign(parsed_json=out)
 
     def parser(df: DataFrame) -> DataFrame:
-        j = df.select("path", "content").mapInPandas(run, "path string, parsed_json string")
-        return j.select("path", F.parse_json("parsed_json").alias("parsed"))
+        carried = _carried(df)
+        schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("parsed_json", T.StringType())])
+        j = df.select(*carried, "content").mapInPandas(run, schema)
+        return j.select(*carried, F.parse_json("parsed_json").alias("parsed"))
 
     return parser
 
@@ -203,10 +201,11 @@ def parse_outcomes(parsed: DataFrame, summary: Callable[[DataFrame], DataFrame]
     parse output feeds both, and the parser runs once even without staging.  ``summary`` receives all rows
     and must leave rows with an ``error_status`` unsummarised."""
     err = error_of(F.col("parsed"))
-    x = (parsed.select("path", F.col("parsed").alias("raw_parsed"),
-                       F.when(err.isNull(), reassembled_text(F.col("parsed"))).alias("text"),
-                       err.alias("error_status"))
-         .filter(F.col("error_status").isNotNull() | F.col("text").isNotNull()))
+    text = F.when(err.isNull(), reassembled_text(F.col("parsed")))
+    # A generator of no or one row: a filter would be moved below the projection and evaluate the parse again.
+    one = F.filter(F.array(F.struct(text.alias("text"), err.alias("error_status"))),
+                   lambda r: r["error_status"].isNotNull() | r["text"].isNotNull())
+    x = parsed.select("path", F.col("parsed").alias("raw_parsed"), F.inline(one))
     x = summary(x) if summary is not None else x.withColumn("summarize", F.lit(None).cast("string"))
     return x.select("path", "raw_parsed", "text", "summarize", "error_status")
 

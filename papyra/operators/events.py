@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import blank_to_null
-from papyra.functions.sequence import running_sum
-
-HOUR_MICROS = 3_600_000_000
+from papyra.functions.sequence import bucketed, running_sum, with_summary
 
 # UI placeholders for items without displayable text.
 AWAITING_TRANSCRIPT = "(awaiting transcript)"
@@ -27,17 +25,18 @@ def micros(ts: str | Column) -> Column:
 
 
 def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "event_type",
-                  width: int = HOUR_MICROS) -> DataFrame:
+                  width: int | None = None, buckets: int | None = None) -> DataFrame:
     """H1: consecutive events of one type (NULL is a type too) in a session become one row.  ``repeat_count`` follows the UI
     (run length - 1: the first event has no count, each repeat adds one); ``run_length`` is also given.
 
-    Gaps-and-islands in one bucketed pass: inside each ``(session, time bucket)`` a window gives the
-    previous type and a running count of run starts; one summary row per bucket (first type, last type,
-    starts) carries the decision for the bucket's first row and the start count across buckets.  A very
-    active session is spread over its buckets; only the summaries are ordered per session.
+    Gaps-and-islands in one bucketed pass: inside each ``(session, bucket)`` a window gives the previous type and a
+    running count of run starts; one summary row per bucket (first type, last type, starts) carries the decision for
+    the bucket's first row and the start count across buckets.  Buckets are ranges of equal row numbers (``width``:
+    of the time, in microseconds), so a very active session is spread over many; only the summaries are ordered per
+    session.
     """
     order = ["ts", "event_id"]
-    e = events.select(session, kind, *order).withColumn("_b", F.floor(micros("ts") / F.lit(width)).cast("long"))
+    e = bucketed(events.select(session, kind, *order), [session], order, micros("ts"), width, buckets)
     w = Window.partitionBy(session, "_b").orderBy(*order)
     prev = F.lag(kind).over(w)
     first_in_bucket = F.row_number().over(w) == 1
@@ -54,7 +53,7 @@ def collapse_runs(events: DataFrame, session: str = "user_id", kind: str = "even
                            .otherwise(F.lit(0)).cast("long"))
     summ = summ.withColumn("_before", F.coalesce(
         F.sum(F.col("_local") + F.col("_fs")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = e.join(summ.select(session, "_b", "_fs", "_before"), [session, "_b"]).withColumn(
+    numbered = with_summary(e, summ, [session], ["_fs", "_before"]).withColumn(
         "run_no", F.col("_before") + F.col("_fs") + F.col("_lrs"))
     return (numbered.groupBy(session, "run_no")
             .agg(F.min_by(F.col(kind), key).alias(kind),
@@ -127,6 +126,6 @@ def exclude_interrupted(writes: DataFrame, track: str = "track_id", flag: str =
 
 
 def track_offsets(writes: DataFrame, track: str = "track_id", length: str = "length",
-                  width: int = HOUR_MICROS) -> DataFrame:
+                  width: int | None = None, buckets: int | None = None) -> DataFrame:
     """H8: samples played per track so far (inclusive running sum in write order)."""
     return running_sum(writes, track, micros("ts"), ["ts", "event_id"], length, "offset", width)

@@ -61,7 +61,7 @@ SUMMARY_INSTRUCTIONS = (
 )
 EXTRACTION_INSTRUCTIONS = (
     "Você extrai dados de contratos. Responda somente com um objeto JSON, sem cercas de código, com as "
-    "chaves " + ", ".join(CONTRACT_FIELDS) + ". Valores monetários apenas como número (ex: 500000.00); "
+    "chaves " + ", ".join(CONTRACT_FIELDS) + ". Valores monetários apenas como número (ex: 1234.56); "
     "datas no formato YYYY-MM-DD; objeto_contrato com no máximo 500 caracteres; use null para o que não "
     "existir e nunca string vazia.\n\nextract_from: "
 )
@@ -114,50 +114,48 @@ def render_summary(df: DataFrame | None = None, page: Column | None = None) -> C
 
 # ----------------------------------------------------------------------------------------------- E4
 
-_HEAD_RE = r"^\*\*([^*]+):\*\*(.*)$"
-_ITEM_RE = r"^- ([^:]+): (.*)$"
+# A title or a bullet begins an entry ("* " and "• " read as "- "; bold titles are no bullets); what follows up to the
+# next one continues it.
+_ENTRY_RE = r"\n(?=\*\*|[ \t]*[*•-][ \t]+)"
+_HEAD_RE = r"(?s)^\*\*([^*]+):\*\*(.*)$"
+_ITEM_RE = r"(?s)^[ \t]*[*•-][ \t]+([^:\n]+): ?(.*)$"
+_BULLET_RE = r"(?s)^[ \t]*[*•-][ \t]+(.*)$"
 _CITE_RE = r"\[página (\d+)\]"
 
 
 def parse_summary(df: DataFrame, text_col: str = "summarize", key: str = "path") -> DataFrame:
     """Read a template summary back into ``(key, line_no, section, label, value, page)`` rows.
 
-    All work is inside the row (array functions), so no shuffle: each line learns its section from the
-    last title line at or above it.  Each line is matched against the title pattern once.
+    One fold over the entries of a text, inside the row: it carries the line number and the section, and each entry
+    is matched once.  A value runs on over the lines up to the next title or bullet, joined by a space, with the
+    citations on all of them (``page`` is the first one).  Text before the first title or bullet is not a value.
     """
-    # Other bullet markers ("* ", "• ") read as "- "; bold titles ("**...") are not bullets.
-    lines = F.transform(F.split(F.col(text_col), "\n"), lambda l: F.regexp_replace(l, r"^\s*(?:[*•]|-)\s+", "- "))
-    # Title of each line (NULL for other lines) and the 1-based positions of the title lines.
-    heads = F.transform(F.col("_lines"), lambda l: F.when(
-        l.startswith("**"), F.trim(F.regexp_extract(l, _HEAD_RE, 1))))
-    heads = F.transform(heads, lambda h: F.when(h != "", h))
-    head_pos = F.filter(F.sequence(F.lit(1), F.greatest(F.size(F.col("_lines")), F.lit(1))),
-                        lambda i: F.get(F.col("_heads"), i - 1).isNotNull())
-    # 0-based index of the last title at or above line i; NULL before the first title.
-    last_head = lambda i: F.get(F.col("_hp"), F.size(F.filter(F.col("_hp"), lambda p: p <= i)) - 1)
-    rows = F.transform(F.sequence(F.lit(1), F.size(F.col("_lines"))), lambda i: F.struct(
-        i.alias("line_no"), F.get(F.col("_lines"), i - 1).alias("line"),
-        F.get(F.col("_heads"), i - 1).alias("head"),
-        F.get(F.col("_heads"), last_head(i) - 1).alias("section")))
-    x = (df.select(F.col(key), lines.alias("_lines"))
-         .filter(F.size(F.col("_lines")) > 0)
-         .withColumn("_heads", heads)
-         .withColumn("_hp", head_pos)
-         .select(key, F.inline(rows)))
-    line = F.col("line")
-    is_head = F.col("head").isNotNull()
-    is_item = line.startswith("- ") & line.rlike(_ITEM_RE)
-    raw_value = (F.when(is_head, F.trim(F.regexp_extract(line, _HEAD_RE, 2)))
-                 .when(is_item, F.regexp_extract(line, _ITEM_RE, 2))
-                 .when(line.startswith("- "), F.substring(line, 3, 1 << 30)))
-    label = F.when(is_head, F.col("section")).when(is_item, F.trim(F.regexp_extract(line, _ITEM_RE, 1)))
-    v = F.col("_v")
-    has_cite = v.contains("[página ")
-    page = F.when(has_cite, F.regexp_extract(v, _CITE_RE, 1))
-    value = F.when(has_cite, F.regexp_replace(v, r"\s*\[página \d+\]", "")).otherwise(v)
-    return (x.withColumn("_v", raw_value)
-            .filter(v.isNotNull() & (F.trim(v) != ""))
-            .select(key, "line_no", "section", label.alias("label"), F.trim(value).alias("value"),
+    row = "struct<line_no:int,section:string,label:string,value:string>"
+    start = F.struct(F.lit(1).alias("line"), F.lit(None).cast("string").alias("section"),
+                     F.array().cast(f"array<{row}>").alias("rows"))
+
+    def step(acc: Column, entry: Column) -> Column:
+        title = F.when(entry.startswith("**"), F.trim(F.regexp_extract(entry, _HEAD_RE, 1)))
+        is_head = F.coalesce(title != "", F.lit(False))
+        label = F.when(is_head, title).when(~entry.startswith("**"), F.trim(F.regexp_extract(entry, _ITEM_RE, 1)))
+        value = (F.when(is_head, F.regexp_extract(entry, _HEAD_RE, 2))
+                 .when(entry.startswith("**"), F.lit(""))
+                 .when(label != "", F.regexp_extract(entry, _ITEM_RE, 2))
+                 .otherwise(F.regexp_extract(entry, _BULLET_RE, 1)))
+        section = F.when(is_head, title).otherwise(acc["section"])
+        own = F.struct(acc["line"].alias("line_no"), section.alias("section"),
+                       F.when(label != "", label).alias("label"), value.alias("value")).cast(row)
+        lines = F.length(entry) - F.length(F.replace(entry, F.lit("\n"), F.lit("")))
+        return F.struct((acc["line"] + lines + 1).cast("int").alias("line"), section.alias("section"),
+                        F.when(F.trim(value) != "", F.array_append(acc["rows"], own)).otherwise(acc["rows"]).alias("rows"))
+    rows = F.aggregate(F.split(F.col(text_col), _ENTRY_RE), start, step, lambda acc: acc["rows"])
+    v = F.col("value")
+    cited = v.contains("[página ")
+    page = F.when(cited, F.regexp_extract(v, _CITE_RE, 1))
+    bare = F.when(cited, F.regexp_replace(v, r"\s*\[página \d+\]", "")).otherwise(v)
+    joined = F.when(bare.contains("\n"), F.regexp_replace(bare, r"\s*\n\s*", " ")).otherwise(bare)
+    return (df.select(F.col(key), F.inline(rows))
+            .select(key, "line_no", "section", "label", F.trim(joined).alias("value"),
                     F.when(page != "", page.cast("int")).alias("page")))
 
 

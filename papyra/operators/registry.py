@@ -30,10 +30,10 @@ def register_new_files(inventory: DataFrame, registry: DataFrame, within_batch:
     """
     if match not in ("name_or_hash", "hash"):
         raise ValueError("match must be 'name_or_hash' or 'hash'")
-    inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull())
-    inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull())
-    seen_names = registry.select(F.col("file_name").alias("_n")).join(inv_names, "_n", "left_semi")
-    # Many registered copies can share one hash: reduce the hits to one row per hash (partial aggregate).
+    # One row a key on both sides: many listed or registered copies can share a name or a hash (partial aggregates).
+    inv_names = inventory.select(F.col("file_name").alias("_n")).filter(F.col("_n").isNotNull()).distinct()
+    inv_hashes = inventory.select(F.col("file_hash").alias("_h")).filter(F.col("_h").isNotNull()).distinct()
+    seen_names = registry.select(F.col("file_name").alias("_n")).join(inv_names, "_n", "left_semi").distinct()
     seen_hashes = (registry.select(F.col("file_hash").alias("_h"))
                    .join(inv_hashes, "_h", "left_semi").distinct())
     new = inventory
@@ -72,7 +72,7 @@ def mark_processed(registry: DataFrame, finished: DataFrame, now: Column | None
     """Set ``processed='S'`` and ``processed_time=now`` for rows whose path finished.
 
     An ``UPDATE`` becomes a left join with the finished paths and a ``when``; the caller stores the changed
-    rows (the ingestion run rewrites only the registry buckets they fall in).  Paths compare by equality (not ``LIKE``), so ``_``/``%`` in names and
+    rows (the ingestion run appends them to its status log).  Paths compare by equality (not ``LIKE``), so ``_``/``%`` in names and
     suffix matches cannot mark the wrong file.
     """
     now = F.current_timestamp() if now is None else now

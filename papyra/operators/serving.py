@@ -6,7 +6,7 @@ scan, and every filter is a column expression (no SQL text is assembled from use
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import base_name, day_label, display_default, kb_label, strip_scheme
@@ -103,6 +103,49 @@ def paginate(df: DataFrame, page: int, rows_per_page: int = 8, order: list[str |
     return df.orderBy(*order).offset(page * rows_per_page).limit(rows_per_page)
 
 
+def page_after(df: DataFrame, order: list[str], after: tuple | None, rows_per_page: int = 8) -> DataFrame:
+    """D8 by key: the rows that follow ``after`` (the order values of the last row shown; None: the first page).  The
+    predicate bounds the leading column, so a sorted table is read from there on, and no earlier row is sorted."""
+    if after is not None:
+        beyond = F.lit(False)
+        same = F.lit(True)
+        for c, v in zip(order, after, strict=True):
+            beyond = beyond | (same & (F.col(c) > F.lit(v)))
+            same = same & (F.col(c) == F.lit(v))
+        df = df.filter((F.col(order[0]) >= F.lit(after[0])) & beyond)
+    return df.orderBy(*order).limit(rows_per_page)
+
+
+RANGE = "_range"
+
+
+def write_pages(df: DataFrame, path: str, order: list[str], ranges: int | None = None) -> None:
+    """Store a listing for paging: rows dealt to ranges of the order by their rank, a folder per range, and the
+    number of rows of each range."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn(RANGE, F.spark_partition_id())
+     .write.mode("overwrite").partitionBy(RANGE).parquet(f"{path}/rows"))
+    stored = df.sparkSession.read.parquet(f"{path}/rows")
+    stored.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def read_page(spark: SparkSession, path: str, page: int, rows_per_page: int, order: list[str]) -> DataFrame:
+    """D8 by rank: page ``page`` of a stored listing.  The range counts (one small row each) say which range holds the
+    page's first row; only that folder, and the next ones if the page runs over its end, are read and sorted."""
+    if page < 0 or rows_per_page <= 0:
+        raise ValueError("page must be >= 0 and rows_per_page > 0")
+    first, before, wanted, skip = page * rows_per_page, 0, [], 0
+    for r in spark.read.parquet(f"{path}/counts").orderBy(RANGE).toLocalIterator():
+        if before + r["n"] > first and before < first + rows_per_page:
+            skip = first - before if not wanted else skip
+            wanted.append(r[RANGE])
+        before += r["n"]
+        if before >= first + rows_per_page:
+            break
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col(RANGE).isin(wanted) if wanted else F.lit(False))
+    return rows.orderBy(*order).offset(skip).limit(rows_per_page).drop(RANGE)
+
+
 def page_label(total: DataFrame, page: int, rows_per_page: int = 8) -> DataFrame:
     """D8 footer: ``from-to of count`` from a one-row count DataFrame (column ``n``)."""
     lo = F.least(F.lit(page * rows_per_page + 1), F.col("n"))
@@ -129,7 +172,9 @@ def file_size_label(registry: DataFrame) -> DataFrame:
 
 def expiring_contracts(extract: DataFrame, year: int) -> DataFrame:
     """Contracts whose term ends in ``year``."""
-    return extract.filter(F.year("data_fim_vigencia") == F.lit(year))
+    # A range on the bare column reaches the scan; a function of it would not.
+    return extract.filter(F.col("data_fim_vigencia").between(F.make_date(F.lit(year), F.lit(1), F.lit(1)),
+                                                             F.make_date(F.lit(year), F.lit(12), F.lit(31))))
 
 
 def contract_metrics(extract: DataFrame) -> DataFrame:

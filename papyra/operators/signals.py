@@ -43,11 +43,39 @@ def explode_samples(df: DataFrame, keys: list[str], array_col: str = "samples")
         *keys, "n", "idx", F.col("_v").cast("double").alias("value"))
 
 
-def downsample(long: DataFrame, keys: list[str], m: int, peaks: bool = False) -> DataFrame:
-    """``n`` values to ``m <= n`` buckets ``floor(i * (m / n))``: mean (or max) of absolute values."""
-    b = F.floor(F.col("idx") * (F.lit(float(m)) / F.col("n"))).cast("int")
-    agg = F.max(F.abs("value")) if peaks else F.avg(F.abs("value"))
-    return (long.filter(F.col("n") >= m).groupBy(*keys, b.alias("bucket")).agg(agg.alias("value")))
+def _bucket_start(b: Column, n: Column, m: int) -> Column:
+    """First index ``i`` with ``floor(i * (m / n)) >= b``: the inverse of the bucket rule, mended by one where the
+    rule's floating-point product falls on the other side."""
+    share = F.lit(float(m)) / n
+    guess = F.ceil(b * n / F.lit(float(m))).cast("int")
+    return (F.when(F.floor((guess - 1) * share) >= b, guess - 1)
+            .when(F.floor(guess * share) >= b, guess).otherwise(guess + 1))
+
+
+def _bucketed(arr: Column, m: int, peaks: bool) -> Column:
+    """``m`` bucket means (or peaks) of the absolute values of ``n >= m`` samples: a slice per bucket, every sample
+    read once."""
+    n = F.size(arr)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(m)), lambda b: F.when(b >= m, n).otherwise(_bucket_start(b, n, m)))
+
+    def value(lo: Column, hi: Column) -> Column:
+        part = F.transform(F.slice(arr, lo + 1, hi - lo), lambda v: F.abs(v.cast("double")))
+        return F.array_max(part) if peaks else F.aggregate(part, F.lit(0.0), lambda a, v: a + v) / (hi - lo)
+    pairs = F.zip_with(F.slice(starts, 1, m), F.slice(starts, 2, m), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
+    return F.transform(pairs, lambda x: value(x["lo"], x["hi"]))
+
+
+def resample(df: DataFrame, m: int, peaks: bool = False, array_col: str = "samples") -> Column:
+    """S1 + S2: ``n`` values to ``m``, inside the row: bucket ``floor(i * (m / n))`` means (or peaks) of absolute values
+    when ``n >= m``, else linear interpolation.  An empty signal gives NULL."""
+    arr = F.col(array_col)
+    down = F.when(F.size(arr) >= m, _bucketed(arr, m, peaks))
+    return down if m < 2 else down.otherwise(upsample(df, m, array_col))
+
+
+def downsample(signals: DataFrame, keys: list[str], m: int, peaks: bool = False, array_col: str = "samples") -> DataFrame:
+    """Every signal as ``m`` rows ``(keys.., bucket, value)``; one of fewer than ``m`` values is interpolated."""
+    return normalize(signals, keys, m, peaks, array_col).withColumnRenamed("idx", "bucket")
 
 
 def upsample(df: DataFrame, m: int, array_col: str = "samples") -> Column:
@@ -71,17 +99,8 @@ def upsample(df: DataFrame, m: int, array_col: str = "samples") -> Column:
 
 def normalize(signals: DataFrame, keys: list[str], m: int, peaks: bool = False, array_col: str = "samples"
               ) -> DataFrame:
-    """S1 + S2 as one operator: each signal of ``n`` values becomes ``m`` values, bucket means (or peaks)
-    of absolute values when ``m <= n``, linear interpolation otherwise.  Long output ``(keys..., idx,
-    value)``; the branch is chosen per row."""
-    n = F.size(array_col)
-    down = downsample(explode_samples(signals.filter(n >= m), keys, array_col), keys, m, peaks)
-    out = down.select(*keys, F.col("bucket").alias("idx"), "value")
-    if m < 2:  # every non-empty signal has n >= m
-        return out
-    up = (signals.filter((n < m) & (n > 0))
-          .select(*keys, F.posexplode(upsample(signals, m, array_col)).alias("idx", "value")))
-    return out.unionByName(up)
+    """S1 + S2 as one operator: long output ``(keys..., idx, value)`` of ``resample``; no shuffle."""
+    return signals.select(*keys, F.posexplode(resample(signals, m, peaks, array_col)).alias("idx", "value"))
 
 
 def bin_frequencies(n: Column, rate: float) -> Column:
@@ -99,24 +118,27 @@ def band_peak(spectra: DataFrame, keys: list[str], rate: float, kind: str = "mus
               ) -> DataFrame:
     """S3: each bin goes to the highest band whose frequency is strictly below the bin's; a band's value is
     the max amplitude of its bins (at least ``MIN_DB``); bins under the lowest band are dropped.  Long
-    output ``(keys..., band, label, frequency, value, level)``.  The band table is a 96-entry literal
-    (bounded), so the assignment is an in-row scan, not a join."""
+    output ``(keys..., band, label, frequency, value, level)``.
+
+    Bins are sorted by frequency, so each band is a slice: the band edges are turned into bin indexes by one division
+    each, and every bin is read once."""
     bands = note_bands(kind)
     freqs = F.array(*[F.lit(f) for _, f in bands])
     labels = F.array(*[F.lit(lbl) for lbl, _ in bands])
-    nb = len(bands)
     db = F.col(db_col)
     n = F.size(db)
-    bins = F.arrays_zip(bin_frequencies(n, rate).alias("f"), db.alias("v"))
-
-    def band_value(b: Column) -> Column:
-        lo = F.get(freqs, b)
-        hi = F.get(freqs, b + 1)
-        mine = F.filter(bins, lambda x: (x["f"] > lo) & ((b == nb - 1) | ~(x["f"] > hi)))
-        return F.greatest(F.lit(MIN_DB), F.coalesce(F.array_max(F.transform(mine, lambda x: x["v"].cast("double"))),
-                                                    F.lit(MIN_DB)))
+    step = (F.lit(1.0) / n) * F.lit(rate / 2.0)
 
-    vals = F.transform(F.sequence(F.lit(0), F.lit(nb - 1)), band_value)
+    def first_above(f: Column) -> Column:
+        """The first bin whose frequency ``i * step`` is over ``f``."""
+        c = F.floor(f / step)
+        i = (F.when((c - 1) * step > f, c - 1).when(c * step > f, c).when((c + 1) * step > f, c + 1).otherwise(c + 2))
+        return F.least(F.greatest(i, F.lit(0)), n).cast("int")
+    edges = F.array_append(F.transform(freqs, first_above), n)
+    top = lambda lo, hi: F.greatest(F.lit(MIN_DB), F.coalesce(F.array_max(F.slice(db, lo + 1, hi - lo)).cast("double"),
+                                                              F.lit(MIN_DB)))
+    found = F.zip_with(F.slice(edges, 1, len(bands)), F.slice(edges, 2, len(bands)), top)
+    vals = F.when(n > 0, found).otherwise(F.array_repeat(F.lit(MIN_DB), len(bands)))
     out = spectra.select(*keys, F.posexplode(vals).alias("band", "value"))
     return out.select(*keys, "band", F.get(labels, F.col("band")).alias("label"),
                       F.get(freqs, F.col("band")).alias("frequency"), "value",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.functions.columns import file_extension
-from papyra.functions.partitioning import ensure_parallel
+from papyra.functions.partitioning import spread
 from papyra.schemas import PENDING, PROCESSED
 
 # Fixed values of the fixture recipes.
@@ -109,7 +109,7 @@ def fixture_parser(df: DataFrame) -> DataFrame:
 
 def contract_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known-truth contract records rendered from orders (and the ordering customer)."""
-    o = ensure_parallel(table(spark, sf_dir, "orders"))
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k = F.col("o_orderkey")
     signed = F.to_date(F.col("o_orderdate"))
@@ -178,6 +178,16 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("o_orderkey", "path", render_summary(t).alias("summarize"))
 
 
+WRAP = "e o que mais constar"        # fixed value: the second line of a wrapped summary value
+
+
+def wrapped_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries; every fourth has its values run on over a second line, which carries the citation."""
+    s = summary(spark, sf_dir)
+    return s.withColumn("summarize", F.when(F.col("o_orderkey") % 4 == 0, F.replace(
+        F.col("summarize"), F.lit(" [página "), F.lit(f"\n  {WRAP} [página "))).otherwise(F.col("summarize")))
+
+
 # ----------------------------------------------------------------------------------------------- chat
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +246,7 @@ def deleted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding vectors as sample arrays: ``channel = vec_id % 2``, ``signal_id = vec_id div 2``."""
-    e = ensure_parallel(table(spark, sf_dir, "embeddings"))
+    e = spread(table(spark, sf_dir, "embeddings"), "vec_id")
     return e.select(
         "vec_id",
         (F.col("vec_id") % 2).cast("int").alias("channel"),
@@ -254,22 +264,24 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ----------------------------------------------------------------------------------------------- landing
 
-def land_documents(spark: SparkSession, sf_dir: str, landing: str) -> int:
-    """Write every document as its own file ``doc_<id><ext>`` into ``landing`` (a shared folder).
+def land_documents(spark: SparkSession, sf_dir: str, landing: str, only: str = "true", suffix: str = "") -> int:
+    """Write every document as its own file ``doc_<id><ext>`` into ``landing`` (a shared folder); ``only`` (a SQL
+    condition) and ``suffix`` (appended to the text) replace some of them later.
 
     The writes happen inside Spark tasks through ``pyarrow.fs`` (local, HDFS or object-store URIs), so the
     driver only sees the file count.  Returns the number of files written.
     """
-    import pyarrow.fs as pafs
+    from papyra.sources.files import _file_system, qualified
+    folder = qualified(spark, landing)
 
     def write(rows):
-        fs, base = pafs.FileSystem.from_uri(landing if "://" in landing else "file://" + landing)
+        fs, base = _file_system(folder)
         fs.create_dir(base, recursive=True)
         for r in rows:
             ext = [".pdf", ".txt", ".PDF"][r.doc_id % 3]
             with fs.open_output_stream(f"{base}/doc_{r.doc_id}{ext}") as out:
-                out.write(r.text.encode("utf-8"))
+                out.write(((r.text or "") + suffix).encode("utf-8"))
 
-    docs = ensure_parallel(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter(only), "doc_id")
     docs.foreachPartition(write)
     return docs.count()

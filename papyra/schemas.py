@@ -67,6 +67,11 @@ CONTRACT_EXTRACT = T.StructType(
     + [T.StructField(f, _field_type(f, False)) for f in CONTRACT_FIELDS]
 )
 
+# As the ingestion run stores them: with the content hash of the identity, and how the extraction went.
+STORED_PARSED = T.StructType(CONTRACT_PARSED.fields + [T.StructField("file_hash", T.StringType())])
+STORED_EXTRACT = T.StructType(CONTRACT_EXTRACT.fields + [T.StructField("file_hash", T.StringType()),
+                                                         T.StructField("extract_status", T.StringType())])
+
 CHAT_MESSAGE = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("content", T.StringType()),

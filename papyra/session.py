@@ -50,7 +50,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def _ensure_defaults(spark: SparkSession) -> None:
     # Runtime-settable SQL options only; never override what the cluster set.
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if not spark.sparkContext.getConf().contains("spark.sql.session.timeZone"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     # File-status listing of many known paths (a stream micro-batch, a landing folder) runs as a Spark job
     # with up to this many tasks; match it to the task slots instead of Spark's fixed 10000.
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"

@@ -1,16 +1,32 @@
-"""File scans (A1 inventory, A2 content hash, A4 binary scan, A10 content fetch).
+"""File scans (A1 inventory, A2 content hash, A4 binary scan, A10 content fetch, one-pass opening of new files).
 
-The application lists a directory and hashes every file on one driver process; here the listing and the
-MD5 are one distributed ``binaryFile`` scan: each task reads and hashes its own files.
+Names and contents are separate steps.  ``list_files`` is a Python data source that lists a folder inside a task and
+never opens a file; what is already known is removed from that listing by joins; ``open_files`` then reads each
+remaining file once and hashes its bytes in the same pass, spread over tasks by the files' sizes.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
+import os.path
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from papyra.functions.columns import base_name, file_extension
 
+Opener = Callable[[str], bytes]
+
+LISTING = "path string, modificationTime timestamp, length long"
+OPENED = LISTING + ", content binary, file_hash string"
+BATCH_BYTES = 32 << 20          # contents handed on at a time
+TASK_BYTES = 128 << 20          # contents that a task opens, about
+
 
 def content_hash(content: str | Column = "content") -> Column:
     """A2: MD5 hex digest of the file bytes (chunked reading in the application is not observable)."""
@@ -18,11 +34,12 @@ def content_hash(content: str | Column = "content") -> Column:
 
 
 def binary_scan(spark: SparkSession, path: str, max_bytes: int | None = None,
-                path_glob: str | None = None, recursive: bool = False) -> DataFrame:
+                path_glob: str | None = None, recursive: bool = False, report_skipped: bool = False) -> DataFrame:
     """A4: files as rows ``(path, modificationTime, length, content)``.
 
-    Unselected ``content`` is never read (column pruning on the binary source), and a ``max_bytes`` cap
-    is a pushed-down ``length`` filter, so oversized files are skipped at the scan.
+    Unselected ``content`` is never read (column pruning on the binary source), and a ``max_bytes`` cap is a
+    pushed-down ``length`` filter, so oversized files are skipped at the scan.  With ``report_skipped`` they stay as
+    rows with NULL content and ``scan_status = 'too_large'`` (their bytes are not read either).
     """
     reader = spark.read.format("binaryFile")
     if path_glob:
@@ -30,47 +47,184 @@ def binary_scan(spark: SparkSession, path: str, max_bytes: int | None = None,
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     df = reader.load(path)
-    if max_bytes is not None:
-        df = df.filter(F.col("length") <= F.lit(max_bytes))
-    return df
+    if max_bytes is None:
+        return df.withColumn("scan_status", F.lit("ok")) if report_skipped else df
+    kept = df.filter(F.col("length") <= F.lit(max_bytes))
+    if not report_skipped:
+        return kept
+    skipped = df.filter(F.col("length") > F.lit(max_bytes)).withColumn("content", F.lit(None).cast("binary"))
+    return kept.withColumn("scan_status", F.lit("ok")).unionByName(skipped.withColumn("scan_status", F.lit("too_large")))
+
+
+# ----------------------------------------------------------------------------------------------- locations
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as the cluster's file systems name it: absolute, with scheme, ``.`` and ``..`` resolved."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+_SCHEME = re.compile(r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)?")
+# Schemes of the application's paths and of Hadoop that stand for one pyarrow file system each.
+_ARROW = {"": "file", "file": "file", "hdfs": "hdfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
+
+
+def _scheme(path: str) -> str:
+    m = _SCHEME.match(path)
+    return m.group(1).lower() if m else ""
+
+
+def arrow_reads(path: str) -> bool:
+    """Whether tasks can open this location themselves; other stores are read through Spark's binary source."""
+    return _scheme(path) in _ARROW
+
+
+def _file_system(path: str):
+    """The pyarrow file system of a path, and the path within it (names are taken as they are, not as URI text)."""
+    import pyarrow.fs as pafs
+
+    m = _SCHEME.match(path)
+    scheme, rest = _ARROW[_scheme(path)], path[m.end():] if m else path
+    if scheme == "file":
+        return pafs.LocalFileSystem(), "/" + rest.lstrip("/")
+    fs, top = pafs.FileSystem.from_uri(f"{scheme}:{m.group(2) or '//'}/")      # a bucket is part of the path, a host is not
+    return fs, top.rstrip("/") + "/" + rest.lstrip("/")
+
+
+def read_bytes(path: str) -> bytes:
+    """The default opener: one file's bytes, inside a task."""
+    fs, p = _file_system(path)
+    with fs.open_input_stream(p) as f:
+        return f.read()
 
 
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:/*"
+# ----------------------------------------------------------------------------------------------- listing
 
+class _Folder(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
 
-def _parent_dir(path: Column) -> Column:
-    """Parent folder without scheme, with one leading slash (``file:///a/b/f`` -> ``/a/b``)."""
-    return F.regexp_replace(F.regexp_replace(path, r"/[^/]*$", ""), _SCHEME, "/")
 
+class _ListingReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path, self.recursive = options["path"], options.get("recursive", "false") == "true"
 
-def _norm_dir(d: str) -> str:
-    import re
-    d = re.sub(_SCHEME, "/", d.rstrip("/"))
-    return d if d.startswith("/") else "/" + d
+    def partitions(self) -> list[InputPartition]:
+        return [_Folder(self.path)]
+
+    def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
+        import pyarrow.fs as pafs
+        fs, root = _file_system(partition.path)
+        found = fs.get_file_info(pafs.FileSelector(root, recursive=self.recursive))
+        prefix = partition.path.rstrip("/")
+        files = [f for f in found if f.type == pafs.FileType.File and not f.base_name.startswith(".")]
+        schema = pa.schema([("path", pa.string()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
+        for i in range(0, len(files), 10_000):
+            part = files[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([prefix + f.path[len(root.rstrip("/")):] for f in part], pa.string()),
+                 pa.array([f.mtime or dt.datetime.fromtimestamp(0, dt.UTC) for f in part], pa.timestamp("us", "UTC")),
+                 pa.array([f.size for f in part], pa.int64())], schema=schema)
+
+
+class ListingSource(DataSource):
+    """``spark.read.format("papyra_listing").option("path", folder)``: names, times and sizes, no content."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "papyra_listing"
+
+    def schema(self) -> str:
+        return LISTING
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ListingReader(dict(self.options))
+
+
+def list_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+    """``(path, modificationTime, length)`` of the files in a folder (not of its subfolders unless ``recursive``), also
+    those whose names begin with ``_`` (names with a leading ``.`` are hidden files); no file is opened.  Stores that
+    only Spark reads are listed by its binary source, whose listing leaves names with a leading ``_`` out."""
+    folder = qualified(spark, directory)
+    if arrow_reads(folder):
+        spark.dataSource.register(ListingSource)
+        return (spark.read.format("papyra_listing").option("path", folder)
+                .option("recursive", str(recursive).lower()).load())
+    raw = binary_scan(spark, folder, recursive=True).select("path", "modificationTime", "length")
+    return raw if recursive else raw.filter(F.regexp_replace("path", "/[^/]*$", "") == F.lit(folder.rstrip("/")))
+
+
+# ----------------------------------------------------------------------------------------------- opening
+
+def _open_all(opener: Opener):
+    def run(batches):
+        for b in batches:
+            rows, held = [], 0
+            for i in range(b.num_rows):
+                try:
+                    data = opener(b.column("path")[i].as_py())
+                except FileNotFoundError:       # removed since the listing: it is not there to be ingested
+                    continue
+                rows.append((i, data, hashlib.md5(data).hexdigest()))
+                held += len(data)
+                if held >= BATCH_BYTES:
+                    yield _opened(b, rows)
+                    rows, held = [], 0
+            if rows:
+                yield _opened(b, rows)
+    return run
+
+
+def _opened(b: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+    at, data, digest = zip(*rows)
+    own = b.take(pa.array(at))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.array(data, pa.binary()), pa.array(digest, pa.string())],
+                                      names=[*b.schema.names, "content", "file_hash"])
+
+
+def open_files(listing: DataFrame, opener: Opener | None = None, tasks: int | None = None) -> DataFrame:
+    """``listing`` (path, modificationTime, length) with ``content`` and ``file_hash``: every file is opened once, read
+    and hashed in the same pass.  ``tasks``: over how many the files are spread (default: by their sizes)."""
+    spark = listing.sparkSession
+    src = listing.select("path", "modificationTime", "length")
+    if tasks is None:
+        size = src.agg(F.sum("length").alias("n")).first()["n"] or 0
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    return src.repartition(tasks, "path").mapInArrow(_open_all(opener or read_bytes), OPENED)
+
+
+# ----------------------------------------------------------------------------------------------- inventory
+
+def inventory_columns(stamp: Column) -> list[Column]:
+    name = base_name(F.col("path"))
+    return [name.alias("file_name"), file_extension(name).alias("type"), F.col("length").cast("long").alias("size"),
+            F.col("path").alias("file_path"), stamp.cast("timestamp").alias("upload_time"),
+            F.lit(None).cast("timestamp").alias("processed_time"), F.col("file_hash")]
 
 
 def file_inventory(spark: SparkSession, directory: str, upload_time: str = "now",
                    recursive: bool = False) -> DataFrame:
-    """A1: one row per file directly inside ``directory`` (non-recursive, like a directory listing).
+    """A1: one row per file directly inside ``directory`` (non-recursive, like a directory listing), with its MD5.
 
     ``upload_time='now'`` stamps the listing time as the application does; ``'modified'`` uses the file's
     modification time instead.
     """
-    raw = binary_scan(spark, directory, recursive=True)
-    if not recursive:
-        # Keep only files whose parent is the listed directory (subdirectories are not descended).
-        raw = raw.filter(_parent_dir(F.col("path")) == F.lit(_norm_dir(directory)))
+    listing = list_files(spark, directory, recursive)
+    if arrow_reads(qualified(spark, directory)):
+        raw = open_files(listing, tasks=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    else:
+        raw = (binary_scan(spark, qualified(spark, directory), recursive=True).join(listing.select("path"), "path", "left_semi")
+               .withColumn("file_hash", content_hash("content")))
     stamp = F.current_timestamp() if upload_time == "now" else F.col("modificationTime")
-    name = base_name(F.col("path"))
-    return raw.select(
-        name.alias("file_name"),
-        file_extension(name).alias("type"),
-        F.col("length").cast("long").alias("size"),
-        F.col("path").alias("file_path"),
-        stamp.cast("timestamp").alias("upload_time"),
-        F.lit(None).cast("timestamp").alias("processed_time"),
-        content_hash("content").alias("file_hash"),
-    )
+    return raw.select(*inventory_columns(stamp))
+
+
+def inside(path: str, root: str) -> bool:
+    """Whether ``path`` lies in the folder ``root``: scheme and ``..`` resolved, compared segment by segment."""
+    def norm(p: str) -> str:
+        return os.path.normpath("/" + _SCHEME.sub("", p).lstrip("/"))
+    p, r = norm(path), norm(root)
+    return p == r or p.startswith(r.rstrip("/") + "/")
 
 
 def fetch_content(spark: SparkSession, contracts: DataFrame, lookup: str, files_root: str | None = None
@@ -88,6 +242,6 @@ def fetch_content(spark: SparkSession, contracts: DataFrame, lookup: str, files_
     if not top:
         return empty
     path = top[0]["path"]
-    if files_root is not None and files_root.split(":", 1)[-1].rstrip("/") not in path:
+    if files_root is not None and not inside(path, files_root):
         return empty
     return binary_scan(spark, path).select("path", "content")

@@ -1,9 +1,8 @@
 """Table sources and sinks (A3 literal rows, A5 scan, A6 append, A7 ensure table, A8 view, A9 names).
 
-Row-level updates are expressed without a transactional format: ``BucketedTable`` appends new rows and
-rewrites only the hash buckets that changed rows fall in (merged in a staging folder first);
-``SnapshotTable`` replaces small tables as new immutable versions.  The path being read is never
-overwritten by the job reading it.
+Row-level updates are appends to a status log (``papyra.sources.status_log``).  ``SnapshotTable`` replaces small
+control tables (the list of extractions to retry) as new immutable versions.  The path being read is never overwritten
+by the job reading it.
 """
 
 from __future__ import annotations
@@ -50,7 +49,10 @@ def ensure_table(spark: SparkSession, name: str, schema: T.StructType, location:
     if not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=location, source="parquet", schema=schema)
     for k, v in (properties or {}).items():
-        spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET TBLPROPERTIES ('{k}' = '{v}')", args={"t": name})
+        if not _IDENT.match(k):
+            raise ValueError(f"bad property name {k!r}")
+        text = v.replace("\\", "\\\\").replace("'", "\\'")       # a property value has to be a literal
+        spark.sql(f"ALTER TABLE IDENTIFIER(:t) SET TBLPROPERTIES ('{k}' = '{text}')", args={"t": name})
 
 
 def temp_view(df: DataFrame, name: str) -> DataFrame:
@@ -109,66 +111,3 @@ class SnapshotTable:
         df.write.mode("overwrite").parquet(nxt)
         return nxt
 
-
-class BucketedTable:
-    """A parquet table partitioned by ``_bucket = pmod(xxhash64(key), n)``.
-
-    * ``append`` adds files to the buckets of the new rows (no rewrite);
-    * ``replace_rows`` applies changed rows (matched by key) by rewriting only the buckets they fall in:
-      the merged content of those buckets is written to a staging folder first, then swapped in with a
-      dynamic partition overwrite.  Re-running the swap from the same staging folder is idempotent, so a
-      failure mid-way is recovered by repeating it.  Untouched buckets are never read or written.
-    """
-
-    BUCKET = "_bucket"
-
-    def __init__(self, spark: SparkSession, base: str, key: list[str], schema: T.StructType, buckets: int = 64):
-        self.spark, self.base, self.key, self.schema, self.n = spark, base.rstrip("/"), list(key), schema, buckets
-
-    def _bucket(self):
-        from pyspark.sql import functions as F
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.key]), F.lit(self.n)).cast("int")
-
-    def exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.base)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-
-    def read(self) -> DataFrame:
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(
-            T.StructType(self.schema.fields + [T.StructField(self.BUCKET, T.IntegerType())])
-        ).parquet(self.base).select(*self.schema.fieldNames())
-
-    def _clustered(self, df: DataFrame) -> DataFrame:
-        # One writer task per bucket: each write adds one file per touched bucket, not one per task.
-        return df.repartition(self.BUCKET)
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        rows = (df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in self.schema.fields])
-                .withColumn(self.BUCKET, self._bucket()))
-        (self._clustered(rows).write.mode(mode).option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.BUCKET).parquet(self.base))
-
-    def append(self, rows: DataFrame) -> None:
-        self._write(rows, "append")
-
-    def replace_rows(self, changed: DataFrame, staging: str) -> None:
-        from pyspark.sql import functions as F
-        changed = changed.select(*self.schema.fieldNames()).withColumn(self.BUCKET, self._bucket())
-        touched = changed.select(self.BUCKET).distinct()
-        if self.exists():
-            current = (self.spark.read.schema(T.StructType(
-                self.schema.fields + [T.StructField(self.BUCKET, T.IntegerType())])).parquet(self.base)
-                .join(touched, self.BUCKET, "left_semi"))          # partition pruning on the bucket column
-            keep = current.join(changed.select(*self.key), self.key, "left_anti")
-            merged = keep.select(*self.schema.fieldNames(), self.BUCKET).unionByName(changed)
-        else:
-            merged = changed
-        self._clustered(merged).write.mode("overwrite").partitionBy(self.BUCKET).parquet(staging)
-        staged = self.spark.read.schema(T.StructType(
-            self.schema.fields + [T.StructField(self.BUCKET, T.IntegerType())])).parquet(staging)
-        (self._clustered(staged.select(*self.schema.fieldNames(), F.col(self.BUCKET).cast("int").alias(self.BUCKET)))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(self.BUCKET).parquet(self.base))

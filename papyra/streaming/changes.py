@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.sources.tables import BucketedTable
+from papyra.sources.status_log import StatusLog
 
 
 def change_feed(before: DataFrame, after: DataFrame, key: str | list[str], cols: list[str] | None = None
@@ -33,12 +33,16 @@ def change_feed(before: DataFrame, after: DataFrame, key: str | list[str], cols:
 
 def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType, keys: list[str], value: str,
                      order: list[str], out_base: str, checkpoint: str, file_glob: str | None = None,
-                     max_files_per_trigger: int | None = None, state_buckets: int = 16) -> DataFrame:
-    """Last write per key over a file stream (update mode), upserted into a bucketed table after each
-    micro-batch: only the buckets holding the batch's keys are rewritten.  Runs until the source is
-    drained (``availableNow``) and returns the current table.
+                     max_files_per_trigger: int | None = None, deleted: str | None = None,
+                     compact_every: int = 20) -> DataFrame:
+    """Z4 (H3 and H4 as a stream): the last write per key over a file stream, in any order of arrival.
 
-    A replayed micro-batch is harmless: the upsert replaces the keys it carries with the same values.
+    The aggregation keeps each key's latest write as stream state and, in update mode, hands on only the keys that a
+    micro-batch touched; those rows are committed to an append-only log under the batch's number.  No other key is read
+    or written, and a replayed micro-batch writes its own folder again.  ``deleted`` names a boolean column: a delete is
+    a write like any other, so an update that is older but arrives later does not bring the key back.
+
+    Runs until the source is drained (``availableNow``) and returns the current table (keys, value).
     """
     reader = spark.readStream.schema(schema)
     if file_glob:
@@ -46,14 +50,17 @@ def stream_latest_kv(spark: SparkSession, source_dir: str, schema: T.StructType,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
-    agg = src.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(value))
-    out_schema = T.StructType([schema[k] for k in keys] + [T.StructField(value, schema[value].dataType)])
-    table = BucketedTable(spark, f"{out_base}/state", keys, out_schema, state_buckets)
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    last = F.max_by(F.struct(F.col(value).alias("value"), gone.alias("gone")), F.struct(*order))
+    agg = src.groupBy(*keys).agg(last.alias("r")).select(*keys, F.col("r.value").alias(value), F.col("r.gone").alias("_gone"))
+    log = StatusLog(spark, f"{out_base}/state", keys, T.StructType(
+        [schema[k] for k in keys] + [T.StructField(value, schema[value].dataType), T.StructField("_gone", T.BooleanType())]),
+        compact_every=compact_every)
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        table.replace_rows(batch.select(*keys, value), f"{out_base}/_staging/batch-{batch_id}")
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, version=batch_id + 1)
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
+    q = (agg.writeStream.outputMode("update").foreachBatch(commit)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return table.read()
+    return log.read().filter(~F.col("_gone")).drop("_gone")

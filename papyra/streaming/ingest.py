@@ -1,9 +1,10 @@
 """Incremental ingestion as Structured Streaming.
 
-A ``binaryFile`` stream over the landing directory drives the same set-based steps as the batch
-ingestion run in ``foreachBatch``.  ``availableNow`` drains what has arrived and stops (the file-arrival
-trigger); ``maxFilesPerTrigger`` throttles micro-batch size.  ``foreachBatch`` is at-least-once: a replayed
-micro-batch finds its files already registered / parsed (anti joins), so it adds nothing.
+A ``binaryFile`` stream over the landing directory drives the same set-based steps as the batch ingestion run in
+``foreachBatch``.  The stream carries names, times and sizes only: contents are not read by it, the ingestion run opens
+the files that are new, each once.  ``availableNow`` drains what has arrived and stops (the file-arrival trigger);
+``maxFilesPerTrigger`` throttles micro-batch size.  ``foreachBatch`` is at-least-once: a replayed micro-batch finds its
+files already registered and their outcomes stored (anti joins), so it adds nothing.
 """
 
 from __future__ import annotations
@@ -11,53 +12,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.functions.columns import base_name, file_extension
 from papyra.plans.ingestion import IngestRun
-from papyra.sources.files import content_hash
-
-
-def _inventory(batch: DataFrame) -> DataFrame:
-    name = base_name(F.col("path"))
-    return batch.select(
-        name.alias("file_name"), file_extension(name).alias("type"), F.col("length").cast("long").alias("size"),
-        F.col("path").alias("file_path"), F.current_timestamp().alias("upload_time"),
-        F.lit(None).cast("timestamp").alias("processed_time"), content_hash("content").alias("file_hash"))
-
+from papyra.sources.files import inventory_columns, open_files
 
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _stream(spark: SparkSession, landing: str, max_files: int | None, glob: str | None) -> DataFrame:
+    """Names, times and sizes of the files that arrive; pruned before the sink, so no content is read."""
     r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.load(landing)
+    return r.load(landing).select("path", "modificationTime", "length")
+
+
+def _drain(stream: DataFrame, step, checkpoint: str) -> None:
+    q = (stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
 
 
 def stream_register(spark: SparkSession, run: IngestRun, landing: str, checkpoint: str,
                     max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
-    """Register newly landed files (B1 per micro-batch) until the directory is drained."""
+    """Register newly landed files (B1 per micro-batch) until the directory is drained.  A file whose name is
+    known is not opened; a new one is opened once, for its hash."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        run.register(_inventory(batch))
+        opened = open_files(run.unseen(batch), run.cfg.opener, run.cfg.partitions)
+        run.register(opened.select(*inventory_columns(F.current_timestamp())))
 
-    q = (_stream(spark, landing, max_files_per_trigger, glob).writeStream.foreachBatch(step)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _drain(_stream(spark, landing, max_files_per_trigger, glob), step, checkpoint)
 
 
 def stream_extract(spark: SparkSession, run: IngestRun, landing: str, checkpoint: str,
                    max_files_per_trigger: int | None = None, glob: str | None = None) -> None:
     """Register, parse, summarise, extract and mark each micro-batch's files."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            run.register(_inventory(batch))
-            run.process(batch.select("path", "content"))
-        finally:
-            batch.unpersist()
-
-    q = (_stream(spark, landing, max_files_per_trigger, glob).writeStream.foreachBatch(step)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+        run.ingest(batch)
+
+    _drain(_stream(spark, landing, max_files_per_trigger, glob), step, checkpoint)

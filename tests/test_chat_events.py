@@ -85,3 +85,25 @@ def test_several_exchanges_of_one_conversation_follow_each_other(spark):
                               "conv_id long, question string, answer string, at int")
     got = sorted((r.conv_id, r.turn, r.text) for r in append_turn(h, e, order="at").collect())
     assert got == [(1, 0, "hi"), (1, 1, "q1"), (1, 2, "a1"), (1, 3, "q2"), (1, 4, "a2"), (2, 0, "q3"), (2, 1, "a3")]
+
+
+def test_one_busy_hour_is_split_by_rows(spark):
+    """One session with all rows in one second, and rows without a session: equal shares of the rows, same results."""
+    from papyra.functions.sequence import bucketed
+    from papyra.operators.events import collapse_runs, track_offsets
+    rnd = random.Random(2)
+    t = datetime(2024, 1, 1)
+    rows = [(1 if i % 20 else None, t + timedelta(microseconds=rnd.randint(0, 500)), i, rnd.choice("ab"), rnd.randint(1, 9)) for i in range(8000)]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp, event_id int, event_type string, length long")
+    cut = bucketed(df, ["user_id"], ["ts", "event_id"], buckets=16)
+    sizes = [r["count"] for r in cut.groupBy("_b").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 2 * 8000 / 16
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    runs = (df.withColumn("st", (~F.lag("event_type").over(w).eqNullSafe(F.col("event_type")) | (F.row_number().over(w) == 1)).cast("int"))
+            .withColumn("run_no", F.sum("st").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("user_id", "run_no").agg(F.count(F.lit(1)).alias("run_length")))
+    got = collapse_runs(df, buckets=16).select("user_id", "run_no", "run_length")
+    assert sorted(got.collect(), key=str) == sorted(runs.select(got.columns).collect(), key=str)
+    exp = df.withColumn("offset", F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = track_offsets(df, "user_id", buckets=16)
+    assert sorted(got.collect(), key=str) == sorted(exp.select(got.columns).collect(), key=str)

@@ -128,3 +128,41 @@ def test_single_pass_outcomes_parse_once_without_staging(spark, raw_dir, scratch
     assert len(os.listdir(calls)) == n_parse
     errors = sorted(r.error_status.split(":")[0] for r in out if r.error_status is not None)
     assert errors == ["INVALID_UTF8", "PARSE_FAILED"]  # the undecodable raw file and the parser failure
+
+
+HTML = [
+    ("<h1 class='a>b'>A &amp; B</h1>\n<h2>C</h2><p>one\n two<br>three <b>bold</b></p>", ["A & B", "C", "one two\nthree bold"]),
+    ("<ul><li>1<li>2 <i>x</i></ul><ol><li>3</li></ol>", ["1", "2 x", "3"]),
+    ("<table><tr><td>a</td><td> b</td></tr><tr><th>c<th>d</table>", ["a\tb", "c\td"]),
+    ("<pre>x  y\n <b>z</b></pre>after", ["x  y\n z", "after"]),
+    ("&#233;&#x1F600;&copy;&nope;&apos;&lt;p&gt;&#55296;&#0;", ["é😀©&nope;'<p>��"]),
+    ("<head><title>t</title></head><body><!-- <p>no</p> --><script>var t='</p>'</script><div>yes</div><p>open <b>x", ["yes", "open x"]),
+    ("a < b and c > d", ["a < b and c > d"]), ("plain", ["plain"]), ("", []), (None, None), ("<p></p><div> </div>", []),
+    ("<P>Upper</P><p \">odd", ["Upper", "odd"]), ("<!doctype html><?xml v?><p>ok", ["ok"]),
+]
+
+
+def test_html_blocks(spark):
+    from papyra.functions.html import html_blocks
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HTML)], "i int, h string")
+    got = {r.i: r.b for r in df.select("i", html_blocks(F.col("h")).alias("b")).collect()}
+    assert [got[i] for i in range(len(HTML))] == [b for _, b in HTML]
+
+
+def test_html_of_any_length_needs_no_deep_stack(spark):
+    from papyra.functions.html import html_blocks
+    long = ["<p " + "a='x' " * 100_000 + ">end", "<" * 20_000 + "x", "<p>" + "<i>z</i>" * 50_000, "<p>x</p>" * 20_000,
+            "<!--" + "-" * 300_000, "&amp;" * 50_000, "<p>" + "<li><ul>" * 20_000 + "deep"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(long)], "i int, h string")
+    got = {r.i: r.b for r in df.select("i", html_blocks(F.col("h")).alias("b")).collect()}
+    assert got[0] == ["end"] and len(got[1][0]) == 20_001 and got[2] == ["z" * 50_000] and len(got[3]) == 20_000
+    assert got[4] == [] and got[5] == ["&" * 50_000] and got[6] == ["deep"]
+
+
+def test_every_parser_hands_other_columns_on(spark):
+    from papyra.functions.model import parse_lines
+    df = spark.createDataFrame([("a.pdf", bytearray(b"x\ny!"), "h", 4)], "path string, content binary, file_hash string, length int")
+    for parser in (doc.text_parser, doc.html_parser, doc.pandas_parser(parse_lines)):
+        out = parser(df)
+        assert out.columns == ["path", "file_hash", "length", "parsed"]
+        assert out.select("path", "file_hash", "length").collect() == [("a.pdf", "h", 4)]

@@ -86,3 +86,17 @@ def test_model_calls_are_chunked_and_failures_isolated(spark):
     assert out[0] == ("P0", None) and out[9] == ("P9", None)
     assert out[7][0] is None and out[7][1].startswith("ValueError")
     assert out[6] == ("P6", None) and out[8] == ("P8", None)  # siblings of the bad prompt still answered
+
+
+def test_summary_values_run_on_over_lines(spark):
+    text = ("Resumo do contrato\n**Partes Envolvidas:**\n- Contratante: ACME\n  Ltda, com sede [página 1]\n  em São Paulo [página 2]\n\n"
+            "* Contratado: X\n**Objeto do Contrato:**\ntexto livre\nem duas linhas [página 3]\n**Aspectos Legais:**\n- sem rótulo\n  continua\n"
+            "• Foro: Recife")
+    df = spark.createDataFrame([("p", text), ("q", None), ("r", "")], "path string, summarize string")
+    got = [tuple(r)[1:] for r in ext.parse_summary(df).orderBy("line_no").collect()]
+    assert got == [
+        (3, "Partes Envolvidas", "Contratante", "ACME Ltda, com sede em São Paulo", 1),
+        (7, "Partes Envolvidas", "Contratado", "X", None),
+        (8, "Objeto do Contrato", "Objeto do Contrato", "texto livre em duas linhas", 3),
+        (12, "Aspectos Legais", None, "sem rótulo continua", None),
+        (14, "Aspectos Legais", "Foro", "Recife", None)]

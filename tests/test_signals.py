@@ -57,3 +57,34 @@ def test_concat_chunks_keeps_every_channel(spark):
     got = concat_chunks(df)
     assert {r.channel: r["count"] for r in got.groupBy("channel").count().collect()} == {c: 140 for c in range(12)}
     assert rechunk(got).select("channel").distinct().count() == 12
+
+
+def test_in_row_reduction_matches_the_rules_on_any_length(spark):
+    """Bucket and band borders that fall between floating-point numbers, short, empty and NULL signals."""
+    import random
+
+    import numpy as np
+    rnd = random.Random(1)
+    rows = [(k, [rnd.uniform(-100, 0) for _ in range(n)]) for k, n in enumerate([1, 2, 3, 7, 24, 49, 97, 128, 1000, 1023])]
+    df = spark.createDataFrame([*rows, (90, []), (91, None)], "k int, samples array<double>")
+    for m, peaks in ((1, False), (3, True), (7, False), (49, True), (24, False)):
+        got = {}
+        for r in sig.downsample(df, ["k"], m, peaks).collect():
+            got.setdefault(r.k, {})[r.bucket] = r.value
+        for k, data in rows:
+            want = _reference_normalize(data, m, peaks)
+            assert [round(got[k][i], 9) for i in range(m)] == [round(w, 9) for w in want], (k, m, peaks)
+        assert 90 not in got and 91 not in got
+    for rate, kind in ((24000.0, "music"), (8000.0, "voice"), (44100.0, "music")):
+        bands = sig.note_bands(kind)
+        found = {}
+        for r in sig.band_peak(df, ["k"], rate, kind, "samples").collect():
+            found.setdefault(r.k, {})[r.band] = r.value
+        for k, data in [*rows, (90, [])]:
+            want = np.full(len(bands), sig.MIN_DB)
+            for i, v in enumerate(data):
+                f = i * ((1.0 / len(data)) * (rate / 2.0))
+                at = max((b for b, (_, x) in enumerate(bands) if f > x), default=None)
+                if at is not None:
+                    want[at] = max(want[at], v)
+            assert [found[k][b] for b in range(len(bands))] == want.tolist(), (k, rate)

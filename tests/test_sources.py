@@ -50,24 +50,100 @@ def test_fetch_content_returns_first_match_bytes(spark, scratch):
     assert fetch_content(spark, contracts, "nada", root).count() == 0
 
 
-def test_bucketed_table_rewrites_only_touched_buckets(spark, scratch):
-    import glob
+def _status_log(spark, scratch, **kw):
     from pyspark.sql import types as T
-    from papyra.sources.tables import BucketedTable
-    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
-    t = BucketedTable(spark, os.path.join(scratch, "bt"), ["k"], schema, buckets=8)
-    assert t.read().count() == 0
-    t.append(spark.createDataFrame([(f"k{i}", i) for i in range(200)], schema))
-    t.append(spark.createDataFrame([("new", 1000)], schema))
-    before = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(scratch, "bt", "_bucket=*", "*.parquet"))}
-    t.replace_rows(spark.createDataFrame([("k7", -7)], schema), os.path.join(scratch, "stage1"))
-    got = {r.k: r.v for r in t.read().collect()}
-    assert len(got) == 201 and got["k7"] == -7 and got["k8"] == 8
-    after = {p: os.path.getmtime(p) for p in glob.glob(os.path.join(scratch, "bt", "_bucket=*", "*.parquet"))}
-    bucket = spark.createDataFrame([("k7",)], "k string").select(
-        F.pmod(F.xxhash64("k"), F.lit(8)).alias("b")).first().b
-    changed_dirs = {os.path.basename(os.path.dirname(p)) for p in set(before) ^ set(after)}
-    assert changed_dirs == {f"_bucket={bucket}"}
-    # repeating the swap from the same staging folder is harmless
-    t.replace_rows(spark.createDataFrame([("k7", -7)], schema), os.path.join(scratch, "stage2"))
-    assert t.read().count() == 201
+    from papyra.sources.status_log import StatusLog
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("s", T.StringType())])
+    return StatusLog(spark, os.path.join(scratch, "log"), ["k"], schema, "s = 'N'", **kw)
+
+
+def test_status_log_keeps_the_latest_row_and_the_history(spark, scratch):
+    log = _status_log(spark, scratch, compact_every=0)
+    assert log.read().count() == 0 and log.open().count() == 0
+    rows = lambda *x: spark.createDataFrame(x, log.schema)
+    log.append(rows(("a", "N"), ("b", "N"), (None, "N")))
+    log.append(rows(("a", "S")))
+    log.append(rows(("c", "N")))
+    assert {r.k: r.s for r in log.read().collect()} == {"a": "S", "b": "N", "c": "N", None: "N"}
+    assert {r.k for r in log.open().collect()} == {"b", "c", None}
+    ch = {(r.k, r.s, r._change_type, r._commit_version) for r in log.changes().collect()}
+    assert ch == {("a", "N", "insert", 1), ("b", "N", "insert", 1), (None, "N", "insert", 1), ("a", "N", "update_preimage", 2),
+                  ("a", "S", "update_postimage", 2), ("c", "N", "insert", 3)}
+
+
+def test_status_log_compaction_changes_nothing_but_what_is_read(spark, scratch):
+    log = _status_log(spark, scratch, compact_every=3)
+    rows = lambda *x: spark.createDataFrame(x, log.schema)
+    for i in range(8):
+        log.append(rows((f"k{i}", "N"), (f"k{i - 1}", "S")))
+    snapshot, tail = log._parts()
+    assert snapshot == 6 and tail == [7, 8]
+    assert {r.k for r in log.open().collect()} == {"k7"}
+    assert {r.k: r.s for r in log.read().collect()} == {"k7": "N", **{f"k{i}": "S" for i in range(-1, 7)}}
+    # Settled rows of the snapshot are not read to find open work.
+    assert not any("settled" in f for f in log.rows(only_open=True).inputFiles())
+    assert log.changes().filter("_change_type = 'insert'").count() == 9
+
+
+def test_status_log_ignores_a_commit_that_stopped_half_way(spark, scratch):
+    log = _status_log(spark, scratch, compact_every=0)
+    rows = lambda *x: spark.createDataFrame(x, log.schema)
+    log.append(rows(("a", "N")))
+    log.append(rows(("a", "S")))
+    os.remove(os.path.join(scratch, "log", "log", f"{2:012d}", "_SUCCESS"))      # the job ended before its commit
+    assert log.read().collect()[0].s == "N"
+    assert log.append(rows(("b", "N"))) == 2                                     # its number is written anew
+    assert {r.k: r.s for r in log.read().collect()} == {"a": "N", "b": "N"}
+    # The same for a snapshot without its last folder's marker.
+    log.compact()
+    os.remove(os.path.join(scratch, "log", "snapshot", f"{2:012d}", "open", "_SUCCESS"))
+    assert log._parts() == (0, [1, 2]) and log.read().count() == 2
+
+
+def test_listing_shows_every_name_and_resolves_paths(spark, scratch):
+    from papyra.sources.files import file_inventory, list_files
+    os.makedirs(os.path.join(scratch, "in", "sub"))
+    for n in ("a.pdf", "_b.PDF", ".c", "d d%20.txt"):
+        with open(os.path.join(scratch, "in", n), "wb") as f:
+            f.write(n.encode())
+    with open(os.path.join(scratch, "in", "sub", "deep.pdf"), "wb") as f:
+        f.write(b"x")
+    dotted = os.path.join(scratch, "in", "sub", "..", ".", "")
+    for folder in (os.path.join(scratch, "in"), dotted, "file:" + dotted):
+        got = {r.file_name: r for r in file_inventory(spark, folder).collect()}
+        assert set(got) == {"a.pdf", "_b.PDF", "d d%20.txt"}
+        assert got["_b.PDF"].type == "pdf" and got["a.pdf"].size == 5
+        assert got["a.pdf"].file_path == f"file:{os.path.join(scratch, 'in', 'a.pdf')}"
+    assert list_files(spark, os.path.join(scratch, "in"), recursive=True).count() == 4
+
+
+def test_fetch_content_stays_inside_its_folder(spark, scratch):
+    from papyra.sources.files import inside
+    assert inside("file:/root/x/a.pdf", "/root/x") and inside("file:///root/x/a", "file:/root/x/")
+    assert not inside("/root/x/../secret.txt", "/root/x") and not inside("/root/xy/a", "/root/x")
+    assert not inside("/other/root/x/a", "/root/x")
+    root = os.path.join(scratch, "files")
+    os.makedirs(root)
+    with open(os.path.join(scratch, "secret.txt"), "wb") as f:
+        f.write(b"no")
+    rows = spark.createDataFrame([(f"{root}/../secret.txt",)], "path string")
+    assert fetch_content(spark, rows, "secret", root).count() == 0
+
+
+def test_binary_scan_reports_what_it_skips(spark, scratch):
+    from papyra.sources.files import binary_scan
+    for n, size in (("s.bin", 10), ("l.bin", 10_000)):
+        with open(os.path.join(scratch, n), "wb") as f:
+            f.write(b"x" * size)
+    got = {os.path.basename(r.path): r for r in binary_scan(spark, scratch, max_bytes=100, report_skipped=True).collect()}
+    assert got["s.bin"].scan_status == "ok" and len(got["s.bin"].content) == 10
+    assert got["l.bin"].scan_status == "too_large" and got["l.bin"].content is None
+
+
+def test_property_text_is_a_literal(spark, scratch):
+    import pytest
+    name = "props_" + os.path.basename(scratch).replace("-", "_")
+    ensure_table(spark, name, CONTRACT_TRACK, location=os.path.join(scratch, "p"), properties={"note": "it's 'x' \\ y"})
+    assert {r.key: r.value for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}["note"] == "it's 'x' \\ y"
+    with pytest.raises(ValueError):
+        ensure_table(spark, name, CONTRACT_TRACK, properties={"a' = 'b": "c"})

@@ -206,7 +206,7 @@ def test_latest_kv_stream_over_many_micro_batches(spark, scratch):
     events.repartition(5).write.parquet(src)  # five files, one per trigger
     got = stream_latest_kv(spark, src, events.schema, ["user_id", "event_type"], "value", ["ts", "event_id"],
                            os.path.join(scratch, "state"), os.path.join(scratch, "ckpt"),
-                           max_files_per_trigger=1, state_buckets=4)
+                           max_files_per_trigger=1, compact_every=2)
     want = latest_kv(events, ["user_id", "event_type"])
     assert sorted(got.collect()) == sorted(want.collect())
 
@@ -297,3 +297,199 @@ def test_documents_without_content_get_an_outcome(spark, scratch):
     assert run.registry.read().filter("processed = 'N'").count() == 0
     lost = run.parsed().filter(F.col("error_status") == EMPTY_PARSE)
     assert lost.count() == run.registry.read().filter("type = 'pdf'").count()
+
+
+def _counted(scratch):
+    """An opener that leaves a mark for each open."""
+    import uuid
+    marks = os.path.join(scratch, "opens")
+    os.makedirs(marks)
+
+    def opener(path):
+        with open(os.path.join(marks, uuid.uuid4().hex), "w") as f:
+            f.write(os.path.basename(path))
+        with open(path.split(":", 1)[-1], "rb") as f:
+            return f.read()
+
+    def opened():
+        from collections import Counter
+        names = Counter(open(os.path.join(marks, m)).read() for m in os.listdir(marks))
+        for m in os.listdir(marks):
+            os.remove(os.path.join(marks, m))
+        return names
+    return opener, opened
+
+
+def _land(landing, files):
+    os.makedirs(landing, exist_ok=True)
+    for n, text in files.items():
+        with open(os.path.join(landing, n), "w", encoding="utf-8") as f:
+            f.write(text)
+
+
+def test_each_new_file_is_opened_once_and_known_files_never(spark, scratch):
+    from papyra.sources.files import list_files
+    landing = os.path.join(scratch, "landing")
+    opener, opened = _counted(scratch)
+    cfg = IngestConfig(base=os.path.join(scratch, "t"), opener=opener, summary_model=lambda ps: ["resumo" for _ in ps],
+                       extract_model=lambda ps: ['{"tipo_contrato": "X"}' for _ in ps])
+    _land(landing, {"a.pdf": "um", "b.txt": "dois", "c.pdf": "três\nquatro"})
+    IngestRun(spark, cfg).ingest(list_files(spark, landing))
+    assert opened() == {"a.pdf": 1, "b.txt": 1, "c.pdf": 1}
+    _land(landing, {"d.pdf": "cinco"})
+    run = IngestRun(spark, cfg)
+    run.ingest(list_files(spark, landing))
+    assert opened() == {"d.pdf": 1}
+    run.ingest(list_files(spark, landing))
+    assert not opened() and run.extracted().count() == 4
+    # A parser that returns (path, parsed) alone, and one that drops a file, read each file once or once more.
+    plain = lambda df: doc.text_parser(df.select("path", "content"))
+    other = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "u"), opener=opener, parser=plain))
+    other.ingest(list_files(spark, landing))
+    assert opened() == {"a.pdf": 1, "b.txt": 1, "c.pdf": 1, "d.pdf": 1} and other.parsed().count() == 4
+
+
+def test_stream_opens_each_new_file_once(spark, scratch):
+    landing = os.path.join(scratch, "landing")
+    opener, opened = _counted(scratch)
+    run = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "t"), opener=opener))
+    _land(landing, {f"f{i}.pdf": f"texto {i}" for i in range(5)})
+    stream_extract(spark, run, landing, os.path.join(scratch, "ck"), max_files_per_trigger=2)
+    _land(landing, {"g.pdf": "mais"})
+    stream_extract(spark, run, landing, os.path.join(scratch, "ck"), max_files_per_trigger=2)
+    assert opened() == {**{f"f{i}.pdf": 1 for i in range(5)}, "g.pdf": 1}
+    assert run.registry.read().filter("processed = 'S'").count() == 6
+    other = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "u"), opener=opener))
+    stream_register(spark, other, landing, os.path.join(scratch, "ck2"))
+    assert sum(opened().values()) == 6 and other.registry.read().count() == 6
+
+
+def _version_models():
+    return dict(summary_model=lambda ps: ["resumo " + p[-2:] for p in ps], summary_source="text",
+                extract_model=lambda ps: ['{"tipo_contrato": "' + p[-2:] + '"}' for p in ps])
+
+
+def test_changed_file_is_a_new_identity(spark, scratch):
+    """Re-uploads admitted: the new content is parsed, summarised and extracted; the old rows stay as they were."""
+    from papyra.sources.files import list_files
+    landing = os.path.join(scratch, "landing")
+    cfg = IngestConfig(base=os.path.join(scratch, "t"), admit_match="hash", **_version_models())
+    _land(landing, {"a.pdf": "texto v1", "b.pdf": "outro v1"})
+    run = IngestRun(spark, cfg)
+    run.ingest(list_files(spark, landing))
+    _land(landing, {"a.pdf": "texto longo v2"})
+    run.ingest(list_files(spark, landing))
+    run.ingest(list_files(spark, landing))
+    regs = [(os.path.basename(r.file_path), r.processed) for r in run.registry.read().collect()]
+    assert sorted(regs) == [("a.pdf", "S"), ("a.pdf", "S"), ("b.pdf", "S")]
+    assert sorted(r.text for r in run.parsed().collect()) == ["outro v1", "texto longo v2", "texto v1"]
+    assert sorted(r.tipo_contrato for r in run.extracted().collect()) == ["v1", "v1", "v2"]
+    assert sorted(r.tipo_contrato for r in run.current(run.extracted()).collect()) == ["v1", "v2"]
+    assert {(os.path.basename(r.path), r.text) for r in run.current(run.parsed()).collect()} == {
+        ("a.pdf", "texto longo v2"), ("b.pdf", "outro v1")}
+    # The same through process(), which takes the bytes: v3 is registered first, then handed over.
+    from papyra.sources.files import file_inventory
+    _land(landing, {"b.pdf": "outro mais longo v3"})
+    run.register(file_inventory(spark, landing))
+    run.process(spark.read.format("binaryFile").load(landing).select("path", "content"))
+    assert {r.text for r in run.current(run.parsed()).collect()} == {"texto longo v2", "outro mais longo v3"}
+
+
+def test_failed_summary_is_retried_from_the_stored_parse(spark, scratch):
+    from papyra.sources.files import list_files
+    landing, healed = os.path.join(scratch, "landing"), os.path.join(scratch, "healed")
+    opener, opened = _counted(scratch)
+
+    def summary(ps):
+        if not os.path.exists(healed) and any(p.endswith("b") for p in ps):
+            raise RuntimeError("away")
+        return ["resumo" for _ in ps]
+    cfg = IngestConfig(base=os.path.join(scratch, "t"), opener=opener, summary_model=summary, summary_source="text",
+                       extract_model=lambda ps: ['{"tipo_contrato": "X"}' if "resumo" in p else "nada" for p in ps])
+    _land(landing, {"a.pdf": "texto a", "b.pdf": "texto b", "c.txt": "texto c"})
+    run = IngestRun(spark, cfg)
+    run.ingest(list_files(spark, landing))
+    assert sum(opened().values()) == 3
+    assert [os.path.basename(r.file_path) for r in run.registry.open().collect()] == ["b.pdf"]
+    assert not os.path.exists(os.path.join(scratch, "t", "_staging"))
+    open(healed, "w").close()
+    run.ingest(list_files(spark, landing))
+    assert not opened() and run.registry.open().count() == 0 and run.parsed().count() == 3
+    got = {os.path.basename(r.path): (r.extract_status, r.tipo_contrato) for r in run.extracted().collect()}
+    assert got == {"a.pdf": ("ok", "X"), "b.pdf": ("ok", "X"), "c.txt": ("no_summary", None)}
+
+
+def test_a_stop_between_any_two_steps_is_repaired(spark, scratch, monkeypatch):
+    """The run is stopped after its k-th write to the shared tables, for every k; the next run completes it."""
+    from pyspark.sql import DataFrameWriter
+    from papyra.sources.files import list_files
+    landing = os.path.join(scratch, "landing")
+    _land(landing, {"a.pdf": "texto v1", "b.txt": "outro v1", "c.pdf": "mais v1"})
+    real = DataFrameWriter.parquet
+
+    class Stop(Exception):
+        pass
+    want = None
+    for k in range(0, 14):
+        cfg = IngestConfig(base=os.path.join(scratch, f"t{k}"), **_version_models())
+        left = [k]
+
+        def parquet(self, path, *a, **kw):
+            if "_staging" not in path and k:
+                left[0] -= 1
+                if left[0] < 0:
+                    raise Stop
+            return real(self, path, *a, **kw)
+        monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+        stopped = False
+        try:
+            IngestRun(spark, cfg).ingest(list_files(spark, landing))
+        except Stop:
+            stopped = True
+        monkeypatch.setattr(DataFrameWriter, "parquet", real)
+        run = IngestRun(spark, cfg)
+        run.ingest(list_files(spark, landing))
+        got = (sorted((os.path.basename(r.file_path), r.processed) for r in run.registry.read().collect()),
+               sorted((os.path.basename(r.path), r.text, r.summarize) for r in run.parsed().collect()),
+               sorted((os.path.basename(r.path), r.tipo_contrato or "", r.extract_status) for r in run.extracted().collect()))
+        want = want or got
+        assert got == want and len(got[2]) == 3 and all(p == "S" for _, p in got[0]), k
+        if k and not stopped:
+            break
+    else:
+        raise AssertionError("the run has more writes than were tried")
+
+
+def test_answer_cache_is_read_by_prefix(spark, scratch):
+    from papyra.functions.model import prompt_key
+    run = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "t")))
+    rows = spark.range(2000).selectExpr("concat('p', id) AS p").select(prompt_key(F.col("p")).alias("prompt_key"), F.lit("r").alias("response"))
+    rows.withColumn("prefix", F.substring("prompt_key", 1, 2)).repartition("prefix").write.partitionBy("prefix").parquet(run.cache_path)
+    few = spark.createDataFrame([("p1",), ("p2",), ("new",)], "p string").select(prompt_key(F.col("p")).alias("prompt_key"))
+    cached = run._cached(few)
+    plan = cached._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan
+    assert {r.k for r in cached.select(F.substring("prompt_key", 1, 2).alias("k")).distinct().collect()} <= {
+        r.k for r in few.select(F.substring("prompt_key", 1, 2).alias("k")).collect()}
+    assert cached.join(few, "prompt_key").count() == 2
+
+
+def test_latest_kv_stream_with_late_updates_deletes_and_a_restart(spark, scratch):
+    from pyspark.sql import types as T
+    from papyra.streaming.changes import stream_latest_kv
+    schema = T.StructType.fromDDL("k string, v string, seq int, gone boolean")
+    src, out, ck = (os.path.join(scratch, n) for n in ("src", "out", "ck"))
+
+    def write(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    run = lambda: stream_latest_kv(spark, src, schema, ["k"], "v", ["seq"], out, ck, max_files_per_trigger=1,
+                                   deleted="gone", compact_every=2)
+    write(("a", "a1", 1, False), ("b", "b5", 5, False), ("c", "c1", 1, False))
+    write(("a", None, 9, True), ("b", "b2", 2, False))              # b2 is older than what is there
+    assert {r.k: r.v for r in run().collect()} == {"b": "b5", "c": "c1"}
+    write(("a", "a3", 3, False), ("c", "c2", 2, None))              # a3 arrives after the delete that is newer
+    write(("d", "d1", 1, False), ("a", "a10", 10, False))
+    assert {r.k: r.v for r in run().collect()} == {"a": "a10", "b": "b5", "c": "c2", "d": "d1"}
+    # The last commit holds the keys of its micro-batch only.
+    last = sorted(os.listdir(os.path.join(out, "state", "log")))[-1]
+    assert {r.k for r in spark.read.parquet(os.path.join(out, "state", "log", last)).collect()} <= {"a", "c", "d"}
