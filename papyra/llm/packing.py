@@ -12,8 +12,9 @@ are placed first-fit by falling length, one small group a bucket.
 leaves room for 8 million buckets (2.6 * 10^11 pieces) of up to 5 * 10^8 bins a class.
 
 Tokenisation goes chunk by chunk: byte-level BPE never merges across a space that a visible character follows, so
-a text is split there and each distinct chunk is encoded once while a task remembers it (a bounded memory).  The ids are
-kept as little-endian bytes, joined, and checksummed; token ids never leave the task.
+a text is split there and each distinct chunk is encoded once while a worker process remembers it (a bounded memory,
+kept from task to task).  The ids are kept as little-endian bytes, joined, and checksummed; token ids never leave the
+task.
 
 Edge cases: null or empty text is the closing id alone; repeated rows (and documents that a mixture repeats) are
 packed each on their own; a null id is kept; extra columns are left behind; an empty table gives an empty table.
@@ -23,36 +24,43 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
 from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from papyra.llm.common import batch_texts, stage, texts
+from papyra.llm.common import stage, texts
 
 CAPACITY = 1024
 MIN_CUT = 64
 END_ID = 0
 BUCKET_PIECES = 32_000
 BUCKET_SHIFT, CLASS_SHIFT, CLASS_MASK = 40, 29, 0x7FF      # of sequence_id
-_MEMORY = 200_000         # chunks in a generation of a task's memory
+_MEMORY = 500_000         # chunks in a generation of a worker's memory
 _LONG = 64                # longer chunks are not remembered
-_GROUP = 1 << 21          # characters of a group of texts
-_JOINED = 500             # chunks encoded as one string
+_GROUP = 1 << 23          # bytes of a group of texts
+_JOINED = 100             # chunks encoded as one string
 _BREAK = re.compile(r" (?=\S)")
+# Texts that are not cut at every space: some space stands before white space or at the end, or a special token, which
+# ends a run of spaces, may occur.
+_UNEVEN = r" (?:[\s\x0b\x1c-\x1f\x{85}\p{Z}]|\z)|<\|"
 
 
 class TextIds:
     """Texts -> their ids (bytes), equal to encoding each whole text at once.
 
-    The unknown chunks of a group of texts are encoded in concatenations of ``_JOINED``: no id crosses a chunk, so the
-    byte lengths of the ids tell where each chunk ends.  Known chunks are kept in two generations; when the young
-    one is full it becomes the old one, and a chunk met again moves back.
+    Arrow cuts a group of texts into chunks and finds the distinct ones; only those become Python strings.  The unknown
+    ones are encoded in concatenations of ``_JOINED``: no id crosses a chunk, so the byte lengths of the ids tell where
+    each chunk ends.  Known chunks are kept in two generations; when the young one is full it becomes the old one, and
+    a chunk met again moves back.  The ids of all chunks are then gathered by the chunks' numbers.
     """
 
     def __init__(self, path: str) -> None:
@@ -85,34 +93,68 @@ class TextIds:
         data, cuts = ids.tobytes(), [0, *(4 * (stop + 1)).tolist()]
         self._young.update(zip(fresh, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of a group of texts."""
-        # A text that may hold a special token, which ends a run of spaces, is not cut into chunks.
-        split = [[t] if "<|" in t else _BREAK.split(t) for t in texts]
+    def _chunk_ids(self, distinct: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, each with the space before it."""
         young = self._young
-        heads = [self._ids(chunks.pop(0)) for chunks in split]
-        new = set(chain.from_iterable(split)).difference(young)
+        found = list(map(young.get, distinct))
+        new = {c for c, ids in zip(distinct, found) if ids is None}
         self._learn(new)
-        out = [head + b"".join(map(young.__getitem__, chunks)) for head, chunks in zip(heads, split)]
+        if new:
+            found = list(map(young.__getitem__, distinct))
         for c in new:
             if len(c) > _LONG:
                 del young[c]
         if len(young) >= _MEMORY:
             self._old, self._young = young, {}
-        return out
+        return found
+
+    def __call__(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of a group of texts, none of them null."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        uneven = np.flatnonzero(pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False))
+        lists = pc.split_pattern(texts, " ")
+        if len(uneven):
+            cut = lists.to_pylist()
+            for k in uneven.tolist():
+                t = texts[k].as_py()
+                cut[k] = [t] if "<|" in t else _BREAK.split(t)
+            lists = pa.array(cut, pa.list_(pa.string()))
+        heads = pc.list_element(lists, 0).to_pylist()
+        rest = pc.list_slice(lists, 1)
+        coded = rest.flatten().dictionary_encode()
+        found = self._chunk_ids(coded.dictionary.to_pylist())
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(found))])
+        all_ids = table.take(coded.indices)
+        data = memoryview(all_ids.buffers()[2] or b"")
+        at = np.frombuffer(all_ids.buffers()[1], np.int64)[all_ids.offset:] if len(all_ids) else np.zeros(1, np.int64)
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(rest).to_numpy())))
+        cuts = at[first].tolist()
+        return [self._ids(h) + data[a:b] for h, a, b in zip(heads, cuts, cuts[1:])]
+
+
+def text_ids(path: str) -> TextIds:
+    """The worker process's own ``TextIds`` of a tokenizer: workers serve many tasks, what they have learned stays."""
+    state = sys.modules.setdefault("papyra_worker_state", types.ModuleType("papyra_worker_state"))
+    kept = state.__dict__.setdefault("text_ids", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = TextIds(path)
+    return kept[path]
 
 
 def _groups(batch: pa.RecordBatch):
-    """The texts of a batch in groups of about ``_GROUP`` characters."""
-    group, size = [], 0
-    for text in batch_texts(batch, "text"):
-        group.append(text)
-        size += len(text)
-        if size >= _GROUP:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    """The texts of a batch in groups of about ``_GROUP`` bytes, null as empty."""
+    texts = pc.fill_null(batch.column("text"), "")
+    size = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    start = 0
+    while start < len(texts):
+        before = int(size[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(size, before + _GROUP, "right")))
+        yield texts.slice(start, end - start)
+        start = end
 
 
 def cut(n: int, capacity: int = CAPACITY, min_cut: int = MIN_CUT) -> list[int]:
@@ -137,7 +179,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        ids_of = TextIds(tokenizer_path)
+        ids_of = text_ids(tokenizer_path)
         for b in batches:
             doc, start, length, crc, total = [], [], [], [], []
             for row, known in enumerate(chain.from_iterable(ids_of(group) for group in _groups(b))):
