@@ -55,9 +55,16 @@ def labelled_sample(labels: DataFrame, label_col: str, bound: int, id_col: str =
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def one_row_each(rows: DataFrame) -> DataFrame:
+    """One row of each doc_id: the one whose text has the least hash (repeated ids are reduced before the shuffle)."""
+    rest = [c for c in rows.columns if c != "doc_id"]
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("r")).select("doc_id", "r.*")
+
+
 def attach_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """The documents of a bounded sample with their labels.  The sample is broadcast: its size is its bound."""
-    return texts(docs).join(F.broadcast(sample), "doc_id")
+    """The documents of a bounded sample with their labels, one row an id: at most as many rows as the sample, which is
+    broadcast (its size is its bound)."""
+    return one_row_each(docs.join(F.broadcast(sample), "doc_id"))
 
 
 # ------------------------------------------------------------------------------------------- word hashing

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import WordHasher, labelled_sample
+from papyra.llm.common import WordHasher, attach_sample, labelled_sample
 
 WORDS = 1 << 17           # hashed word features
 BINS = 24                 # bins of a statistic
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in got], pa.binary())], names=["label", "idx", "val"])
-    rows = (_source(docs, id_col, text_col, metadata).join(F.broadcast(sample), "doc_id")
+    rows = (attach_sample(_source(docs, id_col, text_col, metadata), sample)
             .select("label", "text", *[f"m{i}" for i in range(n_meta)])
             .mapInArrow(run, "label int, idx binary, val binary").collect())          # at most max_train documents
     rows = sorted((r.label, bytes(r.idx), bytes(r.val)) for r in rows)

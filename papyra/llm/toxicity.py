@@ -28,7 +28,7 @@ from papyra.llm.common import WordHasher, attach_sample, batch_texts, filter_bat
 GRADES = 4                # 0 clean, 1 mild, 2 marked, 3 severe
 MAX_TRAIN = 12_000        # documented bound of the labelled sample the model is fitted on
 REJECT_AT = 0.25          # probability of any toxicity from which a document is rejected
-OUT = "doc_id long, severity double, grade int, p_toxic double, p_marked double, p_severe double, toxic int"
+OUT = "severity double, grade int, p_toxic double, p_marked double, p_severe double, toxic int"
 
 
 @dataclass
@@ -72,7 +72,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, max_train:
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())],
                 names=["label", "keys", "counts"])
-    sample = attach_sample(docs, labelled_sample(labels, label_col, max_train, graded=True))
+    sample = attach_sample(texts(docs), labelled_sample(labels, label_col, max_train, graded=True))
     return sample.select("label", "text").mapInArrow(run, "label int, keys binary, counts binary")
 
 
@@ -172,8 +172,8 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             cols += [pa.array((p[:, 0] >= reject_at).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=[
                 "doc_id", "severity", "grade", "p_toxic", "p_marked", "p_severe", "toxic"])
-    src = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return src.mapInArrow(run, OUT)
+    src = texts(docs, id_col, text_col)
+    return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, {OUT}")
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
