@@ -4,7 +4,8 @@ Each message is parsed into its own lines and its quoted passages: a run of line
 ``>`` before the text), with lines that announce a quote ("... wrote:") left out.  Passages, their paragraphs and their
 longer lines are normalised (white space, case) and hashed; the same units of every message's own text form the index.
 A quoted unit is linked to the first message that says it: in the same conversation (an earlier turn), else anywhere
-earlier (conversation, turn).  The index holds one row per unit, however many messages repeat it, so a very common
+earlier (conversation, turn).  A whole passage meets a whole message of its own conversation at any length; parts, and
+links to other conversations, take units of ``LEAST_CHARS`` or more, which no two people say by chance.  The index holds one row per unit, however many messages repeat it, so a very common
 phrase is one row too.  Of a message's links the one with the longest unit of the outermost level wins and is the
 message it replies to; without one it replies to the message before it in its conversation.
 
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from papyra.llm.common import null_safe, stage
 from papyra.llm.components import components
 
-LEAST_CHARS = 16          # units shorter than this link nothing
+LEAST_CHARS = 16          # shorter units link whole passages to whole messages of one conversation only
 BLOCK = 1_024             # turns of a conversation that are numbered in one task
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
@@ -70,9 +71,9 @@ def units(text: str) -> dict[bytes, int]:
     """Hash -> length of the normalised whole, paragraphs and lines of a text."""
     parts = [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]
     out = {}
-    for p in parts:
+    for k, p in enumerate(parts):
         norm = _SPACE.sub(" ", p).strip().lower()
-        if len(norm) >= LEAST_CHARS:
+        if len(norm) >= LEAST_CHARS or norm and k == 0:
             out[xxhash.xxh128_digest(norm.encode("utf-8", "replace"))] = len(norm)
     return out
 
@@ -128,7 +129,8 @@ def link_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col:
     ever = said.groupBy("hash").agg(F.min("at").alias("first"))
     found = (quoted.join(inside, null_safe([quoted.conv_id, quoted.hash], [inside.i_conv, inside.i_hash]), "left")
              .join(ever, "hash", "left")
-             .withColumn("source", F.when(F.col("here") < F.col("at"), F.col("here")).when(F.col("first") < F.col("at"), F.col("first")))
+             .withColumn("source", F.when(F.col("here") < F.col("at"), F.col("here"))
+                         .when((F.col("chars") >= LEAST_CHARS) & (F.col("first") < F.col("at")), F.col("first")))
              .filter(F.col("source").isNotNull()))
     best = stage(found.groupBy("conv_id", "turn", "nth").agg(
         F.max_by(F.struct("source", "chars"), F.struct(-F.col("level"), "chars", F.col("here").isNotNull(), F.hash("hash"))).alias("b"))

@@ -312,6 +312,56 @@ def test_quotation_links(spark):
     assert quotes.chat_messages(quotes.link_conversations(df)).count() == len(rows)
 
 
+def test_short_quotations_link_in_their_conversation(spark):
+    rows = [(1, 0, "It rains."), (1, 1, "Not here."), (1, 2, "Why?"), (1, 3, "> it  RAINS.\nWhere?"), (1, 4, "> Why?\n\n> Not here.\nSo."),
+            (1, 5, "Two lines,\nIt rains."), (2, 0, "> It rains.\nSays who?"), (2, 1, "> Two lines,")]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv_id, r.reply_turn, r.link) for r in quotes.link_conversations(df).collect()}
+    assert got[1, 3] == (1, 0, "quote") and got[1, 4][2] == "quote" and got[1, 4][1] in (1, 2)
+    assert got[2, 0] == (None, None, "root") and got[2, 1] == (2, 0, "sequence")     # short, in another conversation
+
+
+def brute_links(rows):
+    """(reply conversation, reply turn, link) of each message by a plain search over all earlier messages."""
+    own = [quotes.parse(t or "") for _, _, t in rows]
+    out = {}
+    for i, (c, t, _) in enumerate(rows):
+        best = None
+        for level, passage in own[i][1]:
+            for h, n in quotes.units(passage).items():
+                said = [(rows[j][0], rows[j][1]) for j in range(len(rows)) if (rows[j][0], rows[j][1]) < (c, t) and h in quotes.units(own[j][0])]
+                here = [x for x in said if x[0] == c]
+                source = min(here) if here else min(said) if said and n >= quotes.LEAST_CHARS else None
+                if source and (best is None or (-level, n, bool(here)) > best[0]):
+                    best = ((-level, n, bool(here)), source)
+        before = max((t2 for c2, t2, _ in rows if c2 == c and t2 < t), default=None)
+        out[c, t] = (*best[1], "quote") if best else (c, before, "sequence") if before is not None else (None, None, "root")
+    return out
+
+
+def test_quotation_links_equal_brute_force(spark):
+    rng = random.Random(8)
+    says = [" ".join(rng.choices("sun rain wind storm cloud frost hail".split(), k=rng.randrange(1, 12))) for _ in range(150)]
+    rows = []
+    for c in range(25):
+        for t in range(6):
+            text = says[len(rows) % 150] + rng.choice(("", "\n\n" + rng.choice(says)))
+            earlier = [x for x in rows if x[0] == c or rng.random() < 0.05]
+            if earlier and rng.random() < 0.6:
+                quoted = quotes.parse(rng.choice(earlier)[2])[0]
+                if rng.random() < 0.4 and "\n\n" in quoted:
+                    quoted = quoted.split("\n\n")[0]
+                text = "\n".join("> " + x for x in quoted.split("\n")) + "\n" + text
+            rows.append((c, t, text))
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.reply_conv_id, r.reply_turn, r.link) for r in quotes.link_conversations(df).collect()}
+    want = brute_links(rows)
+    # Where two quoted units are equally good, either source is right.
+    assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in want.items()}
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+    assert sum(v[2] == "quote" for v in want.values()) > 40
+
+
 def test_positions_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(quotes, "BLOCK", 4)
     turns = [0, 1, 2, 3, 9, 10, 40, 41, 42]
@@ -332,3 +382,23 @@ def test_secret_candidates_of_any_length(spark):
     got = described.select("doc_id", F.length("candidate").alias("n"), secrets.reviewed(described).alias("label")).collect()
     assert {r.doc_id for r in got} == set(range(len(long)))
     assert {r.label for r in got if r.doc_id in (0, 1, 2, 3, 6)} == {0}
+
+
+def test_trainers_collect_at_most_their_bound(spark, monkeypatch):
+    """A third of the rows under one labelled id: the trainers take one row of it, not all."""
+    docs = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS doc_id", "concat('some words ', id % 50) AS text", "id AS n_chars")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7, 207)], "doc_id long, quality int, toxic int")
+    sizes = []
+    for module in (quality, toxicity):
+        fit = module.fit
+        monkeypatch.setattr(module, "fit", lambda rows, *a, _fit=fit, **k: sizes.append(len(rows)) or _fit(rows, *a, **k))
+    quality.train(docs, labels, metadata=["n_chars"], max_train=100)
+    toxicity.train(docs, labels, max_train=100)
+    assert all(0 < n <= 100 for n in sizes) and len(sizes) == 2
+
+
+def test_toxicity_keeps_the_type_of_the_ids(spark):
+    docs = spark.createDataFrame([("a-1", "idiot idiot"), ("b", "calm words"), (None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([("a-1", 1), ("b", 0)], "doc_id string, toxic int")
+    got = toxicity.score(docs, toxicity.train(docs, labels))
+    assert dict(got.dtypes)["doc_id"] == "string" and {r.doc_id for r in got.collect()} == {"a-1", "b", None}
