@@ -12,9 +12,9 @@ are placed first-fit by falling length, one small group a bucket.
 leaves room for 8 million buckets (2.6 * 10^11 pieces) of up to 5 * 10^8 bins a class.
 
 Tokenisation goes chunk by chunk: byte-level BPE never merges across a space that a visible character follows, so
-a text is split there and each distinct chunk is encoded once while a worker process remembers it (a bounded memory,
-kept from task to task).  The ids are kept as little-endian bytes, joined, and checksummed; token ids never leave the
-task.
+a text is split there and each distinct chunk is encoded once while a task remembers it (a bounded memory; a worker
+process keeps the tokenizer alone from task to task).  The ids are kept as little-endian bytes, joined, and checksummed;
+token ids never leave the task.
 
 Edge cases: null or empty text is the closing id alone; repeated rows (and documents that a mixture repeats) are
 packed each on their own; a null id is kept; extra columns are left behind; an empty table gives an empty table.
@@ -44,7 +44,7 @@ MIN_CUT = 64
 END_ID = 0
 BUCKET_PIECES = 32_000
 BUCKET_SHIFT, CLASS_SHIFT, CLASS_MASK = 40, 29, 0x7FF      # of sequence_id
-_MEMORY = 500_000         # chunks in a generation of a worker's memory
+_MEMORY = 500_000         # chunks in a generation of a task's memory
 _LONG = 64                # longer chunks are not remembered
 _GROUP = 1 << 23          # bytes of a group of texts
 _JOINED = 100             # chunks encoded as one string
@@ -74,6 +74,10 @@ class TextIds:
         for token, number in vocab.items():      # a byte-level token is spelled with one character a byte
             self._bytes[number] = len(token)
 
+    def forget(self) -> None:
+        """Drop the remembered chunks: what a worker keeps between tasks is the tokenizer."""
+        self._young, self._old = {}, {}
+
     def _ids(self, text: str) -> bytes:
         return np.array(self._encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
 
@@ -136,7 +140,7 @@ class TextIds:
 
 
 def text_ids(path: str) -> TextIds:
-    """The worker process's own ``TextIds`` of a tokenizer: workers serve many tasks, what they have learned stays."""
+    """The worker process's own ``TextIds`` of a tokenizer: workers serve many tasks, and the file is read once."""
     state = sys.modules.setdefault("papyra_worker_state", types.ModuleType("papyra_worker_state"))
     kept = state.__dict__.setdefault("text_ids", {})
     if path not in kept:
@@ -195,6 +199,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(doc, pa.int64())), *[pa.array(x, pa.int64()) for x in (start, length, crc, total)]],
                 names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        ids_of.forget()
     kind = dict(src.dtypes)["doc_id"]
     return src.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
