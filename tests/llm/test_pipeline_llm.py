@@ -79,9 +79,9 @@ def test_packing_leaves_little_padding(spark, encode):
     d = spark.read.parquet(f"{SF0001}/documents.parquet")
     texts = [(r.doc_id, r.text) for r in d.collect()]
     sequences = check_packed(packing.place(packing.pieces(d, PATH), bucket_pieces=150).collect(), texts, encode)
-    assert len(sequences) == len(check_packed(packing.pack(d, PATH).collect(), texts, encode)) or True
-    fill = [sum(n for _, n in s) for s in sequences.values()]
-    assert sum(fill) / (1024 * len(fill)) > 0.9
+    share = lambda seqs: sum(n for s in seqs.values() for _, n in s) / (1024 * len(seqs))
+    assert share(sequences) > 0.9                                     # tiny buckets leave many bins unfilled
+    assert share(check_packed(packing.pack(d, PATH).collect(), texts, encode)) > 0.995
 
 
 def test_harmonic_bins_hold_a_fixed_count(spark):
