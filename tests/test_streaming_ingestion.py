@@ -493,3 +493,20 @@ def test_latest_kv_stream_with_late_updates_deletes_and_a_restart(spark, scratch
     # The last commit holds the keys of its micro-batch only.
     last = sorted(os.listdir(os.path.join(out, "state", "log")))[-1]
     assert {r.k for r in spark.read.parquet(os.path.join(out, "state", "log", last)).collect()} <= {"a", "c", "d"}
+
+
+def test_stream_looks_up_its_files_in_few_tasks(spark, scratch):
+    landing, key = os.path.join(scratch, "landing"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    os.makedirs(landing)
+    n = _write_docs(spark, landing, list(range(0, 40)))
+    p = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "tables")))
+    seen, unseen, before = [], p.unseen, spark.conf.get(key)
+    p.unseen = lambda batch: seen.append(int(spark.conf.get(key))) or unseen(batch)
+    spark.conf.set(key, "10000")
+    try:
+        stream_register(spark, p, landing, os.path.join(scratch, "ckpt"))
+        assert spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+    assert seen and max(seen) <= max(16, 2 * spark.sparkContext.defaultParallelism)
+    assert p.registry.read().select("file_path").distinct().count() <= n
