@@ -1,7 +1,7 @@
 """Pluggable text model (E2) and document parser (C4) calls, batched through Arrow.
 
 A model is any Python callable ``list[str] -> list[str]`` (one answer per prompt).  It runs inside
-``mapInPandas`` tasks, so Spark spreads the calls over executors; the driver never sees a prompt.
+``mapInArrow`` tasks, so Spark spreads the calls over executors; the driver never sees a prompt.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,17 +74,16 @@ def _answer_chunk(model: TextModel, prompts: list[str]) -> tuple[list[str | None
 
 
 def _call_batches(model: TextModel, prompt_col: str, key_col: str, batch_size: int
-                  ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            prompts = pdf[prompt_col].tolist()
-            answers: list[str | None] = []
-            errors: list[str | None] = []
-            for i in range(0, len(prompts), batch_size):
-                a, e = _answer_chunk(model, prompts[i:i + batch_size])
-                answers += a
-                errors += e
-            yield pd.DataFrame({key_col: pdf[key_col], "response": answers, "model_error": errors})
+                  ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One record batch a request: the prompts of a request are all that a worker unpacks at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, batch_size):
+                part = b.slice(i, batch_size)
+                answers, errors = _answer_chunk(model, part.column(prompt_col).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key_col), pa.array(answers, pa.string()), pa.array(errors, pa.string())],
+                    names=[key_col, "response", "model_error"])
     return run
 
 
@@ -114,7 +113,7 @@ def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str =
         todo = todo.join(cache.select(F.col("prompt_key").alias("_pk")), "_pk", "left_anti")
     # Model calls are slow and prompts few: spread them on purpose, or small partitions are merged into one task.
     spread = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    answered = todo.repartition(spread, "_pk").mapInPandas(_call_batches(model, "_prompt", "_pk", batch_size),
+    answered = todo.repartition(spread, "_pk").mapInArrow(_call_batches(model, "_prompt", "_pk", batch_size),
                                 "_pk string, response string, model_error string")
     if cache is not None:
         answered = answered.unionByName(

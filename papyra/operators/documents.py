@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +25,7 @@ from papyra.functions.html import html_blocks
 PARSE_EXTENSIONS = [".pdf"]
 ELEMENT_SEPARATOR = "\n\n"
 PAGES_VERSION = "1.0"
+BATCH_CHARS = 4 << 20            # parse results that a worker hands on at a time, about
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -91,22 +92,30 @@ def html_parser(df: DataFrame) -> DataFrame:
 
 def pandas_parser(fn: Callable[[bytes], dict]) -> Parser:
     """Wrap a binary-format parser ``bytes -> dict`` (the parse contract above).  It runs in Arrow batches
-    inside ``mapInPandas`` tasks; an exception becomes ``error_status`` for that file only."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for b in pdf["content"]:
-                try:
-                    out.append(json.dumps(fn(bytes(b)) if b is not None else {"error_status": "EMPTY"}))
-                except Exception as e:  # noqa: BLE001
-                    out.append(json.dumps({"metadata": {}, "error_status": f"PARSE_FAILED: {type(e).__name__}"}))
-            yield pdf.drop(columns="content").assign(parsed_json=out)
+    inside ``mapInArrow`` tasks; an exception becomes ``error_status`` for that file only.  One file is unpacked at a
+    time, and results are handed on by their size, so a worker's memory does not follow the number of rows in a batch."""
+
+    def one(b: bytes | None) -> str:
+        try:
+            return json.dumps(fn(b) if b is not None else {"error_status": "EMPTY"})
+        except Exception as e:  # noqa: BLE001
+            return json.dumps({"metadata": {}, "error_status": f"PARSE_FAILED: {type(e).__name__}"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            carried, content = b.select([c for c in b.schema.names if c != "content"]), b.column("content")
+            names, at, out, held = [*carried.schema.names, "parsed_json"], 0, [], 0
+            for i in range(b.num_rows):
+                out.append(one(content[i].as_py()))
+                held += len(out[-1])
+                if held >= BATCH_CHARS or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*carried.slice(at, len(out)).columns, pa.array(out, pa.string())], names=names)
+                    at, out, held = i + 1, [], 0
 
     def parser(df: DataFrame) -> DataFrame:
         carried = _carried(df)
         schema = T.StructType([df.schema[c] for c in carried] + [T.StructField("parsed_json", T.StringType())])
-        j = df.select(*carried, "content").mapInPandas(run, schema)
+        j = df.select(*carried, "content").mapInArrow(run, schema)
         return j.select(*carried, F.parse_json("parsed_json").alias("parsed"))
 
     return parser

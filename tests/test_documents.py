@@ -166,3 +166,38 @@ def test_every_parser_hands_other_columns_on(spark):
         out = parser(df)
         assert out.columns == ["path", "file_hash", "length", "parsed"]
         assert out.select("path", "file_hash", "length").collect() == [("a.pdf", "h", 4)]
+
+
+def test_pandas_parser_hands_results_on_by_size(spark):
+    """A worker holds about 4 MB of results, not those of a whole batch of rows."""
+    import pyarrow as pa
+
+    class Held:
+        schema = spark.createDataFrame([], "path string, content binary").schema
+        columns = ["path", "content"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+    held = Held()
+    doc.pandas_parser(lambda b: {"text": "x" * 1_000_000})(held)
+    batch = pa.RecordBatch.from_pydict({"path": [str(i) for i in range(20)], "content": [b"a"] * 19 + [None]})
+    out = [*held.run(iter([batch]))]
+    assert len(out) > 3 and all(sum(len(x) for x in b.column("parsed_json").to_pylist()) < 6_000_000 for b in out)
+    assert [x for b in out for x in b.column("path").to_pylist()] == [str(i) for i in range(20)]
+    assert out[-1].column("parsed_json")[-1].as_py() == '{"error_status": "EMPTY"}'
+    assert [*held.run(iter([batch.slice(0, 0)]))] == []
+
+
+def test_a_worker_unpacks_the_prompts_of_one_request():
+    import pyarrow as pa
+
+    from papyra.functions.model import _call_batches, md5_model
+    batch = pa.RecordBatch.from_pydict({"p": [str(i) for i in range(10)], "k": list("abcdefghij")})
+    out = [*_call_batches(md5_model, "p", "k", 4)(iter([batch]))]
+    assert [b.num_rows for b in out] == [4, 4, 2]
+    assert [x for b in out for x in b.column("response").to_pylist()] == md5_model([str(i) for i in range(10)])
+    assert [x for b in out for x in b.column("k").to_pylist()] == list("abcdefghij")
