@@ -6,6 +6,10 @@ null and field rules, the summary renderer and its reader.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,47 +120,78 @@ def render_summary(df: DataFrame | None = None, page: Column | None = None) -> C
 
 # A title or a bullet begins an entry ("* " and "• " read as "- "; bold titles are no bullets); what follows up to the
 # next one continues it.
-_ENTRY_RE = r"\n(?=\*\*|[ \t]*[*•-][ \t]+)"
-_HEAD_RE = r"(?s)^\*\*([^*]+):\*\*(.*)$"
-_ITEM_RE = r"(?s)^[ \t]*[*•-][ \t]+([^:\n]+): ?(.*)$"
-_BULLET_RE = r"(?s)^[ \t]*[*•-][ \t]+(.*)$"
-_CITE_RE = r"\[página (\d+)\]"
+_ENTRY = re.compile(r"\n(?=\*\*|[ \t]*[*•-][ \t]+)")
+_HEAD = re.compile(r"(?s)\*\*([^*]+):\*\*(.*)\Z")
+_ITEM = re.compile(r"(?s)[ \t]*[*•-][ \t]+([^:\n]+): ?(.*)\Z")
+_BULLET = re.compile(r"(?s)[ \t]*[*•-][ \t]+(.*)\Z")
+_CITE = re.compile(r"\[página ([0-9]+)\]")
+_SPACE = " \t\n\x0b\f\r"
+_CITED = re.compile(rf"[{_SPACE}]*\[página [0-9]+\]")
+_BREAK = re.compile(rf"[{_SPACE}]*\n[{_SPACE}]*")
+_ROWS_OUT = 20_000
+
+
+def _value(text: str) -> tuple[str, int | None]:
+    """A value without its citations and on one line, and its first page."""
+    page = None
+    if "[página " in text:
+        first = _CITE.search(text)
+        page = int(first[1]) if first else None
+        text = _CITED.sub("", text)
+    if "\n" in text:
+        text = _BREAK.sub(" ", text)
+    return text.strip(" "), page
+
+
+def summary_entries(text: str) -> Iterator[tuple[int, str | None, str | None, str, int | None]]:
+    """(line_no, section, label, value, page) of the entries of one summary that have a value."""
+    line, section = 1, None
+    for entry in _ENTRY.split(text):
+        label, value = None, ""
+        if entry.startswith("**"):
+            head = _HEAD.match(entry)
+            if head and head[1].strip(" "):
+                label = section = head[1].strip(" ")
+                value = head[2]
+        else:
+            item = _ITEM.match(entry)
+            if item and item[1].strip(" "):
+                label, value = item[1].strip(" "), item[2]
+            else:
+                bullet = _BULLET.match(entry)
+                value = bullet[1] if bullet else ""
+        if value.strip(" "):
+            yield (line, section, label, *_value(value))
+        line += entry.count("\n") + 1
+
+
+def _summary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32())
+    for b in batches:
+        texts, owner, rows = b.column(1), [], []
+        for i in range(b.num_rows):
+            found = [*summary_entries(texts[i].as_py())] if texts[i].is_valid else []
+            owner += [i] * len(found)
+            rows += found
+            if rows and (len(rows) >= _ROWS_OUT or i + 1 == b.num_rows):
+                cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), *cols],
+                                                 names=[b.schema.names[0], "line_no", "section", "label", "value", "page"])
+                owner, rows = [], []
 
 
 def parse_summary(df: DataFrame, text_col: str = "summarize", key: str = "path") -> DataFrame:
     """Read a template summary back into ``(key, line_no, section, label, value, page)`` rows.
 
-    One fold over the entries of a text, inside the row: it carries the line number and the section, and each entry
-    is matched once.  A value runs on over the lines up to the next title or bullet, joined by a space, with the
-    citations on all of them (``page`` is the first one).  Text before the first title or bullet is not a value.
+    One pass over the entries of a text inside the row's task, which carries the line number and the section and matches
+    each entry once (a fold of column expressions is interpreted, and matches an entry anew at each mention).  A value
+    runs on over the lines up to the next title or bullet, joined by a space, with the citations on all of them (``page``
+    is the first one).  Text before the first title or bullet is not a value.
     """
-    row = "struct<line_no:int,section:string,label:string,value:string>"
-    start = F.struct(F.lit(1).alias("line"), F.lit(None).cast("string").alias("section"),
-                     F.array().cast(f"array<{row}>").alias("rows"))
-
-    def step(acc: Column, entry: Column) -> Column:
-        title = F.when(entry.startswith("**"), F.trim(F.regexp_extract(entry, _HEAD_RE, 1)))
-        is_head = F.coalesce(title != "", F.lit(False))
-        label = F.when(is_head, title).when(~entry.startswith("**"), F.trim(F.regexp_extract(entry, _ITEM_RE, 1)))
-        value = (F.when(is_head, F.regexp_extract(entry, _HEAD_RE, 2))
-                 .when(entry.startswith("**"), F.lit(""))
-                 .when(label != "", F.regexp_extract(entry, _ITEM_RE, 2))
-                 .otherwise(F.regexp_extract(entry, _BULLET_RE, 1)))
-        section = F.when(is_head, title).otherwise(acc["section"])
-        own = F.struct(acc["line"].alias("line_no"), section.alias("section"),
-                       F.when(label != "", label).alias("label"), value.alias("value")).cast(row)
-        lines = F.length(entry) - F.length(F.replace(entry, F.lit("\n"), F.lit("")))
-        return F.struct((acc["line"] + lines + 1).cast("int").alias("line"), section.alias("section"),
-                        F.when(F.trim(value) != "", F.array_append(acc["rows"], own)).otherwise(acc["rows"]).alias("rows"))
-    rows = F.aggregate(F.split(F.col(text_col), _ENTRY_RE), start, step, lambda acc: acc["rows"])
-    v = F.col("value")
-    cited = v.contains("[página ")
-    page = F.when(cited, F.regexp_extract(v, _CITE_RE, 1))
-    bare = F.when(cited, F.regexp_replace(v, r"\s*\[página \d+\]", "")).otherwise(v)
-    joined = F.when(bare.contains("\n"), F.regexp_replace(bare, r"\s*\n\s*", " ")).otherwise(bare)
-    return (df.select(F.col(key), F.inline(rows))
-            .select(key, "line_no", "section", "label", F.trim(joined).alias("value"),
-                    F.when(page != "", page.cast("int")).alias("page")))
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("line_no", T.IntegerType()),
+                         *[T.StructField(c, T.StringType()) for c in ("section", "label", "value")],
+                         T.StructField("page", T.IntegerType())])
+    return df.select(F.col(key), F.col(text_col)).mapInArrow(_summary_rows, kind)
 
 
 # ----------------------------------------------------------------------------------------------- E5 - E10
@@ -167,19 +202,22 @@ _LENIENT = T.StructType(EXTRACTION_TEXT_STRUCT.fields + [T.StructField("_corrupt
 def json_object_text(response: str | Column) -> Column:
     """Strip code fences and keep the outermost ``{...}`` block (empty string when there is none)."""
     r = F.col(response) if isinstance(response, str) else response
-    no_fence = F.regexp_replace(F.coalesce(r, F.lit("")), r"```[A-Za-z]*", "")
+    text = F.coalesce(r, F.lit(""))
+    no_fence = F.when(text.contains("```"), F.regexp_replace(text, r"```[A-Za-z]*", "")).otherwise(text)
     return F.regexp_extract(no_fence, r"(?s)(\{.*\})", 1)
 
 
 def to_number(c: Column) -> Column:
     """Money/percent text to DOUBLE: drops currency signs and spaces; ``1.234,56`` and ``1,234.56`` both
-    read as 1234.56; anything else that is not a number is NULL (never an error)."""
+    read as 1234.56; anything else that is not a number is NULL (never an error).  Plain numbers, which no other reading
+    fits (``1.234`` has one), are read as they stand."""
+    plain = c.rlike(r"^-?[0-9]+(\.[0-9]{1,2})?\z")
     s = F.regexp_replace(F.trim(c), r"[^0-9,.eE+\-]", "")
     br = s.rlike(r"^-?[0-9]{1,3}(\.[0-9]{3})+(,[0-9]+)?$") | s.rlike(r"^-?[0-9]+,[0-9]+$")
     us = s.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?$")
     norm = (F.when(br, F.translate(F.regexp_replace(s, r"\.", ""), ",", "."))
             .when(us, F.regexp_replace(s, ",", "")).otherwise(s))
-    return norm.try_cast("double")
+    return F.when(plain, c.try_cast("double")).otherwise(norm.try_cast("double"))
 
 
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
@@ -187,23 +225,25 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
 
 def coerce_date(c: Column) -> Column:
     """``YYYY-MM-DD`` text to DATE (``DD/MM/YYYY``, a common deviation, is accepted too); impossible
-    dates become NULL."""
+    dates become NULL.  Text of the first form is cast: a failing formatter costs an exception for each value."""
     t = F.trim(c)
-    return F.coalesce(*[F.try_to_date(t, fmt) for fmt in DATE_FORMATS])
+    return (F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), t.try_cast("date"))
+            .otherwise(F.coalesce(*[F.try_to_date(t, fmt) for fmt in DATE_FORMATS])))
 
 
 def extract_text_fields(df: DataFrame, response_col: str = "response") -> DataFrame:
     """Hardened JSON read: every field as text plus ``extract_status`` (ok / no_json / invalid_json)."""
-    obj = json_object_text(response_col)
+    obj = F.col("_o")
     parsed = F.from_json(obj, _LENIENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     status = (F.when(obj == "", F.lit("no_json"))
               .when(F.col("_j").isNull() | F.col("_j._corrupt_record").isNotNull(), F.lit("invalid_json"))
               .otherwise(F.lit("ok")))
-    return (df.withColumn("_j", parsed)
+    # The block has a column of its own, since it is used more than once.
+    return (df.withColumn("_o", json_object_text(response_col)).withColumn("_j", parsed)
             .withColumn("extract_status", status)
             .withColumn("raw_fields", F.when(F.col("extract_status") == "ok", F.struct(
                 *[F.col(f"_j.{f}").alias(f) for f in CONTRACT_FIELDS])))
-            .drop("_j"))
+            .drop("_j", "_o"))
 
 
 def typed_fields(raw: str = "raw_fields", cap_object: bool = False) -> list[Column]:

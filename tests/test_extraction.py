@@ -1,6 +1,8 @@
 import json
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from papyra.operators import extraction as ext
 from papyra.schemas import CONTRACT_FIELDS
 
@@ -100,3 +102,24 @@ def test_summary_values_run_on_over_lines(spark):
         (8, "Objeto do Contrato", "Objeto do Contrato", "texto livre em duas linhas", 3),
         (12, "Aspectos Legais", None, "sem rótulo continua", None),
         (14, "Aspectos Legais", "Foro", "Recife", None)]
+
+
+def test_answer_is_cut_to_its_json_once(spark):
+    t = ext.extract_fields(_resp(spark, [("a", "```json\n" + _good() + "\n```")]))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("```[A-Za-z]*") == 1
+
+
+def test_plain_values_read_as_by_their_patterns(spark):
+    rows = [("1234.5", "2024-02-29"), ("1.234", "2023-02-29"), ("1.2E7", "29/02/2024"), ("-0.25", "2024-02-29\n"), ("x", "2024-2-9")]
+    df = spark.createDataFrame(rows, "n string, d string").select(ext.to_number(F.col("n")), ext.coerce_date(F.col("d")))
+    assert [tuple(r) for r in df.collect()] == [(1234.5, date(2024, 2, 29)), (1234.0, None), (1.2e7, date(2024, 2, 29)),
+                                                (-0.25, None), (None, None)]
+
+
+def test_summary_is_read_without_an_interpreted_fold(spark):
+    text = "intro\n**Valores:**\n- Total: 5 [página 3]\n  e mais [página 4]\n• solto\n** :** x\n**Foro:** Rio"
+    df = ext.parse_summary(spark.createDataFrame([("a", text), ("b", None)], "path string, summarize string"))
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.orderBy("line_no").collect()] == [
+        ("a", 3, "Valores", "Total", "5 e mais", 3), ("a", 5, "Valores", None, "solto", None), ("a", 7, "Foro", "Foro", "Rio", None)]
