@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TextModel = Callable[[list[str]], list[str]]
+_HASHED = (T.StringType, T.BinaryType, T.BooleanType, T.NumericType, T.DateType, T.TimestampType)
 
 
 def md5_model(prompts: list[str]) -> list[str]:
@@ -98,15 +100,16 @@ def prompt_prefix(key: Column) -> Column:
 
 def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str = "response",
                cache: DataFrame | None = None, keep_key: bool = False, batch_size: int = 64,
-               partitions: int | None = None) -> DataFrame:
+               partitions: int | None = None, staged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """One model answer per row, each distinct prompt sent once.
 
     Prompts are keyed by SHA-256; distinct keys are computed with a partial aggregate (a prompt repeated by
     many copies is reduced map-side), prompts already in ``cache`` (``prompt_key, response``) are skipped,
     and the answers are joined back by key.  Prompts go to the model ``batch_size`` at a time (one
-    request each) in ``partitions`` tasks; per-row failures land in ``model_error``.
+    request each) in ``partitions`` tasks; per-row failures land in ``model_error``.  ``staged`` writes the answers (one
+    row a key, no prompts) and reads them back, for callers whose result is evaluated more than once.
     """
-    keyed = df.withColumn("_pk", prompt_key(F.col(prompt_col)))
+    keyed = df.select(prompt_key(F.col(prompt_col)).alias("_pk"), "*")
     todo = (keyed.filter(F.col(prompt_col).isNotNull())
             .groupBy("_pk").agg(F.first(prompt_col).alias("_prompt")))
     if cache is not None:
@@ -118,7 +121,12 @@ def infer_text(df: DataFrame, prompt_col: str, model: TextModel, out_col: str =
     if cache is not None:
         answered = answered.unionByName(
             cache.select(F.col("prompt_key").alias("_pk"), "response", F.lit(None).cast("string").alias("model_error")))
-    out = keyed.join(answered, "_pk", "left")
+    if staged is not None:
+        answered = staged(answered)
+    # Rows without a prompt have no key and no answer: they are dealt by their own hash, not all to one task.
+    own = [f.name for f in df.schema.fields if isinstance(f.dataType, _HASHED)]
+    key = F.coalesce("_pk", F.concat(F.lit("-"), F.xxhash64(*own).cast("string"))) if own else F.col("_pk")
+    out = keyed.withColumn("_jk", key).join(answered.withColumnRenamed("_pk", "_jk"), "_jk", "left").drop("_jk")
     out = out.withColumnRenamed("_pk", "prompt_key") if keep_key else out.drop("_pk")
     if out_col != "response":
         out = out.withColumnRenamed("response", out_col)

@@ -177,7 +177,8 @@ def reassembled_text(parsed: Column) -> Column:
     from the application's output in that case)."""
     contents = F.filter(F.transform(items_of(parsed), lambda e: F.try_variant_get(e, "$.content", "string")),
                         lambda x: x.isNotNull())
-    return F.when(F.size(contents) > 0, F.array_join(contents, ELEMENT_SEPARATOR))
+    # An array of one: the contents are used twice, and a branch evaluates its own copy of them.
+    return F.transform(F.array(contents), lambda c: F.when(F.size(c) > 0, F.array_join(c, ELEMENT_SEPARATOR)))[0]
 
 
 def concat_text(parsed: DataFrame) -> DataFrame:

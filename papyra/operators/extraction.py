@@ -7,7 +7,7 @@ null and field rules, the summary renderer and its reader.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -80,11 +80,11 @@ def build_prompt(text: str | Column, kind: str = "summary") -> Column:
 
 
 def summarize_documents(df: DataFrame, text_col: str, model: TextModel, out_col: str = "summarize",
-                        error_col: str | None = None) -> DataFrame:
+                        error_col: str | None = None, staged: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """E3 (model path): prompt + one model call per distinct document.  ``error_col`` names a column that keeps the
-    text of a failed call (a NULL summary without one comes from a NULL text)."""
+    text of a failed call (a NULL summary without one comes from a NULL text); ``staged``: see ``infer_text``."""
     p = df.withColumn("_prompt", build_prompt(text_col, "summary"))
-    out = infer_text(p, "_prompt", model, out_col=out_col).drop("_prompt")
+    out = infer_text(p, "_prompt", model, out_col=out_col, staged=staged).drop("_prompt")
     return out.withColumnRenamed("model_error", error_col) if error_col else out.drop("model_error")
 
 

@@ -6,6 +6,7 @@ twin of each recipe is in ``papyra.plans.fixtures_sql``.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -274,14 +275,17 @@ def land_documents(spark: SparkSession, sf_dir: str, landing: str, only: str = "
     from papyra.sources.files import _file_system, qualified
     folder = qualified(spark, landing)
 
-    def write(rows):
+    def write(batches):
         fs, base = _file_system(folder)
         fs.create_dir(base, recursive=True)
-        for r in rows:
-            ext = [".pdf", ".txt", ".PDF"][r.doc_id % 3]
-            with fs.open_output_stream(f"{base}/doc_{r.doc_id}{ext}") as out:
-                out.write(((r.text or "") + suffix).encode("utf-8"))
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            for i, doc_id in enumerate(ids):
+                ext = [".pdf", ".txt", ".PDF"][doc_id % 3]
+                with fs.open_output_stream(f"{base}/doc_{doc_id}{ext}") as out:
+                    out.write(((texts[i].as_py() or "") + suffix).encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64())], names=["n"])
 
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text").filter(only), "doc_id")
-    docs.foreachPartition(write)
-    return docs.count()
+    # Counted by the tasks that write: a count of its own would deal all the texts a second time.
+    return docs.mapInArrow(write, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -149,6 +149,23 @@ class IngestRun:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def _of_identity(self, run: str, name: str, table: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows of ``table`` (texts and parses) with an identity in ``keys``.  Where fewer identities are left out than
+        kept, as in a first run, those left out are written and removed: a short list is broadcast, and the texts stay where
+        they are, while a join with a list of nearly all of them would deal and sort every text."""
+        ids = table.select(*_KEY).distinct()
+        kept = self._staged(run, f"{name}-kept", _keys(ids.join(keys, _same(ids, keys), "left_semi")))
+        same = (ids["path"].eqNullSafe(kept["_p"])) & ids["file_hash"].eqNullSafe(kept["_h"])
+        rest = self._staged(run, name, _keys(ids.join(kept, same, "left_anti")))
+        fewer, how = (rest, "left_anti") if rest.count() < kept.count() else (kept, "left_semi")
+        return table.join(fewer, table["path"].eqNullSafe(fewer["_p"]) & table["file_hash"].eqNullSafe(fewer["_h"]), how)
+
+    def _without(self, run: str, name: str, rows: DataFrame, table: DataFrame) -> DataFrame:
+        """``_without_known`` for rows with texts: the few that are known are written, so their list can be broadcast."""
+        ids = rows.select(*_KEY).distinct()
+        known = self._staged(run, name, _keys(_with_known(ids, table)))
+        return rows.join(known, rows["path"].eqNullSafe(known["_p"]) & rows["file_hash"].eqNullSafe(known["_h"]), "left_anti")
+
     def _clean(self) -> None:
         fs, p = _path(self.spark, f"{self.cfg.base}/_staging")
         fs.delete(p, True)
@@ -231,15 +248,18 @@ class IngestRun:
         stamp = F.col("modificationTime") if cfg.admit_match == "hash" else F.current_timestamp()
         admitted = self._admissible(run, opened.select(*inventory_columns(stamp)))
         mine = admitted.select(F.col("file_path").alias("_p"), F.col("file_hash").alias("_h"))
-        self._store(opened.join(mine, _same(opened, mine), "left_semi").select(*_OUTCOME.fieldNames()))
+        mine = self._of_identity(run, "refused", opened.select(*_OUTCOME.fieldNames()), mine)
+        self._store(mine)
         if admitted.limit(1).count():
             self.registry.append(admitted)
         self._finish(run, now)
 
     def _store(self, outcomes: DataFrame) -> None:
         """Parse output by identity, kept before its files count as admitted."""
-        old = _read_or_empty(self.spark, self.parses_path, _OUTCOME)
-        _without_known(outcomes, old).write.mode("append").parquet(self.parses_path)
+        new = outcomes
+        if _exists(self.spark, self.parses_path):
+            new = self._without(self._run, "stored", outcomes, _read_or_empty(self.spark, self.parses_path, _OUTCOME))
+        new.write.mode("append").parquet(self.parses_path)
 
     # -- B4, C1-C11, E3, E5-E7, B3 for files that are registered already
     def process(self, files: DataFrame, now: Column | None = None) -> None:
@@ -289,16 +309,16 @@ class IngestRun:
         ids = pending.select("path", "file_hash")
         waiting = _without_known(ids, known) if known is not None else ids
         k = _keys(waiting)
-        x = stored.join(k, _same(stored, k), "left_semi")
+        x = self._of_identity(run, "elsewhere", stored, k)
         if cfg.summary_model is not None:
             src = F.col("text") if cfg.summary_source == "text" else F.col("raw_parsed").cast("string")
             # Failed parses and files that no parser took (raw text) are not summarised.
             src = F.when(F.col("error_status").isNull() & F.col("raw_parsed").isNotNull(), src)
-            x = ext.summarize_documents(x.withColumn("_src", src), "_src", cfg.summary_model,
-                                        error_col="summary_error").drop("_src")
+            # The answers are written, not the texts: what is stored below joins them to the parses by prompt key.
+            x = ext.summarize_documents(x.withColumn("_src", src), "_src", cfg.summary_model, error_col="summary_error",
+                                        staged=lambda answers: self._staged(run, "summaries", answers)).drop("_src")
         else:
             x = x.withColumn("summarize", F.lit(None).cast("string")).withColumn("summary_error", F.lit(None).cast("string"))
-        x = self._staged(run, "summaries", x)
         # A document whose summary call failed stays pending; the next run takes up its stored parse.
         final = x.filter(F.col("summary_error").isNull()).select(*STORED_PARSED.fieldNames())
         final.write.mode("append").parquet(self.parsed_path)
