@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,30 @@ def test_line_join_edits_follow_the_length(spark):
     assert got == {i: near[s] for i, s in enumerate(lines)} and sum(near.values()) > 60
 
 
+def test_line_join_without_a_flat_bound_writes_only_links(spark, scratch):
+    """No run of characters is shuffled, however long the lines; blocks cut by length and into shards give the same links."""
+    rng = random.Random(8)
+    lines = []
+    for i in range(60):
+        s = "".join(rng.choice("abcdefghij klmnop") for _ in range(rng.choice([30, 90, 95, 400, 2500])))
+        lines += [s, s[:7] + "##" + s[9:], s[:len(s) // 2] + "Q" * (len(s) // 10 - 1) + s[len(s) // 2:], "ab" * (len(s) // 2)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    known = ld.distinct_lines(ld.occurrences(df), f"{scratch}/lines")
+    found = ld.links(known, f"{scratch}/lines", None)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    text = {r.line_id: r.line for r in known.collect()}
+    got = [(r.a, r.b) for r in found.collect()]
+    near = {(a, b) for a in text for b in text if a < b and abs(len(text[a]) - len(text[b])) <= 250
+            and ld._within_rows(*sorted((text[a], text[b]), key=len), max(len(text[a]), len(text[b])) // 10)}
+    assert len(got) == len(set(got)) and set(got) == near and len(near) > 100
+    sizes = sorted({(len(x), len(x), 0) for x in text.values()})
+    bands = ld._bands([(n, n, sum(len(x) == n for x in text.values()) * n) for n, *_ in sizes], 5000)
+    assert any(of > 1 for *_, of in bands)
+    run = ld._compare(f"{scratch}/lines", bands, chunk=3000, most=500)
+    ids = pa.RecordBatch.from_arrays([pa.array(range(len(bands)))], names=["id"])
+    assert sorted((a, b) for r in run([ids]) for a, b in zip(*(r.column(c).to_pylist() for c in "ab"))) == sorted(near)
+
+
 def test_line_query_links_a_long_line_with_one_word_changed(spark, tmp_path):
     words = [f"word{i}" for i in range(40)]
     other = words[:20] + ["elsewhere"] + words[21:]
