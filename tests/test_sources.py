@@ -1,5 +1,6 @@
 import os
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyra.schemas import CONTRACT_PARSED, CONTRACT_TRACK
@@ -140,6 +141,36 @@ def test_binary_scan_reports_what_it_skips(spark, scratch):
     assert got["l.bin"].scan_status == "too_large" and got["l.bin"].content is None
 
 
+def test_large_folder_is_scanned_without_a_file_list_in_the_driver(spark, scratch, monkeypatch):
+    from papyra.sources import files
+    scratch = os.path.join(scratch, "in")
+    for n in ("a.bin", "b.bin", "c d%20.bin", "_no.bin", ".no.bin", "x.txt", "e.bin", "sub/deep.bin", "_sub/no.bin", "../keys/k=1/in.bin", "../keys/k=2/in.bin"):
+        os.makedirs(os.path.dirname(os.path.join(scratch, n)), exist_ok=True)
+        with open(os.path.join(scratch, n), "wb") as f:
+            f.write(n.encode() * (0 if n == "e.bin" else 50 if n == "b.bin" else 1))
+
+    def rows(path=scratch, **kw):
+        df = files.binary_scan(spark, path, **kw)
+        cols = [c for c in df.columns if c != "k"]              # the key column of Spark's source
+        return cols, sorted(map(tuple, df.select(cols).collect())), df._jdf.queryExecution().executedPlan().toString()
+    for kw in ({}, {"max_bytes": 20}, {"max_bytes": 20, "report_skipped": True}, {"report_skipped": True},
+               {"path_glob": "{a,c}*.b?n"}, {"path": os.path.join(scratch, "..", "keys")}, {"recursive": True},
+               {"recursive": True, "path_glob": "[!x]*", "max_bytes": 9}):
+        monkeypatch.setattr(files, "DRIVER_FILES", 100)
+        want = rows(**kw)
+        monkeypatch.setattr(files, "DRIVER_FILES", 1)
+        got = rows(**kw)
+        assert want[1] and got[:2] == want[:2], kw
+        assert "binaryFile" in want[2] and "binaryFile" not in got[2]
+    assert files.binary_scan(spark, os.path.join(scratch, "a.bin")).count() == 1        # a file, a pattern: as before
+    assert files.binary_scan(spark, os.path.join(scratch, "*.bin")).count() == 3
+    monkeypatch.setattr(files, "BATCH_BYTES", 1)                                         # handed on one by one
+    batch = pa.RecordBatch.from_pydict({"path": [f"{scratch}/a.bin", f"{scratch}/e.bin", f"{scratch}/x.txt"], "length": [5, 0, 5]})
+    out = list(files._read_all(None)([batch]))
+    assert [b.column("content").to_pylist() for b in out] == [[b"a.bin"], [b"", b"x.txt"]]
+    assert pa.Table.from_batches(out).column("path").to_pylist() == batch.column("path").to_pylist()
+
+
 def test_property_text_is_a_literal(spark, scratch):
     import pytest
     name = "props_" + os.path.basename(scratch).replace("-", "_")
