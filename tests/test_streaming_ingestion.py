@@ -544,3 +544,33 @@ def test_stream_looks_up_its_files_in_few_tasks(spark, scratch):
         spark.conf.set(key, before)
     assert seen and max(seen) <= max(16, 2 * spark.sparkContext.defaultParallelism)
     assert p.registry.read().select("file_path").distinct().count() <= n
+
+
+def _arriving(spark, scratch, start):
+    """Runs a stream three times while files land; (names of each micro-batch, files that a micro-batch reads)."""
+    landing = os.path.join(scratch, "landing")
+    _land(landing, {f"f{i}.pdf": f"texto {i}" for i in range(7)} | {"_no.pdf": "x", ".no.pdf": "x", "no.csv": "x", "no.pdf": ""})
+    for i in range(7):
+        os.utime(os.path.join(landing, f"f{i}.pdf"), (1_700_000_000 - i, 1_700_000_000 - i))
+    run = IngestRun(spark, IngestConfig(base=os.path.join(scratch, "t")))
+    names, read, unseen = [], set(), run.unseen
+
+    def seen(batch):
+        names.append(sorted(os.path.basename(r.path) for r in batch.collect()))
+        read.update(batch.inputFiles())
+        return unseen(batch)
+    run.unseen = seen
+    for late, most in (({}, 3), ({"g.pdf": "mais"}, None), ({}, 3)):
+        _land(landing, late)
+        start(spark, run, landing, os.path.join(scratch, "ck"), max_files_per_trigger=most, glob="*.{pdf,PDF}")
+    assert run.registry.read().count() == 8
+    return names, read
+
+
+_BATCHES = [["f4.pdf", "f5.pdf", "f6.pdf"], ["f1.pdf", "f2.pdf", "f3.pdf"], ["f0.pdf"], ["g.pdf"]]      # oldest first
+
+
+def test_registering_stream_holds_no_landed_file_in_the_driver(spark, scratch):
+    names, read = _arriving(spark, scratch, stream_register)
+    assert names == _BATCHES
+    assert len(read) == 4 and all("/ck/arrivals/" in x for x in read)       # a file of names each, none that landed
