@@ -574,3 +574,10 @@ def test_registering_stream_holds_no_landed_file_in_the_driver(spark, scratch):
     names, read = _arriving(spark, scratch, stream_register)
     assert names == _BATCHES
     assert len(read) == 4 and all("/ck/arrivals/" in x for x in read)       # a file of names each, none that landed
+
+
+def test_extracting_stream_holds_no_landed_file_in_the_driver(spark, scratch):
+    names, read = _arriving(spark, scratch, stream_extract)
+    assert names == _BATCHES
+    assert len(read) == 4 and all("/ck/arrivals/" in x for x in read)
+    assert IngestRun(spark, IngestConfig(base=os.path.join(scratch, "t"))).registry.read().filter("processed = 'S'").count() == 8
