@@ -129,6 +129,46 @@ def test_line_join_without_a_flat_bound_writes_only_links(spark, scratch):
     assert sorted((a, b) for r in run([ids]) for a, b in zip(*(r.column(c).to_pylist() for c in "ab"))) == sorted(near)
 
 
+def test_many_near_lines_hand_on_rows_by_the_line_not_by_the_pair(spark, scratch):
+    rng = random.Random(5)
+    lines = set()
+    for base in ("".join(rng.choice("abcdefgh ijkl") for _ in range(n)) for n in (60, 300)):
+        while len(lines) % 80 or not lines:
+            t = list(base)
+            for _ in range(len(base) // 40):
+                t[rng.randrange(len(t))] = rng.choice("XYZ")
+            lines.add("".join(t))
+        lines.add("no line is near this one: " + base[::-1])
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    known = ld.distinct_lines(ld.occurrences(df), f"{scratch}/lines")
+    pairs = ld.links(known, f"{scratch}/lines", None).count()
+    edges, degree = ld._summed(known, f"{scratch}/lines", None)
+    assert pairs > 3000 and edges.count() + degree.count() <= 4 * len(lines)
+    assert degree.groupBy().sum("links").first()[0] == 2 * pairs
+    near = {a: sum(a != b and ld.within(a, b, max(len(a), len(b)) // 10) for b in lines) for a in lines}
+    got = {r.doc_id: r.links for r in ld.line_classes(df, max_edits=None).collect()}
+    assert got == {i: near[x] for i, x in enumerate(lines)}
+
+
+def test_edit_distances_of_many_pairs_in_step():
+    rng = random.Random(6)
+    one, two = [], []
+    for _ in range(400):
+        t = [rng.choice(rng.choice(["ab", "abcdefghé😀"])) for _ in range(rng.choice([40, 63, 64, 65, 128, 129, 300, 700]))]
+        b = "".join(t)
+        for _ in range(rng.randrange(len(t) // 7)):
+            at, kind = rng.randrange(len(t)), rng.randrange(3)
+            t[at:at + (kind != 1)] = [] if kind == 2 else [rng.choice("ab")]
+        a, b = sorted(("".join(t), b), key=len)
+        if len(b) - len(a) <= len(b) // 10:
+            one.append(a)
+            two.append(b)
+    want = [ld._within_rows(a, b, len(b) // 10) for a, b in zip(one, two)]
+    assert ld._within_many(one, two, least=1).tolist() == want and 50 < sum(want) < len(want)
+    assert ld._within_many(one, two, chars=100).tolist() == want and ld._within_many([], []).tolist() == []
+
+
 def test_line_query_links_a_long_line_with_one_word_changed(spark, tmp_path):
     words = [f"word{i}" for i in range(40)]
     other = words[:20] + ["elsewhere"] + words[21:]
