@@ -557,7 +557,7 @@ def _arriving(spark, scratch, start):
 
     def seen(batch):
         names.append(sorted(os.path.basename(r.path) for r in batch.collect()))
-        read.update(batch.inputFiles())
+        read.update(r.f for r in batch.select(F.input_file_name().alias("f")).collect())
         return unseen(batch)
     run.unseen = seen
     for late, most in (({}, 3), ({"g.pdf": "mais"}, None), ({}, 3)):
